@@ -8,34 +8,59 @@ from pyspark.sql import functions as F
 from ..storage import StageTables
 
 
+def _range_sorted(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """The rows in one range sort over group and order, with their task (_task) and a number
+    that grows in sort order (_at).  A hot group spreads over many tasks."""
+    keys = group + [c for c in order if c not in group]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    stage = StageTables(df.sparkSession, "sorted")
+    placed, _ = stage.put(ranged.withColumn("_at", F.monotonically_increasing_id()), "rows")
+    return placed.withColumn("_task", F.shiftright("_at", 33))
+
+
+def _per_task(placed: DataFrame, group: list[str], tasks: DataFrame) -> DataFrame:
+    """Joins the table with one row per group and task to the sorted rows."""
+    renamed = tasks.withColumnRenamed("_task", "_t")
+    match = placed["_task"] == renamed["_t"]
+    for i, g in enumerate(group):
+        renamed = renamed.withColumnRenamed(g, f"_g{i}")
+        match = match & placed[g].eqNullSafe(renamed[f"_g{i}"])
+    return placed.join(renamed, match, "left")
+
+
+def _tasks_before(group: list[str]):
+    # At most one row per group and range partition, so this window stays small.
+    return Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def number_rows(df: DataFrame, group: list[str], order: list[str], name: str = "seq") -> DataFrame:
     """row_number() over (partition by group order by order), from one range sort.
 
-    A window would sort each group in one task.  Here the rows are range-partitioned over
-    group and order together, so a hot group spreads over many tasks; each task numbers its
-    own rows, and the small table of per-task counts gives every task its starting number.
-    `order` must be total within a group.
+    A window would sort each group in one task.  Here each task numbers its own rows, and the
+    small table of per-task counts gives every task its starting number.  `order` must be
+    total within a group.
     """
-    stage = StageTables(df.sparkSession, "number")
-    keys = group + [c for c in order if c not in group]
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed, _ = stage.put(ranged.withColumn("_at", F.monotonically_increasing_id()), "sorted")
-    placed = placed.withColumn("_task", F.shiftright("_at", 33))
+    placed = _range_sorted(df, group, order)
     counts = placed.groupBy(*group, "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    # One row per group and task: bounded by the number of range partitions.
-    before = Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
-        F.col("_task").alias("_t"),
-        "_first",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
-    )
-    match = placed["_task"] == starts["_t"]
-    for i, g in enumerate(group):
-        match = match & placed[g].eqNullSafe(starts[f"_g{i}"])
-    numbered = placed.join(starts, match)
+    before = F.coalesce(F.sum("_rows").over(_tasks_before(group)), F.lit(0))
+    starts = counts.select(*group, "_task", "_first", before.alias("_before"))
     position = (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("long")
-    return numbered.select(*df.columns, position.alias(name))
+    return _per_task(placed, group, starts).select(*df.columns, position.alias(name))
+
+
+def running_last(df: DataFrame, group: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Adds, per name, the last non-null value at or before each row of its group."""
+    placed = _range_sorted(df, group, order)
+    placed = placed.select("*", *[c.alias(f"_v_{n}") for n, c in values.items()])
+    tails = placed.groupBy(*group, "_task").agg(
+        *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col("_at"))).alias(f"_tail_{n}") for n in values]
+    )
+    carried = [F.last(f"_tail_{n}", ignorenulls=True).over(_tasks_before(group)).alias(f"_carry_{n}") for n in values]
+    carry = tails.select(*group, "_task", *carried)
+    here = Window.partitionBy(*group, "_task").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    local = [F.last(f"_v_{n}", ignorenulls=True).over(here).alias(f"_local_{n}") for n in values]
+    merged = _per_task(placed.select("*", *local), group, carry)
+    return merged.select(*df.columns, *[F.coalesce(f"_local_{n}", f"_carry_{n}").alias(n) for n in values])
 
 
 def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -1,0 +1 @@
+"""Whole computations composed from the operators: graphs, models and diagram lines."""
