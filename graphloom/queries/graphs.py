@@ -541,7 +541,7 @@ def _scc_sql(nodes: str, reach: str) -> str:
     return (
         f"SELECT n.graph_id, n.node_id, coalesce(min(f.b) FILTER (f.b < n.node_id), n.node_id) AS component FROM {nodes} n "
         f"LEFT JOIN (SELECT f.graph_id, f.a, f.b FROM {reach} f JOIN {reach} g ON g.graph_id = f.graph_id AND g.a = f.b AND g.b = f.a) f "
-        "ON f.graph_id = n.graph_id AND f.a = n.node_id GROUP BY ALL"
+        "ON f.graph_id = n.graph_id AND f.a = n.node_id GROUP BY n.graph_id, n.node_id"
     )
 
 
@@ -574,7 +574,7 @@ def graph_scc_steps(spark, sf):
 @query(
     "min_reaching",
     f"WITH RECURSIVE {TRADE} SELECT n.graph_id, n.node_id, least(n.node_id, coalesce(min(r.a), n.node_id)) AS min_src FROM tr_nodes n "
-    "LEFT JOIN tr_reach r ON r.graph_id = n.graph_id AND r.b = n.node_id GROUP BY ALL",
+    "LEFT JOIN tr_reach r ON r.graph_id = n.graph_id AND r.b = n.node_id GROUP BY n.graph_id, n.node_id",
 )
 def min_reaching(spark, sf):
     return GI.min_reaching(*trade_graph(spark, sf))
