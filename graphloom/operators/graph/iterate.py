@@ -73,31 +73,37 @@ def _peel(nodes: DataFrame, edges: DataFrame, waits_for: str, waiting: str, leve
     """Level of every node that can be peeled: one more than the highest level among the
     nodes it waits for.  Nodes that wait for a cycle get no row.
 
-    Each edge is read once for each round its end is in the frontier, that is once in all;
-    counts of settled edges are kept only for nodes that are partly settled.
+    Each edge is joined once, in the round its end settles; counts of settled edges are kept
+    only for nodes that are partly settled.  Repeated edges count on both sides.
     """
     stage = StageTables(nodes.sparkSession, "peel")
-    pairs = edges.select("graph_id", F.col(waiting).alias("node_id"), F.col(waits_for).alias("on")).distinct()
-    needs = pairs.groupBy(*NODE).agg(F.count(F.lit(1)).alias("need"))
-    adjacency, _ = stage.put(pairs.join(needs, NODE), "adjacency")
-    start = nodes.select(*NODE).distinct().join(needs, NODE, "left_anti")
-    start = start.select(*NODE, F.lit(0).cast("long").alias("got"), F.lit(0).cast("long").alias("need"))
-    counted = {"done": F.count_if(F.col("got") == F.col("need"))}
-    touched, seen = stage.append(start, "touched", 0, **counted)
+    links = edges.select("graph_id", F.col(waiting).alias("node_id"), F.col(waits_for).alias("on"))
+    links, _ = stage.put(links, "links")
+    needs = links.groupBy(*NODE).agg(F.count(F.lit(1)).alias("need"))
+    zero = F.lit(0).cast("long")
+    needs, seen = stage.put(
+        nodes.select(*NODE).join(needs, NODE, "left").withColumn("need", F.coalesce("need", zero)),
+        "needs",
+        done=F.count_if(F.col("need") == 0),
+    )
+    settled = needs.filter("need = 0").select(*NODE)
     pending = None
     round_no = 0
     while seen["done"]:
         round_no += 1
-        settled = touched.filter(F.col("got") == F.col("need")).select("graph_id", F.col("node_id").alias("on"))
-        hits = settled.join(adjacency, ["graph_id", "on"]).groupBy(*NODE)
-        hits = hits.agg(F.count(F.lit(1)).alias("got"), F.max("need").alias("need"))
+        hits = settled.withColumnRenamed("node_id", "on").join(links, ["graph_id", "on"])
+        hits = hits.groupBy(*NODE).agg(F.count(F.lit(1)).alias("got")).join(needs, NODE)
         if pending is not None:
             merged = hits.unionByName(pending).groupBy(*NODE)
             hits = merged.agg(F.sum("got").alias("got"), F.max("need").alias("need"))
-        touched, seen = stage.append(hits, "touched", round_no, **counted)
-        pending = touched.filter(F.col("got") < F.col("need"))
-    done = stage.log("touched").filter(F.col("got") == F.col("need"))
-    return done.select(*NODE, F.col("round").alias(level))
+        touched, seen = stage.append(hits, "touched", round_no, done=F.count_if(F.col("got") == F.col("need")))
+        settled = touched.filter("got = need").select(*NODE)
+        pending = touched.filter("got < need")
+    start = needs.filter("need = 0").select(*NODE, F.lit(0).alias(level))
+    if not round_no:
+        return start
+    later = stage.log("touched").filter("got = need").select(*NODE, F.col("round").alias(level))
+    return start.unionByName(later)
 
 
 def longest_path_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -151,7 +157,7 @@ def min_reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     adjacency, _ = stage.put(
         links.select("graph_id", F.col("src").alias("node_id"), F.col("dst").alias("to_id")), "adjacency"
     )
-    start = nodes.select(*NODE).distinct().withColumn("label", F.col("node_id"))
+    start = nodes.select(*NODE).withColumn("label", F.col("node_id"))
     return relax(stage, adjacency, start, NODE, lambda label: label).withColumnRenamed("label", "min_src")
 
 
@@ -165,7 +171,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     goes into the next phase.
     """
     spark = nodes.sparkSession
-    known = nodes.select("graph_id", F.col("node_id").alias("src")).distinct()
+    known = nodes.select("graph_id", F.col("node_id").alias("src"))
     found = StageTables(spark, "components")
     links = drop_self_edges(_pairs(edges)).join(known, ["graph_id", "src"], "left_semi")
     phase = 0
@@ -187,19 +193,17 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             F.min(F.when(F.col("ahead"), F.col("label"))).alias("low_in"),
             F.min(F.when(~F.col("ahead"), F.col("label"))).alias("low_out"),
         )
-        met, _ = stage.put(met, "met")
-        finished = met.filter(F.col("low_in") == F.col("low_out")).select(*NODE, F.col("low_in").alias("component"))
-        found.append(finished, "components", phase)
-        open_nodes = met.filter(~F.col("low_in").eqNullSafe(F.col("low_out")))
+        met, _ = found.append(met, "met", phase)
+        open_nodes = met.filter(F.col("low_in") != F.col("low_out"))
         left = open_nodes.select("graph_id", F.col("node_id").alias("src"), "low_in", "low_out")
         right = open_nodes.select("graph_id", F.col("node_id").alias("dst"), "low_in", "low_out")
         links = links.join(left, ["graph_id", "src"]).join(right, ["graph_id", "dst", "low_in", "low_out"])
         links = links.select("graph_id", "src", "dst")
         phase += 1
-    result = nodes.select(*NODE).distinct()
+    result = nodes.select(*NODE)
     if not phase:
         return result.withColumn("component", F.col("node_id"))
-    members = found.log("components").drop("round")
+    members = found.log("met").filter(F.col("low_in") == F.col("low_out")).select(*NODE, F.col("low_in").alias("component"))
     return result.join(members, NODE, "left").withColumn("component", F.coalesce("component", "node_id"))
 
 

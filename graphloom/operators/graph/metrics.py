@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...schemas import BREAKDOWN_KINDS, PROJECT_REFERENCE
+from ...storage import StageTables
 from ..numbering import top_n
-from .edges import project_edges, project_nodes, self_edges
+from .edges import project_edges, project_nodes
 from .iterate import NODE, longest_path_depth
 
 
@@ -35,9 +36,12 @@ def hotspots(nodes: DataFrame, edges: DataFrame, n: int = 5) -> DataFrame:
     """The n most referenced project nodes of each graph; unreferenced ones never appear."""
     if n < 1:
         raise ValueError("n must be at least 1")
-    hits = project_edges(nodes, edges).groupBy("graph_id", F.col("dst").alias("node_id"))
-    hits = hits.agg(F.count(F.lit(1)).alias("in_degree"))
-    named = hits.join(project_nodes(nodes).select(*NODE, "name"), NODE)
+    return _hotspots(project_nodes(nodes), project_edges(nodes, edges), n)
+
+
+def _hotspots(projects: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    hits = links.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("in_degree"))
+    named = hits.join(projects.select(*NODE, "name"), NODE)
     order = [F.desc("in_degree"), F.asc("name"), F.asc("node_id")]
     return top_n(named, ["graph_id"], order, n, "rank").select("graph_id", "rank", "node_id", "name", "in_degree")
 
@@ -45,20 +49,22 @@ def hotspots(nodes: DataFrame, edges: DataFrame, n: int = 5) -> DataFrame:
 def depth_and_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per graph: average (two digits, half to even), lowest and highest longest-path depth of
     its project nodes, and whether it has a cycle.  A cycle makes all depth values NULL."""
+    return _depth_and_cycles(nodes, edges, project_edges(nodes, edges))
+
+
+def _depth_and_cycles(nodes: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
     projects = project_nodes(nodes)
-    links = project_edges(nodes, edges)
     depths = longest_path_depth(projects, links)
-    totals = projects.groupBy("graph_id").agg(F.count(F.lit(1)).alias("total"))
+    totals = nodes.groupBy("graph_id").agg(F.count_if(F.col("kind") != "Package").alias("total"))
     levels = depths.groupBy("graph_id").agg(
         F.count(F.lit(1)).alias("levelled"),
         F.avg("depth").alias("mean"),
         F.min("depth").alias("low"),
         F.max("depth").alias("high"),
     )
-    all_graphs = nodes.select("graph_id").distinct()
-    merged = all_graphs.join(totals, "graph_id", "left").join(levels, "graph_id", "left")
+    merged = totals.join(levels, "graph_id", "left")
     # Nodes that could not be levelled lead into a cycle.
-    stuck = F.coalesce("levelled", F.lit(0)) < F.coalesce("total", F.lit(0))
+    stuck = F.coalesce("levelled", F.lit(0)) < F.col("total")
     other = _other_cyclic_graphs(nodes, edges)
     if other is not None:
         merged = merged.join(other.withColumn("_other", F.lit(True)), "graph_id", "left")
@@ -102,6 +108,8 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, n: int = 5) -> DataFrame:
     """One row per graph: total, kind breakdown, depth statistics, hotspots, cycle flag."""
     if n < 1:
         raise ValueError("n must be at least 1")
+    stage = StageTables(nodes.sparkSession, "stats")
+    links, _ = stage.put(project_edges(nodes, edges).select("graph_id", "src", "dst"), "links")
     counts = nodes.groupBy("graph_id").agg(
         F.count_if(F.col("kind") != "Package").alias("total_nodes"),
         F.create_map(
@@ -109,7 +117,7 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, n: int = 5) -> DataFrame:
         ).alias("type_breakdown"),
     )
     # At most n rows per graph are gathered here.
-    spots = hotspots(nodes, edges, n).groupBy("graph_id").agg(
+    spots = _hotspots(project_nodes(nodes), links, n).groupBy("graph_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "name", "in_degree"))),
             lambda s: F.struct(s["name"].alias("name"), s["in_degree"].alias("in_degree")),
@@ -117,7 +125,7 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, n: int = 5) -> DataFrame:
     )
     empty = F.array().cast("array<struct<name:string,in_degree:bigint>>")
     return (
-        counts.join(depth_and_cycles(nodes, edges), "graph_id")
+        counts.join(_depth_and_cycles(nodes, edges, links), "graph_id")
         .join(spots, "graph_id", "left")
         .select(
             "graph_id",

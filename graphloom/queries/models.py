@@ -107,6 +107,7 @@ def trade_properties(navs: DataFrame) -> DataFrame:
         .when(named == "note", "string?")
         .otherwise(F.when(F.col("first") % 2 == 0, "Guid").otherwise("int"))
     )
+    raw, _ = StageTables(navs.sparkSession, "trade").put(raw, "raw_properties")
     full = number_rows(raw, ["model_id", "entity_key"], ["first", "name"], "ordinal").select(
         "*",
         typed.alias("type"),
@@ -119,13 +120,18 @@ def trade_properties(navs: DataFrame) -> DataFrame:
     return conform(full.withColumn("is_value_type", is_value_type("type")), PROPERTIES)
 
 
-def trade_model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entities, properties, navigations) as stage tables."""
+def trade_facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, navigations) as stage tables."""
     stage = StageTables(spark, "trade")
     navs, _ = stage.put(navigations(spark, sf), "navigations")
     ents = conform(trade_entities(navs).withColumn("entity_key", F.col("name")), ENTITIES)
-    entities, _ = stage.put(ents, "entities")
-    properties, _ = stage.put(trade_properties(navs), "properties")
+    return stage.put(ents, "entities")[0], navs
+
+
+def trade_model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, properties, navigations) as stage tables."""
+    entities, navs = trade_facts(spark, sf)
+    properties, _ = StageTables(spark, "trade").put(trade_properties(navs), "properties")
     return entities, properties, navs
 
 
@@ -216,12 +222,13 @@ inferred AS (
 
 @query("inverse_refs", f"WITH {NAVS}, {_INVERSE} SELECT model_id, entity, nav, inverse_refs FROM counted")
 def inverse_refs(spark, sf):
-    return MR.inverse_counts(navigations(spark, sf)).select("model_id", "entity", "nav", "inverse_refs")
+    navs, _ = StageTables(spark, "trade").put(navigations(spark, sf), "navigations")
+    return MR.inverse_counts(navs).select("model_id", "entity", "nav", "inverse_refs")
 
 
 @query("infer_relationships", f"WITH {NAVS}, {_INVERSE}, {_INFERRED} SELECT model_id, src, dst, rel_type, is_required FROM inferred")
 def infer_relationships(spark, sf):
-    entities, _, navs = trade_model(spark, sf)
+    entities, navs = trade_facts(spark, sf)
     return MR.infer_relationships(entities, navs).select("model_id", "src", "dst", "rel_type", "is_required")
 
 
@@ -323,7 +330,7 @@ UNION ALL SELECT model_id, src, dst, rel_type, 'right', count(*) FROM (SELECT *
 )
 def model_diff(spark, sf):
     """Inferred against declared relationships of the same facts."""
-    entities, _, navs = trade_model(spark, sf)
+    entities, navs = trade_facts(spark, sf)
     columns = ["model_id", "src", "dst", "rel_type"]
     inferred = MR.infer_relationships(entities, navs).select(columns)
     return MR.model_diff(inferred, MR.declared_relationships(_declarations(navs)).select(columns))
@@ -470,6 +477,7 @@ def constant_lookup(spark, sf):
 
 def order_model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(entities, properties) of the orders model, without resolved tables."""
+    stage = StageTables(spark, "orders")
     orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     model = F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("model_id")
     root = F.concat(F.lit("Order"), F.col("o_orderkey").cast("string"))
@@ -485,6 +493,7 @@ def order_model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     placed = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         model, root.alias("owner_key"), nav.alias("nav"), F.concat_ws(".", root, nav).alias("entity_key"), "is_collection", "flag", "status", "l_linenumber"
     )
+    placed, _ = stage.put(placed, "lines")
     name = F.when(F.col("flag") == "A", "Line").otherwise(F.col("nav"))
     owned = placed.withColumn("name", name).withColumn("is_owned", F.lit(True))
     owned = owned.withColumn("table_name", F.when(F.col("flag") == "R", F.concat(F.lit("own_"), F.translate("entity_key", ".", "_"))))
@@ -651,6 +660,7 @@ def erd_property_lines(spark, sf):
     entities, properties, navs = trade_model(spark, sf)
     marked = MK.foreign_keys(entities, MK.primary_keys(entities, properties), navs)
     marked = marked.withColumn("key_rank", L.property_order()[0]).withColumn("line", L.property_text())
+    marked, _ = StageTables(spark, "marked").put(marked, "properties")
     rows = number_rows(marked, ["model_id", "entity_key"], ["key_rank", "name"])
     return rows.select("model_id", F.col("entity_key").alias("entity"), "seq", "line")
 
@@ -665,7 +675,7 @@ FROM inferred""".replace("{{", "{").replace("}}", "}"),
 def erd_relationship_lines(spark, sf):
     entities, properties, navs = trade_model(spark, sf)
     relationships = MR.infer_relationships(entities, navs)
-    drawn = L.erd_lines(entities, properties, relationships).filter("section = 2")
+    drawn, _ = StageTables(spark, "drawn").put(L.erd_lines(entities, properties, relationships).filter("section = 2"), "lines")
     ranked = number_rows(drawn, ["graph_id"], ["sort_key"])
     return ranked.select(F.col("graph_id").alias("model_id"), "seq", "line")
 
