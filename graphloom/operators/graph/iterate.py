@@ -18,6 +18,25 @@ from .edges import drop_self_edges, self_edges
 
 NODE = ["graph_id", "node_id"]
 
+# From this many rows of loop state on, a round first looks how little of it is touched.
+LARGE_STATE = 20_000_000
+# Keys of at most this many rows are broadcast to cut the state down.
+BROADCAST_KEYS = 1_000_000
+
+
+def _narrow(
+    stage: StageTables, state: DataFrame, news: DataFrame, key: list[str], name: str, state_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """(state, news) for the join of a round.  Large state is cut down to the keys that the
+    round brings, by a broadcast filter, when those are few: late rounds touch little and
+    then shuffle little.  Otherwise both are shuffled as they are."""
+    if state_rows < LARGE_STATE:
+        return state, news
+    news, seen = stage.put(news, name, n=F.count(F.lit(1)))
+    if seen["n"] <= BROADCAST_KEYS:
+        state = state.join(F.broadcast(news.select(*key)), key, "left_semi")
+    return state, news
+
 
 def _pairs(edges: DataFrame) -> DataFrame:
     return edges.select("graph_id", "src", "dst").distinct()
@@ -34,12 +53,14 @@ def reachable_from(edges: DataFrame, seeds: DataFrame, max_depth: int | None = N
     stage = StageTables(edges.sparkSession, "reach")
     adjacency, _ = stage.put(_pairs(edges), "adjacency")
     frontier, seen = stage.append(seeds.select(*NODE).distinct(), "visited", 0, n=F.count(F.lit(1)))
-    depth = 0
+    depth, visited_rows = 0, 0
     while seen["n"] and (max_depth is None or depth < max_depth):
         depth += 1
+        visited_rows += seen["n"]
         ahead = frontier.withColumnRenamed("node_id", "src").join(adjacency, ["graph_id", "src"])
         ahead = ahead.select("graph_id", F.col("dst").alias("node_id")).distinct()
-        fresh = ahead.join(stage.log("visited").select(*NODE), NODE, "left_anti")
+        visited, ahead = _narrow(stage, stage.log("visited").select(*NODE), ahead, NODE, f"ahead={depth}", visited_rows)
+        fresh = ahead.join(visited, NODE, "left_anti")
         frontier, seen = stage.append(fresh, "visited", depth, n=F.count(F.lit(1)))
     return stage.log("visited").withColumnRenamed("round", "depth")
 
@@ -85,14 +106,18 @@ def _peel(nodes: DataFrame, edges: DataFrame, waits_for: str, waiting: str, leve
         nodes.select(*NODE).join(needs, NODE, "left").withColumn("need", F.coalesce("need", zero)),
         "needs",
         done=F.count_if(F.col("need") == 0),
+        nodes=F.count(F.lit(1)),
     )
+    node_rows = seen["nodes"]
     settled = needs.filter("need = 0").select(*NODE)
     pending = None
     round_no = 0
     while seen["done"]:
         round_no += 1
         hits = settled.withColumnRenamed("node_id", "on").join(links, ["graph_id", "on"])
-        hits = hits.groupBy(*NODE).agg(F.count(F.lit(1)).alias("got")).join(needs, NODE)
+        hits = hits.groupBy(*NODE).agg(F.count(F.lit(1)).alias("got"))
+        known, hits = _narrow(stage, needs, hits, NODE, f"hits={round_no}", node_rows)
+        hits = hits.join(known, NODE)
         if pending is not None:
             merged = hits.unionByName(pending).groupBy(*NODE)
             hits = merged.agg(F.sum("got").alias("got"), F.max("need").alias("need"))
@@ -134,15 +159,17 @@ def relax(
     """
     others = [c for c in key if c != "node_id"]
     changed, seen = stage.append(start.select(*key, "label"), "labels", 0, n=F.count(F.lit(1)))
-    round_no = 0
+    round_no, label_rows = 0, 0
     while seen["n"]:
         round_no += 1
+        label_rows += seen["n"]
         offers = changed.join(adjacency, key)
         if allow is not None:
             offers = offers.filter(allow(F.col("label")))
         offers = offers.select(*others, F.col("to_id").alias("node_id"), extend(F.col("label")).alias("offer"))
         offers = offers.groupBy(*key).agg(F.min("offer").alias("offer"))
-        known = stage.log("labels").groupBy(*key).agg(F.min("label").alias("label"))
+        labels, offers = _narrow(stage, stage.log("labels"), offers, key, f"offers={round_no}", label_rows)
+        known = labels.groupBy(*key).agg(F.min("label").alias("label"))
         better = offers.join(known, key, "left")
         better = better.filter(F.col("label").isNull() | (F.col("offer") < F.col("label")))
         better = better.select(*key, F.col("offer").alias("label"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ...functions.marks import kind_rank
 from ...storage import StageTables
+from ..numbering import repeat_rows
 from .edges import edges_known, roots
 from .iterate import NODE, relax
 
@@ -43,7 +44,7 @@ def tree_expansion(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.col("kind").alias("dst_kind"),
         F.col("version").alias("dst_version"),
     )
-    links, _ = stage.put(links.join(target, ["graph_id", "dst"]), "links")
+    links, sizes = stage.put(links.join(target, ["graph_id", "dst"]), "links", most=F.max("copies"))
     adjacency = links.select("graph_id", F.col("src").alias("node_id"), F.col("dst").alias("to_id"), "dst_name")
 
     def extend(label: Column) -> Column:
@@ -68,7 +69,7 @@ def tree_expansion(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     root_rows = labels.filter(F.size("label") == 1).join(shown, NODE)
     root_rows = root_rows.select(
-        "graph_id", F.col("label").alias("path"), F.lit(0).alias("copy"), "node_id", "name", "kind", "version",
+        "graph_id", F.col("label").alias("path"), F.lit(0).cast("long").alias("copy"), "node_id", "name", "kind", "version",
         F.lit("root").alias("marker"),
     )
     from_label = labels.select("graph_id", F.col("node_id").alias("src"), F.col("label").alias("src_label"))
@@ -78,7 +79,10 @@ def tree_expansion(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     on_path = F.exists("src_label", lambda step: step["id"] == F.col("dst"))
     tried = tried.select("*", path.alias("path"), on_path.alias("on_path"))
     first = F.when(F.col("on_path"), "cycle").when(F.col("path") == F.col("dst_label"), "expand").otherwise("see above")
-    edge_rows = tried.select("*", first.alias("first"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    tried = tried.select(
+        "graph_id", "src", "dst", "copies", "path", "dst_name", "dst_kind", "dst_version", first.alias("first")
+    )
+    edge_rows = repeat_rows(tried, "copies", sizes["most"])
     repeated = (F.col("copy") > 1) & (F.col("first") == "expand")
     edge_rows = edge_rows.select(
         "graph_id", "path", "copy",

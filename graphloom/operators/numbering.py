@@ -83,6 +83,19 @@ def running_last(
     return merged.select(*df.columns, *[F.coalesce(f"_local_{n}", f"_carry_{n}").alias(n) for n in values])
 
 
+def repeat_rows(df: DataFrame, copies: str, most: int, name: str = "copy", chunk: int = 100_000) -> DataFrame:
+    """Each row as often as its `copies` says, numbered from 1; `most` is the highest count.
+    Rows with very many copies are cut into chunks that are spread before they are unfolded."""
+    if most <= chunk:
+        return df.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(name))
+    last = F.floor((F.col(copies) - 1) / chunk).cast("long")
+    chunks = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_chunk"))
+    chunks = chunks.repartition(*[F.col(c) for c in df.columns if c != copies][:3], F.col("_chunk"))
+    size = F.least(F.lit(chunk), F.col(copies) - F.col("_chunk") * chunk).cast("int")
+    inner = F.explode(F.sequence(F.lit(1), size)).alias("_inner")
+    return chunks.select("*", inner).select(*df.columns, (F.col("_chunk") * chunk + F.col("_inner")).alias(name))
+
+
 def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row per key; `order` must be total within a key."""
     rest = [c for c in df.columns if c not in key]

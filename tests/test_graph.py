@@ -263,3 +263,22 @@ def test_levels_grow_along_edges(make_graph):
     assert len(level) == sum(len(k) for k, _ in graphs.values())
     for g, (_, pairs) in graphs.items():
         assert all(level[g, a] < level[g, b] for a, b in pairs)
+
+
+def test_large_state_path_gives_the_same(make_graph, monkeypatch):
+    graphs = random_graphs(40, seed=21)
+    nodes, edges = make_graph(graphs)
+    seeds = nodes.filter("node_id = 'n0'")
+
+    def everything():
+        return [
+            rows(GI.strong_components(nodes, edges)),
+            rows(GI.longest_path_depth(nodes, edges)),
+            rows(GI.reachable_from(edges, seeds)),
+        ]
+
+    plain = everything()
+    monkeypatch.setattr(GI, "LARGE_STATE", 0)
+    assert everything() == plain
+    monkeypatch.setattr(GI, "BROADCAST_KEYS", 0)
+    assert everything() == plain

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from conftest import rows
-from graphloom.operators.numbering import first_wins, label_duplicates, number_rows, running_last, suffix_duplicates, top_n
+from graphloom.operators.numbering import first_wins, label_duplicates, number_rows, repeat_rows, running_last, suffix_duplicates, top_n
 
 
 def sample(spark, n=400):
@@ -80,3 +80,10 @@ def test_first_wins_keeps_whole_rows(spark):
 def test_top_n(spark):
     df = spark.createDataFrame([("g", i) for i in range(10)], "g string, o int")
     assert rows(top_n(df, ["g"], [F.desc("o")], 3), "o", "rank") == [(7, 3), (8, 2), (9, 1)]
+
+
+def test_repeat_rows_in_chunks(spark):
+    df = spark.createDataFrame([("a", 7), ("b", 1), ("c", 3)], "k string, n long")
+    expected = [("a", i) for i in range(1, 8)] + [("b", 1)] + [("c", i) for i in range(1, 4)]
+    for chunk in (100, 3):
+        assert rows(repeat_rows(df, "n", 7, chunk=chunk), "k", "copy") == expected
