@@ -217,3 +217,31 @@ def member_cardinality(type_text: Column | str, target: Column | str) -> Column:
     type_text = as_column(type_text)
     is_container = ~is_array(type_text) & (generic_head(type_text) == as_column(target))
     return F.when(is_collection_type(type_text) & ~is_container, "*").otherwise("1")
+
+
+def type_name(type_text: Column | str) -> Column:
+    """Simple name of a type: no namespace, type arguments or nullable mark."""
+    text = strip_nullable(F.trim(as_column(type_text)))
+    return last_segment(F.trim(F.regexp_replace(text, r"<.*$", "")))
+
+
+def is_entity_type(type_text: Column | str) -> Column:
+    """True for types that may be entities: no `System` part in the namespace, no primitive,
+    no array, and no well-known system name without a namespace."""
+    text = strip_nullable(F.trim(as_column(type_text)))
+    qualified = F.trim(F.regexp_replace(text, r"<.*$", ""))
+    namespace = F.regexp_replace(qualified, r"\.?[^.]*$", "")
+    name = last_segment(qualified)
+    primitive = F.lower(name).isin([t.lower() for t in [*VALUE_TYPES, "string"]])
+    in_system = F.array_contains(F.split(namespace, r"\."), "System")
+    return ~(is_array(text) | primitive | in_system | is_system_type(namespace, name))
+
+
+def is_navigation(type_text: Column | str) -> Column:
+    """True for references to and collections of entity types; arrays and collections of
+    primitives stay scalar columns."""
+    return ~is_array(type_text) & is_entity_type(element_type(type_text))
+
+
+def is_nullable(type_text: Column | str) -> Column:
+    return as_column(type_text).rlike(r"\?\s*$") | as_column(type_text).rlike(r"^(System\.)?Nullable<")

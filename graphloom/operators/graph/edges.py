@@ -103,10 +103,10 @@ def dedupe_type_edges(edges: DataFrame) -> DataFrame:
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that no edge of any type points to."""
-    targets = edges.select("graph_id", F.col("dst").alias("node_id"))
+    targets = edges.select("graph_id", F.col("dst").alias("node_id")).distinct()
     return nodes.join(targets, ["graph_id", "node_id"], "left_anti")
 
 
 def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    sources = edges.select("graph_id", F.col("src").alias("node_id"))
+    sources = edges.select("graph_id", F.col("src").alias("node_id")).distinct()
     return nodes.join(sources, ["graph_id", "node_id"], "left_anti")

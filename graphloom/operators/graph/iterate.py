@@ -90,7 +90,7 @@ def bounded_bfs(
     return found, edges.join(expanded, ["graph_id", "src"], "left_semi")
 
 
-def _peel(nodes: DataFrame, edges: DataFrame, waits_for: str, waiting: str, level: str) -> DataFrame:
+def _peel(nodes: DataFrame, edges: DataFrame, waits_for: str, waiting: str, level: str, stored: bool) -> DataFrame:
     """Level of every node that can be peeled: one more than the highest level among the
     nodes it waits for.  Nodes that wait for a cycle get no row.
 
@@ -99,7 +99,8 @@ def _peel(nodes: DataFrame, edges: DataFrame, waits_for: str, waiting: str, leve
     """
     stage = StageTables(nodes.sparkSession, "peel")
     links = edges.select("graph_id", F.col(waiting).alias("node_id"), F.col(waits_for).alias("on"))
-    links, _ = stage.put(links, "links")
+    if not stored:
+        links, _ = stage.put(links, "links")
     needs = links.groupBy(*NODE).agg(F.count(F.lit(1)).alias("need"))
     zero = F.lit(0).cast("long")
     needs, seen = stage.put(
@@ -131,16 +132,17 @@ def _peel(nodes: DataFrame, edges: DataFrame, waits_for: str, waiting: str, leve
     return start.unionByName(later)
 
 
-def longest_path_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def longest_path_depth(nodes: DataFrame, edges: DataFrame, stored: bool = False) -> DataFrame:
     """depth(leaf) = 0, depth(n) = 1 + the highest depth among its targets.  Nodes from which
-    a cycle can be reached are missing."""
-    return _peel(nodes, edges, waits_for="dst", waiting="src", level="depth")
+    a cycle can be reached are missing.  Both ends of every edge are in the node table; say
+    `stored` when the edges are read from a table as they are."""
+    return _peel(nodes, edges, waits_for="dst", waiting="src", level="depth", stored=stored)
 
 
-def topological_level(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def topological_level(nodes: DataFrame, edges: DataFrame, stored: bool = False) -> DataFrame:
     """Level 0 has no incoming edge; every edge goes to a higher level.  Nodes behind a cycle
     are missing."""
-    return _peel(nodes, edges, waits_for="src", waiting="dst", level="level")
+    return _peel(nodes, edges, waits_for="src", waiting="dst", level="level", stored=stored)
 
 
 def relax(

@@ -49,12 +49,13 @@ def _hotspots(projects: DataFrame, links: DataFrame, n: int) -> DataFrame:
 def depth_and_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per graph: average (two digits, half to even), lowest and highest longest-path depth of
     its project nodes, and whether it has a cycle.  A cycle makes all depth values NULL."""
-    return _depth_and_cycles(nodes, edges, project_edges(nodes, edges))
+    links, _ = StageTables(nodes.sparkSession, "depths").put(project_edges(nodes, edges).select("graph_id", "src", "dst"), "links")
+    return _depth_and_cycles(nodes, edges, links)
 
 
 def _depth_and_cycles(nodes: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
     projects = project_nodes(nodes)
-    depths = longest_path_depth(projects, links)
+    depths = longest_path_depth(projects, links, stored=True)
     totals = nodes.groupBy("graph_id").agg(F.count_if(F.col("kind") != "Package").alias("total"))
     levels = depths.groupBy("graph_id").agg(
         F.count(F.lit(1)).alias("levelled"),

@@ -480,12 +480,12 @@ def graph_has_cycles(spark, sf):
 
 @query("graph_depth", f"WITH RECURSIVE {FK}, {FK_DEPTH} SELECT 'fk' AS graph_id, node_id, depth FROM depths")
 def graph_depth(spark, sf):
-    return GI.longest_path_depth(*fk_graph(spark, sf))
+    return GI.longest_path_depth(*fk_graph(spark, sf), stored=True)
 
 
 @query("graph_depth_turns", f"WITH RECURSIVE {TURNS} SELECT graph_id, node_id, depth FROM tn_depths")
 def graph_depth_turns(spark, sf):
-    return GI.longest_path_depth(*turns_graph(spark, sf))
+    return GI.longest_path_depth(*turns_graph(spark, sf), stored=True)
 
 
 @query(
@@ -494,17 +494,17 @@ def graph_depth_turns(spark, sf):
     "SELECT 'fk' AS graph_id, node AS node_id, max(d) AS level FROM up GROUP BY node",
 )
 def graph_levels(spark, sf):
-    return GI.topological_level(*fk_graph(spark, sf))
+    return GI.topological_level(*fk_graph(spark, sf), stored=True)
 
 
 @query("graph_roots", f"WITH {FK} SELECT graph_id, node_id, name FROM fk_nodes n WHERE NOT EXISTS (SELECT 1 FROM fk_edges e WHERE e.dst = n.node_id)")
 def graph_roots(spark, sf):
-    return GE.roots(*fk_tables(spark, sf)).select("graph_id", "node_id", "name")
+    return GE.roots(*fk_graph(spark, sf)).select("graph_id", "node_id", "name")
 
 
 @query("graph_leaves", f"WITH {FK} SELECT graph_id, node_id, name FROM fk_nodes n WHERE NOT EXISTS (SELECT 1 FROM fk_edges e WHERE e.src = n.node_id)")
 def graph_leaves(spark, sf):
-    return GE.leaves(*fk_tables(spark, sf)).select("graph_id", "node_id", "name")
+    return GE.leaves(*fk_graph(spark, sf)).select("graph_id", "node_id", "name")
 
 
 @query(

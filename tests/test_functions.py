@@ -80,6 +80,12 @@ def test_described_types(apply):
     assert apply(types.member_cardinality("t", "d"), [("Order[]", "Order"), ("PagedList<Order>", "Order"), ("PagedList<Order>", "PagedList"), ("Result<Order>", "Order")], "t string, d string") == ["*", "*", "1", "1"]
 
 
+def test_navigation_types(apply):
+    cases = ["Order", "Order?", "List<Order>", "ICollection<string>", "Order[]", "byte[]", "System.Text.Rune", "My.System.X", "Guid?", "Nullable<DateTime>", "Dictionary<int, Order>"]
+    assert apply(types.is_navigation("v"), cases) == [True, True, True, False, False, False, False, False, False, False, False]
+    assert apply(types.type_name("v"), ["Shop.Map<A, B.C>?", "X"]) == ["Map", "X"]
+
+
 def test_system_types(apply):
     cases = [("System", "X"), ("System.Text", "X"), ("Systems.Combat", "X"), ("Microsoft.Extensions.Http", "X"), ("MyApp", "Task"), ("", "Task"), ("", "string"), (None, "Order")]
     assert apply(types.is_system_type("n", "t"), cases, "n string, t string") == [True, True, False, True, False, True, True, False]

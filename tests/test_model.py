@@ -385,3 +385,32 @@ def test_flatten_and_split(nested):
     assert set(tables) == {"Order", "Order_Lines", "Order_Lines_Parts"}
     assert rows(tables["Order_Lines"]) == [(1, 0, "a"), (1, 1, "b")]
     assert rows(tables["Order_Lines_Parts"]) == [(1, 0, 0, 1), (1, 0, 1, 2)]
+
+
+def test_members_split_into_columns_and_navigations(spark):
+    from graphloom.operators.model import members as MM
+
+    def member(level, ordinal, name, kind, static=False, setter=True, required=False, length=None, stored=None):
+        return ("m", "Post", level, ordinal, name, kind, static, False, setter, required, length, stored)
+
+    members = spark.createDataFrame(
+        [
+            member(0, 1, "Id", "int"),
+            member(0, 2, "Title", "string?", required=True, length=80),
+            member(0, 3, "Author", "Shop.User?"),
+            member(0, 4, "Tags", "List<Tag>"),
+            member(0, 5, "Labels", "List<string>"),
+            member(0, 6, "Count", "int", static=True),
+            member(0, 7, "Total", "int", setter=False),
+            member(1, 1, "Id", "Guid"),
+            member(1, 2, "Price", "decimal", stored="decimal(18,2)"),
+            member(1, 3, "Owner", "User"),
+        ],
+        "model_id string, entity_key string, level int, ordinal int, name string, type string, is_static boolean, is_indexer boolean, has_setter boolean, is_required boolean, max_length int, column_type string",
+    )
+    found = rows(MM.describe_members(members), "name", "type", "is_required", "is_explicitly_required", "max_length", "precision", "scale")
+    assert found == [
+        ("Id", "int", True, False, None, None, None), ("Labels", "List<string>", True, False, None, None, None),
+        ("Price", "decimal", True, False, None, 18, 2), ("Title", "string?", True, True, 80, None, None),
+    ]
+    assert rows(MM.navigation_members(members), "nav", "target", "is_collection", "is_nullable") == [("Author", "User", False, True), ("Tags", "Tag", True, False)]
