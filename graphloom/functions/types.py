@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import as_column
+from . import as_column, let
 from .paths import last_segment
 
 # Names of the described value types, compared without case.
@@ -150,16 +150,19 @@ def is_array(type_text: Column | str) -> Column:
 
 def element_type(type_text: Column | str) -> Column:
     """Element of an array (innermost), of a navigation collection, or of a nullable; else the type."""
-    text = strip_nullable(F.trim(as_column(type_text)))
     names = "|".join(NAVIGATION_COLLECTIONS)
-    collection = F.regexp_extract(text, rf"(?i)^(?:[\w.]*\.)?(?:{names})<(.+)>$", 1)
-    nullable = F.regexp_extract(text, r"^(?:System\.)?Nullable<(.+)>$", 1)
-    return (
-        F.when(is_array(text), F.regexp_replace(text, r"(\?|\[,*\])+$", ""))
-        .when(collection != "", strip_nullable(F.trim(collection)))
-        .when(nullable != "", strip_nullable(F.trim(nullable)))
-        .otherwise(text)
-    )
+
+    def unwrap(text: Column) -> Column:
+        collection = F.regexp_extract(text, rf"(?i)^(?:[\w.]*\.)?(?:{names})<(.+)>$", 1)
+        nullable = F.regexp_extract(text, r"^(?:System\.)?Nullable<(.+)>$", 1)
+        return (
+            F.when(text.rlike(r"\[,*\]$"), F.regexp_replace(text, r"(\?|\[,*\])+$", ""))
+            .when(collection != "", strip_nullable(F.trim(collection)))
+            .when(nullable != "", strip_nullable(F.trim(nullable)))
+            .otherwise(text)
+        )
+
+    return let(strip_nullable(F.trim(as_column(type_text))), unwrap)
 
 
 def is_to_many(type_text: Column | str) -> Column:
@@ -228,13 +231,22 @@ def type_name(type_text: Column | str) -> Column:
 def is_entity_type(type_text: Column | str) -> Column:
     """True for types that may be entities: no `System` part in the namespace, no primitive,
     no array, and no well-known system name without a namespace."""
-    text = strip_nullable(F.trim(as_column(type_text)))
-    qualified = F.trim(F.regexp_replace(text, r"<.*$", ""))
-    namespace = F.regexp_replace(qualified, r"\.?[^.]*$", "")
-    name = last_segment(qualified)
-    primitive = F.lower(name).isin([t.lower() for t in [*VALUE_TYPES, "string"]])
-    in_system = F.array_contains(F.split(namespace, r"\."), "System")
-    return ~(is_array(text) | primitive | in_system | is_system_type(namespace, name))
+    primitives = [t.lower() for t in [*VALUE_TYPES, "string"]]
+
+    def judge(qualified: Column) -> Column:
+        namespace, name = F.regexp_replace(qualified, r"\.?[^.]*$", ""), last_segment(qualified)
+        return let(
+            F.struct(namespace.alias("namespace"), name.alias("name")),
+            lambda t: ~(
+                F.lower(t["name"]).isin(primitives)
+                | F.array_contains(F.split(t["namespace"], r"\."), "System")
+                | is_system_type(t["namespace"], t["name"])
+            ),
+        )
+
+    # Type arguments fall away, array marks stay and are told apart here.
+    qualified = F.trim(F.regexp_replace(strip_nullable(F.trim(as_column(type_text))), r"<.*>", ""))
+    return let(qualified, lambda q: ~q.rlike(r"\[,*\]$") & judge(q))
 
 
 def is_navigation(type_text: Column | str) -> Column:

@@ -109,11 +109,14 @@ def _peel(nodes: DataFrame, edges: DataFrame, waits_for: str, waiting: str, leve
         done=F.count_if(F.col("need") == 0),
         nodes=F.count(F.lit(1)),
     )
-    node_rows = seen["nodes"]
+    node_rows, settled_rows = seen["nodes"], 0
     settled = needs.filter("need = 0").select(*NODE)
     pending = None
     round_no = 0
     while seen["done"]:
+        settled_rows += seen["done"]
+        if settled_rows == node_rows:
+            break
         round_no += 1
         hits = settled.withColumnRenamed("node_id", "on").join(links, ["graph_id", "on"])
         hits = hits.groupBy(*NODE).agg(F.count(F.lit(1)).alias("got"))

@@ -84,14 +84,10 @@ def _depth_and_cycles(nodes: DataFrame, edges: DataFrame, links: DataFrame) -> D
 def _other_cyclic_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame | None:
     """Graphs with a cycle that runs through packages or edges other than project references.
     Packages are sinks in built graphs, so one cheap check usually rules this out."""
-    package_out = edges.join(
-        nodes.filter(F.col("kind") == "Package").select("graph_id", F.col("node_id").alias("src")),
-        ["graph_id", "src"],
-        "left_semi",
-    )
     project = project_nodes(nodes).select("graph_id", F.col("node_id").alias("dst"))
-    odd = edges.filter(F.col("edge_type") != PROJECT_REFERENCE).join(project, ["graph_id", "dst"], "left_semi")
-    if odd.isEmpty() and package_out.isEmpty():
+    other = edges.filter(F.col("edge_type") != PROJECT_REFERENCE).join(project, ["graph_id", "dst"], "left_semi")
+    packages = nodes.filter(F.col("kind") == "Package").select("graph_id", F.col("node_id").alias("src"))
+    if other.isEmpty() and (packages.isEmpty() or edges.join(packages, ["graph_id", "src"], "left_semi").isEmpty()):
         return None
     proper = edges.filter(F.col("src") != F.col("dst"))
     known = nodes.select("graph_id", F.col("node_id").alias("src"))

@@ -353,7 +353,7 @@ def graph_in_degree(spark, sf):
     "row_number() OVER (ORDER BY h.in_degree DESC, n.name, n.node_id) AS rank FROM hits h JOIN fk_nodes n ON n.node_id = h.dst) WHERE rank <= 5",
 )
 def graph_hotspots(spark, sf):
-    return GM.hotspots(*fk_graph(spark, sf), n=5)
+    return GM.hotspots(*fk_tables(spark, sf), n=5)
 
 
 @query(
@@ -373,8 +373,8 @@ def link_hotspots(spark, sf):
 )
 def graph_direct_refs(spark, sf):
     """Number of direct references per node with the first and last of them by name."""
-    nodes, edges = fk_graph(spark, sf)
-    named = GE.attach_names(nodes, edges)
+    nodes, edges = fk_tables(spark, sf)
+    named = GE.attach_names(nodes.withColumn("version", F.lit(None).cast("string")), edges)
     return named.groupBy("graph_id", "src").agg(
         F.count(F.lit(1)).alias("out_degree"), F.min("dst_name").alias("first_ref"), F.max("dst_name").alias("last_ref")
     )
