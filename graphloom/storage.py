@@ -27,7 +27,10 @@ def work_dir(spark: SparkSession) -> str:
             base = tempfile.mkdtemp(prefix="graphloom-")
         root = f"{base.rstrip('/')}/stage-{app}"
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        # Only a folder that exists can be marked; it goes when the application ends.
+        files.mkdirs(path)
+        files.deleteOnExit(path)
         _roots[app] = root
     return _roots[app]
 

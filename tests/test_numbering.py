@@ -87,3 +87,17 @@ def test_repeat_rows_in_chunks(spark):
     expected = [("a", i) for i in range(1, 8)] + [("b", 1)] + [("c", i) for i in range(1, 4)]
     for chunk in (100, 3):
         assert rows(repeat_rows(df, "n", 7, chunk=chunk), "k", "copy") == expected
+
+
+def test_stage_tables_live_in_the_session_folder(spark):
+    from graphloom.storage import StageTables, work_dir
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert work_dir(spark).startswith(named)
+    stage = StageTables(spark, "t")
+    df, seen = stage.put(spark.range(5).filter("id > 9"), "empty", n=F.count(F.lit(1)))
+    assert seen == {"n": 0} and df.count() == 0
+    stage.append(spark.range(2), "log", 0)
+    stage.append(spark.range(3), "log", 1)
+    assert rows(stage.log("log").groupBy("round").count()) == [(0, 2), (1, 3)]
