@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import line_dedup, mixing, packing, sharding, simhash, token_files
+from graphloom.llm import ann, chat, itq, line_dedup, mixing, packing, quality, sharding, simhash, token_files
 from graphloom.storage import StageTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +143,36 @@ FROM ordered
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
     return mixing.mix(docs, StageTables(spark, "mix")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_line_crf")
+def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model).drop("text")
+    return scored.select(
+        "doc_id",
+        F.coalesce(~quality.in_training(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+@query("op2_curve_neighbours")
+def op2_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op3_chat_format")
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.format_and_read(rows.unionByName(own))
+
+
+@query("op6_itq_near_copies")
+def op6_itq_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.classes_of_vectors(table(spark, sf_dir, "embeddings"))
