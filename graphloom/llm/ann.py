@@ -154,8 +154,8 @@ def search(
     kind = df.schema[vector].dataType.simpleString()
     placed = rows.select("id", "v", "q").mapInArrow(keys, f"curve int, place long, id long, v {kind}, q boolean")
     ordered = in_order(placed, ["curve", "place", "id"], stage, "curves")
-    # Blocks of at most BLOCK_ROWS rows, and at least 24 of them on each curve.
-    blocks = max(24, math.ceil(count / BLOCK_ROWS))
+    # Blocks of at most BLOCK_ROWS rows; 24 on each curve if they then hold some times `top` rows.
+    blocks = max(min(24, count // (4 * top)), math.ceil(count / BLOCK_ROWS))
     reach = max(1, math.ceil((window * blocks - 1) / 2))
     block = (F.col("r") * blocks / count).cast("long")
     cut = ranked(ordered, ["curve"], "r").withColumn("block", block).drop("r", "place")

@@ -95,7 +95,7 @@ def slice_links(fp: np.ndarray, number: int, bits: int, radius: int) -> tuple[np
     """Links between the fingerprints that share a variant in one slice, as a spanning forest."""
     ways = flips(bits, radius // 2)
     change = slice_number(fp, bits) ^ number
-    groups = [(np.flatnonzero(change == c), ways[int(c)]) for c in np.unique(change)]
+    groups = [(np.flatnonzero(change == c), ways[int(c)]) for c in np.unique(change) if int(c) in ways]
     total = sum(len(rows) * len(masks) for rows, masks in groups)
     passes = -(-total // VARIANTS_AT_ONCE)
     label = np.arange(len(fp))
