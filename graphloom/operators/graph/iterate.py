@@ -18,26 +18,6 @@ from .edges import drop_self_edges, self_edges
 
 NODE = ["graph_id", "node_id"]
 
-# From this many rows of loop state on, a round first looks how little of it is touched.
-LARGE_STATE = 20_000_000
-# Keys of at most this many rows are broadcast to cut the state down.
-BROADCAST_KEYS = 1_000_000
-
-
-def _narrow(
-    stage: StageTables, state: DataFrame, news: DataFrame, key: list[str], name: str, state_rows: int
-) -> tuple[DataFrame, DataFrame]:
-    """(state, news) for the join of a round.  Large state is cut down to the keys that the
-    round brings, by a broadcast filter, when those are few: late rounds touch little and
-    then shuffle little.  Otherwise both are shuffled as they are."""
-    if state_rows < LARGE_STATE:
-        return state, news
-    news, seen = stage.put(news, name, n=F.count(F.lit(1)))
-    if seen["n"] <= BROADCAST_KEYS:
-        state = state.join(F.broadcast(news.select(*key)), key, "left_semi")
-    return state, news
-
-
 def _pairs(edges: DataFrame) -> DataFrame:
     return edges.select("graph_id", "src", "dst").distinct()
 
@@ -53,14 +33,12 @@ def reachable_from(edges: DataFrame, seeds: DataFrame, max_depth: int | None = N
     stage = StageTables(edges.sparkSession, "reach")
     adjacency, _ = stage.put(_pairs(edges), "adjacency")
     frontier, seen = stage.append(seeds.select(*NODE).distinct(), "visited", 0, n=F.count(F.lit(1)))
-    depth, visited_rows = 0, 0
+    depth = 0
     while seen["n"] and (max_depth is None or depth < max_depth):
         depth += 1
-        visited_rows += seen["n"]
         ahead = frontier.withColumnRenamed("node_id", "src").join(adjacency, ["graph_id", "src"])
         ahead = ahead.select("graph_id", F.col("dst").alias("node_id")).distinct()
-        visited, ahead = _narrow(stage, stage.log("visited").select(*NODE), ahead, NODE, f"ahead={depth}", visited_rows)
-        fresh = ahead.join(visited, NODE, "left_anti")
+        fresh = ahead.join(stage.log("visited").select(*NODE), NODE, "left_anti")
         frontier, seen = stage.append(fresh, "visited", depth, n=F.count(F.lit(1)))
     return stage.log("visited").withColumnRenamed("round", "depth")
 
@@ -90,62 +68,102 @@ def bounded_bfs(
     return found, edges.join(expanded, ["graph_id", "src"], "left_semi")
 
 
-def _peel(nodes: DataFrame, edges: DataFrame, waits_for: str, waiting: str, level: str, stored: bool) -> DataFrame:
+def _follow(stage: StageTables, pointers: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Follows pointers to their ends by doubling: (settled, endless).
+
+    pointers: graph_id, node_id, to_id, one per node.  settled: graph_id, node_id, to_id (the first
+    node on the way that has no pointer), last (the node before it), steps, low (smallest node id
+    on the way, to_id not counted).  endless: nodes whose way runs in a circle, with low, the
+    smallest id of the circle and what leads into it from the node.  Each round doubles the way,
+    so n nodes need about log2(n) rounds.
+    """
+    way = pointers.select(*NODE, "to_id", F.col("node_id").alias("last"), F.lit(1).cast("long").alias("steps"), F.col("node_id").alias("low"))
+    current, seen = stage.put(way, f"{name}=0", n=F.count(F.lit(1)))
+    most, reach, round_no = seen["n"], 1, 0
+    while seen["n"] and reach <= 2 * most:
+        round_no += 1
+        reach *= 2
+        further = current.select("graph_id", F.col("node_id").alias("to_id"), *[F.col(c).alias(f"_{c}") for c in ("to_id", "last", "steps", "low")])
+        joined = current.join(further, ["graph_id", "to_id"], "left")
+        moved = F.col("_to_id").isNotNull()
+        current, seen = stage.put(
+            joined.select(
+                *NODE,
+                F.coalesce("_to_id", "to_id").alias("to_id"),
+                F.coalesce("_last", "last").alias("last"),
+                (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
+                F.least("low", F.coalesce("_low", "low")).alias("low"),
+                moved.alias("moved"),
+            ),
+            f"{name}={round_no}",
+            n=F.count_if("moved"),
+        )
+    if not most:
+        return current, current
+    # Ways that still move after more steps than there are nodes run in a circle.
+    return current.filter(~F.col("moved")).drop("moved"), current.filter("moved").drop("moved")
+
+
+def _peel(nodes: DataFrame, edges: DataFrame, waits_for: str, waiting: str, level: str) -> DataFrame:
     """Level of every node that can be peeled: one more than the highest level among the
     nodes it waits for.  Nodes that wait for a cycle get no row.
 
-    Each edge is joined once, in the round its end settles; counts of settled edges are kept
-    only for nodes that are partly settled.  Repeated edges count on both sides.
+    Nodes that wait for a single other node are followed to the end of their run at once, so a run
+    of any length costs the logarithm of it in rounds.  Between the other nodes each edge is joined
+    once, in the round its end settles, and brings the level that its run adds.
     """
     stage = StageTables(nodes.sparkSession, "peel")
-    links = edges.select("graph_id", F.col(waiting).alias("node_id"), F.col(waits_for).alias("on"))
-    if not stored:
-        links, _ = stage.put(links, "links")
-    needs = links.groupBy(*NODE).agg(F.count(F.lit(1)).alias("need"))
+    links = edges.select("graph_id", F.col(waiting).alias("node_id"), F.col(waits_for).alias("on")).distinct()
+    links, _ = stage.put(links, "links")
     zero = F.lit(0).cast("long")
-    needs, seen = stage.put(
-        nodes.select(*NODE).join(needs, NODE, "left").withColumn("need", F.coalesce("need", zero)),
-        "needs",
-        done=F.count_if(F.col("need") == 0),
-        nodes=F.count(F.lit(1)),
+    needs = links.groupBy(*NODE).agg(F.count(F.lit(1)).alias("need"), F.min("on").alias("to_id"))
+    needs, _ = stage.put(needs, "needs")
+    settled_runs, endless = _follow(stage, needs.filter("need = 1").select(*NODE, "to_id"), "run")
+    runs = settled_runs.select(*NODE, F.col("to_id").alias("end"), "steps")
+    # Edges of the other nodes lead to the ends of runs; those into a circle stay open for ever.
+    run_of = runs.withColumnRenamed("node_id", "on")
+    forks = links.join(needs.filter("need > 1").select(*NODE), NODE, "left_semi").join(run_of, ["graph_id", "on"], "left")
+    forks = forks.join(
+        endless.select("graph_id", F.col("node_id").alias("on"), F.lit(True).alias("lost")), ["graph_id", "on"], "left"
+    ).filter("lost is null")
+    forks, _ = stage.put(
+        forks.select(*NODE, F.coalesce("end", "on").alias("on"), (F.coalesce("steps", zero) + 1).alias("steps")), "forks"
     )
-    node_rows, settled_rows = seen["nodes"], 0
-    settled = needs.filter("need = 0").select(*NODE)
+    wanted = needs.filter("need > 1").select(*NODE, "need")
+    start = nodes.select(*NODE).join(needs.select(*NODE), NODE, "left_anti").withColumn("level", zero)
+    settled, seen = stage.append(start, "levels", 0, n=F.count(F.lit(1)))
     pending = None
     round_no = 0
-    while seen["done"]:
-        settled_rows += seen["done"]
-        if settled_rows == node_rows:
-            break
+    while seen["n"]:
         round_no += 1
-        hits = settled.withColumnRenamed("node_id", "on").join(links, ["graph_id", "on"])
-        hits = hits.groupBy(*NODE).agg(F.count(F.lit(1)).alias("got"))
-        known, hits = _narrow(stage, needs, hits, NODE, f"hits={round_no}", node_rows)
-        hits = hits.join(known, NODE)
+        hits = settled.withColumnRenamed("node_id", "on").join(forks, ["graph_id", "on"])
+        hits = hits.groupBy(*NODE).agg(F.count(F.lit(1)).alias("got"), F.max(F.col("level") + F.col("steps")).alias("level"))
         if pending is not None:
-            merged = hits.unionByName(pending).groupBy(*NODE)
-            hits = merged.agg(F.sum("got").alias("got"), F.max("need").alias("need"))
-        touched, seen = stage.append(hits, "touched", round_no, done=F.count_if(F.col("got") == F.col("need")))
-        settled = touched.filter("got = need").select(*NODE)
-        pending = touched.filter("got < need")
-    start = needs.filter("need = 0").select(*NODE, F.lit(0).alias(level))
-    if not round_no:
-        return start
-    later = stage.log("touched").filter("got = need").select(*NODE, F.col("round").alias(level))
-    return start.unionByName(later)
-
-
-def longest_path_depth(nodes: DataFrame, edges: DataFrame, stored: bool = False) -> DataFrame:
+            hits = hits.unionByName(pending).groupBy(*NODE).agg(F.sum("got").alias("got"), F.max("level").alias("level"))
+        touched, seen = stage.put(
+            hits.join(wanted, NODE), f"touched={round_no}", n=F.count_if(F.col("got") == F.col("need")), all=F.count(F.lit(1))
+        )
+        if not seen["n"]:
+            break
+        settled, _ = stage.append(touched.filter("got = need").select(*NODE, "level"), "levels", round_no)
+        pending = touched.filter("got < need").select(*NODE, "got", "level") if seen["all"] > seen["n"] else None
+    ends = stage.log("levels").drop("round")
+    ends, _ = stage.put(ends, "ends")
+    along = runs.join(ends.withColumnRenamed("node_id", "end"), ["graph_id", "end"])
+    along = along.select(*NODE, (F.col("level") + F.col("steps")).alias("level"))
+    return ends.unionByName(along).select(*NODE, F.col("level").cast("int").alias(level))
+
+
+def longest_path_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """depth(leaf) = 0, depth(n) = 1 + the highest depth among its targets.  Nodes from which
-    a cycle can be reached are missing.  Both ends of every edge are in the node table; say
-    `stored` when the edges are read from a table as they are."""
-    return _peel(nodes, edges, waits_for="dst", waiting="src", level="depth", stored=stored)
+    a cycle can be reached are missing.  Both ends of every edge are in the node table."""
+    return _peel(nodes, edges, waits_for="dst", waiting="src", level="depth")
 
 
-def topological_level(nodes: DataFrame, edges: DataFrame, stored: bool = False) -> DataFrame:
+def topological_level(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Level 0 has no incoming edge; every edge goes to a higher level.  Nodes behind a cycle
     are missing."""
-    return _peel(nodes, edges, waits_for="src", waiting="dst", level="level", stored=stored)
+    return _peel(nodes, edges, waits_for="src", waiting="dst", level="level")
 
 
 def relax(
@@ -163,34 +181,83 @@ def relax(
     refuse an offer.  Only labels improved in the last round travel on.
     """
     others = [c for c in key if c != "node_id"]
-    changed, seen = stage.append(start.select(*key, "label"), "labels", 0, n=F.count(F.lit(1)))
-    round_no, label_rows = 0, 0
+    epoch, round_no, recent_rows = 0, 0, 0
+    changed, seen = stage.append(start.select(*key, "label"), "labels-0", 0, n=F.count(F.lit(1)))
+    base_rows = seen["n"]
+
+    def current() -> DataFrame:
+        return stage.log(f"labels-{epoch}").groupBy(*key).agg(F.min("label").alias("label"))
+
     while seen["n"]:
         round_no += 1
-        label_rows += seen["n"]
         offers = changed.join(adjacency, key)
         if allow is not None:
             offers = offers.filter(allow(F.col("label")))
         offers = offers.select(*others, F.col("to_id").alias("node_id"), extend(F.col("label")).alias("offer"))
         offers = offers.groupBy(*key).agg(F.min("offer").alias("offer"))
-        labels, offers = _narrow(stage, stage.log("labels"), offers, key, f"offers={round_no}", label_rows)
-        known = labels.groupBy(*key).agg(F.min("label").alias("label"))
-        better = offers.join(known, key, "left")
+        better = offers.join(current(), key, "left")
         better = better.filter(F.col("label").isNull() | (F.col("offer") < F.col("label")))
         better = better.select(*key, F.col("offer").alias("label"))
-        changed, seen = stage.append(better, "labels", round_no, n=F.count(F.lit(1)))
-    return stage.log("labels").groupBy(*key).agg(F.min("label").alias("label"))
+        changed, seen = stage.append(better, f"labels-{epoch}", round_no, n=F.count(F.lit(1)))
+        recent_rows += seen["n"]
+        if seen["n"] and recent_rows >= base_rows:
+            # The log has doubled: fold it, so that a round reads about two rows per label.
+            merged = current()
+            epoch += 1
+            _, kept = stage.append(merged, f"labels-{epoch}", 0, n=F.count(F.lit(1)))
+            base_rows, recent_rows = kept["n"], 0
+    return current()
 
 
 def min_reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The smallest node id from which each node can be reached, itself included."""
+    """The smallest node id from which each node can be reached, itself included.
+
+    Nodes with a single incoming edge are followed back to the start of their run at once; labels
+    travel only between the other nodes."""
     stage = StageTables(nodes.sparkSession, "minreach")
-    links = drop_self_edges(_pairs(edges))
-    adjacency, _ = stage.put(
-        links.select("graph_id", F.col("src").alias("node_id"), F.col("dst").alias("to_id")), "adjacency"
+    known = nodes.select("graph_id", F.col("node_id").alias("src"))
+    links, _ = stage.put(drop_self_edges(_pairs(edges)).join(known, ["graph_id", "src"], "left_semi"), "links")
+    needs = links.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("to_id"))
+    needs = needs.join(nodes.select(*NODE), NODE, "left_semi")
+    needs, _ = stage.put(needs, "needs")
+    runs, endless = _follow(stage, needs.filter("n = 1").select(*NODE, "to_id"), "run")
+    forks = needs.filter("n > 1").select("graph_id", F.col("node_id").alias("dst"))
+    into = links.join(forks, ["graph_id", "dst"], "left_semi")
+    way = runs.select("graph_id", F.col("node_id").alias("src"), "to_id", "low").unionByName(
+        endless.select("graph_id", F.col("node_id").alias("src"), F.lit(None).cast("string").alias("to_id"), "low")
     )
-    start = nodes.select(*NODE).withColumn("label", F.col("node_id"))
-    return relax(stage, adjacency, start, NODE, lambda label: label).withColumnRenamed("label", "min_src")
+    into, _ = stage.put(into.join(way, ["graph_id", "src"], "left"), "into")
+    anchors = nodes.select(*NODE).join(needs.filter("n = 1").select(*NODE), NODE, "left_anti")
+    lows = into.filter("low is not null").select("graph_id", F.col("dst").alias("node_id"), F.col("low").alias("label"))
+    start = anchors.withColumn("label", F.col("node_id")).unionByName(lows).groupBy(*NODE).agg(F.min("label").alias("label"))
+    # An edge starts where the run that it ends starts; a circle was counted above.
+    origin = F.when(F.col("low").isNull(), F.col("src")).otherwise(F.col("to_id"))
+    adjacency = into.select("graph_id", origin.alias("node_id"), F.col("dst").alias("to_id")).filter("node_id is not null")
+    adjacency, _ = stage.put(adjacency.distinct(), "adjacency")
+    labels, _ = stage.put(relax(stage, adjacency, start, NODE, lambda label: label), "labels")
+    along = runs.join(labels.select("graph_id", F.col("node_id").alias("to_id"), "label"), ["graph_id", "to_id"], "left")
+    along = along.select(*NODE, F.least("low", F.coalesce("label", "low")).alias("label"))
+    circles = endless.select(*NODE, F.col("low").alias("label"))
+    return labels.unionByName(along).unionByName(circles).withColumnRenamed("label", "min_src")
+
+
+def _contract(stage: StageTables, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links with runs of nodes that have one link in and one out replaced by a link each:
+    (links, runs, circles).  runs: graph_id, node_id, start, end (the nodes around the run);
+    circles: graph_id, node_id, low, for rings of such nodes."""
+    ins = links.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("ins"))
+    outs = links.groupBy("graph_id", F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("outs"), F.min("dst").alias("to_id"))
+    single = ins.join(outs, NODE).filter("ins = 1 and outs = 1").select(*NODE, "to_id")
+    way, circles = _follow(stage, single, "run")
+    # The last node of a run names it.
+    head = way.select("graph_id", F.col("node_id").alias("dst"), "last", F.col("to_id").alias("end"))
+    inner = way.select("graph_id", F.col("node_id").alias("src")).unionByName(circles.select("graph_id", F.col("node_id").alias("src")))
+    outer, _ = stage.put(links.join(inner, ["graph_id", "src"], "left_anti"), "outer")
+    entries = outer.join(head, ["graph_id", "dst"]).select("graph_id", "last", F.col("src").alias("start"), "end")
+    runs, _ = stage.put(way.select(*NODE, "last").join(entries, ["graph_id", "last"]).drop("last"), "runs")
+    direct = outer.join(head.select("graph_id", "dst"), ["graph_id", "dst"], "left_anti")
+    short = entries.select("graph_id", F.col("start").alias("src"), F.col("end").alias("dst")).filter("src <> dst")
+    return direct.select("graph_id", "src", "dst").unionByName(short).distinct(), runs, circles.select(*NODE, "low")
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -200,13 +267,14 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Each phase sends the smallest id along the edges and against them at once.  A node that
     meets the same id both ways is in that id's component.  Edges whose ends met different
     ids cannot lie inside a component and are dropped, as are finished nodes, and the rest
-    goes into the next phase.
+    goes into the next phase.  Each phase first replaces runs of nodes with one link in and one
+    out by single links; their nodes belong to the component that holds both ends, if one does.
     """
     spark = nodes.sparkSession
     known = nodes.select("graph_id", F.col("node_id").alias("src"))
     found = StageTables(spark, "components")
     links = drop_self_edges(_pairs(edges)).join(known, ["graph_id", "src"], "left_semi")
-    phase = 0
+    phase, folded, rings = 0, [], []
     while True:
         # Only a node with edges both in and out can be on a cycle.
         stage = StageTables(spark, "scc")
@@ -216,6 +284,10 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         links, seen = stage.put(links, "links", n=F.count(F.lit(1)))
         if not seen["n"]:
             break
+        links, runs, circles = _contract(stage, links)
+        folded.append(runs)
+        rings.append(circles)
+        links, _ = stage.put(links, "contracted")
         ahead = links.select("graph_id", F.lit(True).alias("ahead"), F.col("src").alias("node_id"), F.col("dst").alias("to_id"))
         back = links.select("graph_id", F.lit(False).alias("ahead"), F.col("dst").alias("node_id"), F.col("src").alias("to_id"))
         start = ahead.unionByName(back).select("graph_id", "ahead", "node_id").distinct()
@@ -236,6 +308,23 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     if not phase:
         return result.withColumn("component", F.col("node_id"))
     members = found.log("met").filter(F.col("low_in") == F.col("low_out")).select(*NODE, F.col("low_in").alias("component"))
+    for circles in rings:
+        members = members.unionByName(circles.withColumnRenamed("low", "component"))
+    # A later phase may have folded the ends of an earlier run, so the last phase is resolved first.
+    for number, runs in reversed(list(enumerate(folded))):
+        members, _ = found.put(members, f"members-{number}")
+        around = runs
+        for side in ("start", "end"):
+            named = members.select("graph_id", F.col("node_id").alias(side), F.col("component").alias(f"_{side}"))
+            around = around.join(named, ["graph_id", side], "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+        inside = around.filter("_start = _end").select(*NODE, F.col("_start").alias("component"))
+        members = members.unionByName(inside)
+        # A node whose run comes back to it names the component itself.
+        names = inside.select("graph_id", F.col("component").alias("node_id"), "component").distinct()
+        members = members.unionByName(names.join(members.select(*NODE), NODE, "left_anti"))
+    members, _ = found.put(members.distinct(), "members")
+    smallest = members.groupBy("graph_id", "component").agg(F.min("node_id").alias("_name"))
+    members = members.join(smallest, ["graph_id", "component"]).select(*NODE, F.col("_name").alias("component"))
     return result.join(members, NODE, "left").withColumn("component", F.coalesce("component", "node_id"))
 
 
@@ -249,9 +338,10 @@ def cyclic_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return in_cycle.unionByName(looped).distinct()
 
 
-def base_closure(edges: DataFrame, seeds: DataFrame, max_levels: int | None = 10, skip: DataFrame | None = None) -> DataFrame:
-    """Base types of each seed (graph_id, seed, base, level), nearest level first.  Bases listed
-    in `skip` (interfaces, the root context type) are neither reported nor walked through."""
+def base_closure(edges: DataFrame, seeds: DataFrame, skip: DataFrame | None = None) -> DataFrame:
+    """Base types of each seed (graph_id, seed, base, level), nearest level first, to the end of
+    the chain.  Bases listed in `skip` (interfaces, the root context type) are neither reported nor
+    walked through."""
     stage = StageTables(edges.sparkSession, "bases")
     bases = edges.filter(F.col("edge_type") == "Inheritance").select("graph_id", "src", F.col("dst").alias("base"))
     bases = bases.distinct()
@@ -261,7 +351,7 @@ def base_closure(edges: DataFrame, seeds: DataFrame, max_levels: int | None = 10
     seeded = seeds.select("graph_id", F.col("node_id").alias("seed"), F.col("node_id").alias("base")).distinct()
     frontier, seen = stage.append(seeded, "closure", 0, n=F.count(F.lit(1)))
     level = 0
-    while seen["n"] and (max_levels is None or level < max_levels):
+    while seen["n"]:
         level += 1
         up = frontier.withColumnRenamed("base", "src").join(bases, ["graph_id", "src"])
         up = up.select("graph_id", "seed", "base").distinct()
@@ -271,19 +361,26 @@ def base_closure(edges: DataFrame, seeds: DataFrame, max_levels: int | None = 10
     return closure.filter(F.col("level") > 0)
 
 
-def inherited_members(members: DataFrame, edges: DataFrame, max_levels: int | None = None) -> DataFrame:
+def inherited_members(members: DataFrame, edges: DataFrame) -> DataFrame:
     """Own members and those of the base chain; the most derived declaration of a name wins.
 
     `members` has graph_id, node_id, ordinal, name and further columns; the result adds
-    declared_in and level."""
+    declared_in and level.  Declarations travel from base to derived types, a level per round, and
+    only where their name is new, so no pairs of types are kept.
+    """
     from ..numbering import first_wins
 
-    owners = members.select(*NODE).distinct()
-    derived = edges.filter(F.col("edge_type") == "Inheritance").select("graph_id", F.col("src").alias("node_id"))
-    seeds = owners.unionByName(derived.distinct()).distinct()
-    chain = base_closure(edges, seeds, max_levels)
-    chain = chain.select("graph_id", F.col("seed").alias("node_id"), F.col("base").alias("declared_in"), "level")
-    itself = seeds.select("graph_id", "node_id", F.col("node_id").alias("declared_in"), F.lit(0).alias("level"))
-    declared = members.withColumnRenamed("node_id", "declared_in")
-    spread = chain.unionByName(itself).join(declared, ["graph_id", "declared_in"])
-    return first_wins(spread, ["graph_id", "node_id", "name"], ["level", "ordinal", "declared_in"])
+    stage = StageTables(edges.sparkSession, "inherited")
+    derived = edges.filter(F.col("edge_type") == "Inheritance").select("graph_id", F.col("src").alias("to_id"), F.col("dst").alias("node_id"))
+    derived, _ = stage.put(derived.filter("to_id <> node_id").distinct(), "derived")
+    member, order = [*NODE, "name"], ["ordinal", "declared_in"]
+    own = first_wins(members.withColumn("declared_in", F.col("node_id")), member, order)
+    fresh, seen = stage.append(own, "members", 0, n=F.count(F.lit(1)))
+    level = 0
+    while seen["n"]:
+        level += 1
+        offers = fresh.join(derived, NODE).drop("node_id").withColumnRenamed("to_id", "node_id").select(*own.columns)
+        offers = first_wins(offers, member, order)
+        offers = offers.join(stage.log("members").select(*member), member, "left_anti")
+        fresh, seen = stage.append(offers, "members", level, n=F.count(F.lit(1)))
+    return stage.log("members").withColumnRenamed("round", "level")

@@ -44,7 +44,7 @@ def tree_expansion(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.col("kind").alias("dst_kind"),
         F.col("version").alias("dst_version"),
     )
-    links, sizes = stage.put(links.join(target, ["graph_id", "dst"]), "links", most=F.max("copies"))
+    links, _ = stage.put(links.join(target, ["graph_id", "dst"]), "links")
     adjacency = links.select("graph_id", F.col("src").alias("node_id"), F.col("dst").alias("to_id"), "dst_name")
 
     def extend(label: Column) -> Column:
@@ -82,7 +82,7 @@ def tree_expansion(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     tried = tried.select(
         "graph_id", "src", "dst", "copies", "path", "dst_name", "dst_kind", "dst_version", first.alias("first")
     )
-    edge_rows = repeat_rows(tried, "copies", sizes["most"])
+    edge_rows = repeat_rows(tried, "copies")
     repeated = (F.col("copy") > 1) & (F.col("first") == "expand")
     edge_rows = edge_rows.select(
         "graph_id", "path", "copy",

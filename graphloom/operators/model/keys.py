@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ...functions.names import is_conventional_key
 from ...functions.types import guess_type, is_value_type
+from ..numbering import number_rows
 
 ENTITY = ["model_id", "entity_key"]
 
@@ -86,11 +87,13 @@ def declared_foreign_keys(properties: DataFrame, declared: DataFrame) -> DataFra
 
 def _guessed(properties: DataFrame, missing: DataFrame) -> DataFrame:
     """Property rows known by name only, numbered behind the declared ones by name."""
+    last = properties.groupBy(*ENTITY).agg(F.max("ordinal").alias("_last"))
+    missing = number_rows(missing, ENTITY, ["name"], "_seq").join(last, ENTITY, "left")
     known = {
         "type": guess_type("name"),
         "is_value_type": is_value_type(guess_type("name")),
         "is_type_inferred": F.lit(True),
-        "ordinal": F.lit(2**31).cast("long"),
+        "ordinal": F.coalesce("_last", F.lit(0)) + F.col("_seq"),
     }
     columns = []
     for field in properties.schema.fields:
@@ -105,11 +108,15 @@ def _guessed(properties: DataFrame, missing: DataFrame) -> DataFrame:
     return missing.select(*columns)
 
 
-def add_missing_properties(properties: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Properties that only configuration mentions (model_id, entity_key, name), once each."""
+def add_missing_properties(properties: DataFrame, wanted: DataFrame, flag: str | None = None) -> DataFrame:
+    """Properties that only configuration mentions (model_id, entity_key, name), once each; `flag`
+    names a column that is true for the added ones."""
     wanted = wanted.select(*ENTITY, "name").distinct()
     missing = wanted.join(properties.select(*ENTITY, "name"), [*ENTITY, "name"], "left_anti")
-    return properties.unionByName(_guessed(properties, missing))
+    added = _guessed(properties, missing)
+    if flag is None:
+        return properties.unionByName(added)
+    return properties.withColumn(flag, F.lit(False)).unionByName(added.withColumn(flag, F.lit(True)))
 
 
 def materialize_missing(entities: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from ...functions.types import (
     type_name,
 )
 from ...schemas import PROPERTIES, conform
-from ..numbering import first_wins
+from ..numbering import first_wins, number_rows
 
 MEMBER = ["model_id", "entity_key", "name"]
 
@@ -35,10 +35,12 @@ def describe_members(members: DataFrame) -> DataFrame:
     """Property rows of scalar members: required unless nullable, lengths and decimal sizes
     where declared."""
     spec = decimal_spec("column_type")
-    described = scalar_members(members).select(
+    # Members of the class itself come before those of its bases.
+    numbered = number_rows(scalar_members(members).drop("seq"), ["model_id", "entity_key"], ["level", "ordinal", "name"])
+    described = numbered.select(
         "model_id",
         "entity_key",
-        (F.col("level") * 2**20 + F.col("ordinal")).alias("ordinal"),
+        F.col("seq").alias("ordinal"),
         "name",
         "type",
         (~is_nullable("type") | F.col("is_required")).alias("is_required"),

@@ -86,6 +86,14 @@ def describe_properties(spark: SparkSession, tables: dict[str, DataFrame]) -> Da
     return catalog_entities(spark, tables)[1]
 
 
+class ModelChoiceError(ValueError):
+    """No single model was chosen; `models` holds all model ids as a table."""
+
+    def __init__(self, message: str, models: DataFrame):
+        super().__init__(message)
+        self.models = models
+
+
 def list_models(entities: DataFrame, name: str | None = None) -> DataFrame:
     """Model ids; with a name, that model, which must exist."""
     models = entities.select("model_id").distinct()
@@ -93,8 +101,7 @@ def list_models(entities: DataFrame, name: str | None = None) -> DataFrame:
         return models
     chosen = models.filter(F.col("model_id") == name)
     if chosen.isEmpty():
-        listed = ", ".join(r.model_id for r in models.orderBy("model_id").limit(20).collect())
-        raise ValueError(f"no model {name!r}; there are: {listed}")
+        raise ModelChoiceError(f"no model {name!r}; there are {models.count()} models", models)
     return chosen
 
 
@@ -102,12 +109,13 @@ def only_model(entities: DataFrame, name: str | None = None) -> str:
     """The one model id of the table; several need a name, none is an error."""
     if name is not None:
         return list_models(entities, name).first().model_id
-    found = [r.model_id for r in list_models(entities).orderBy("model_id").limit(21).collect()]
+    models = list_models(entities)
+    found = models.limit(2).collect()
     if not found:
-        raise ValueError("no model found")
+        raise ModelChoiceError("no model found", models)
     if len(found) > 1:
-        raise ValueError(f"several models, name one of: {', '.join(found[:20])}")
-    return found[0]
+        raise ModelChoiceError(f"name one of the {models.count()} models", models)
+    return found[0].model_id
 
 
 def flatten_nested(df: DataFrame) -> DataFrame:

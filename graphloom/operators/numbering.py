@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from ..storage import StageTables
 
-# Groups up to this many rows are numbered by a plain window, whose sort one task can hold.
-WINDOW_ROWS = 1_000_000
-
-
 def _range_sorted(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """The rows in one range sort over group and order, with their task (_task) and a number
     that grows in sort order (_at).  A hot group spreads over many tasks."""
@@ -31,29 +27,18 @@ def _per_task(placed: DataFrame, group: list[str], tasks: DataFrame) -> DataFram
     return placed.join(renamed, match, "left")
 
 
-def _fits_window(df: DataFrame, group: list[str], limit: int | None) -> bool:
-    """True when no group has more rows than a window task should sort."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
-    return (sizes.agg(F.max("_rows")).first()[0] or 0) <= (WINDOW_ROWS if limit is None else limit)
-
-
 def _tasks_before(group: list[str]):
     # At most one row per group and range partition, so this window stays small.
     return Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def number_rows(
-    df: DataFrame, group: list[str], order: list[str], name: str = "seq", window_rows: int | None = None
-) -> DataFrame:
+def number_rows(df: DataFrame, group: list[str], order: list[str], name: str = "seq") -> DataFrame:
     """row_number() over (partition by group order by order), for groups of any size.
 
-    A window sorts each group in one task, so it is used only when the largest group is small
-    enough.  Otherwise one range sort spreads the groups over many tasks: each task numbers
-    its own rows, and the small table of per-task counts gives it its starting number.
-    `order` must be total within a group.  The input is read twice: store it if it is costly.
+    One range sort spreads the groups over many tasks: each task numbers its own rows, and the
+    small table of per-task counts gives it its starting number.  `order` must be total within a
+    group.  The input is read once.
     """
-    if _fits_window(df, group, window_rows):
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
     placed = _range_sorted(df, group, order)
     counts = placed.groupBy(*group, "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     before = F.coalesce(F.sum("_rows").over(_tasks_before(group)), F.lit(0))
@@ -62,14 +47,9 @@ def number_rows(
     return _per_task(placed, group, starts).select(*df.columns, position.alias(name))
 
 
-def running_last(
-    df: DataFrame, group: list[str], order: list[str], values: dict[str, Column], window_rows: int | None = None
-) -> DataFrame:
-    """Adds, per name, the last non-null value at or before each row of its group; large
-    groups are spread over tasks as in `number_rows`."""
-    if _fits_window(df, group, window_rows):
-        sofar = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.last(c, ignorenulls=True).over(sofar).alias(n) for n, c in values.items()])
+def running_last(df: DataFrame, group: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Adds, per name, the last non-null value at or before each row of its group; groups are
+    spread over tasks as in `number_rows`."""
     placed = _range_sorted(df, group, order)
     placed = placed.select("*", *[c.alias(f"_v_{n}") for n, c in values.items()])
     tails = placed.groupBy(*group, "_task").agg(
@@ -83,13 +63,11 @@ def running_last(
     return merged.select(*df.columns, *[F.coalesce(f"_local_{n}", f"_carry_{n}").alias(n) for n in values])
 
 
-def repeat_rows(df: DataFrame, copies: str, most: int, name: str = "copy", chunk: int = 100_000) -> DataFrame:
-    """Each row as often as its `copies` says, numbered from 1; `most` is the highest count.
-    Rows with very many copies are cut into chunks that are spread before they are unfolded."""
-    if most <= chunk:
-        return df.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(name))
+def repeat_rows(df: DataFrame, copies: str, name: str = "copy", chunk: int = 100_000) -> DataFrame:
+    """Each row as often as its `copies` says, numbered from 1.  Copies are cut into chunks that
+    are spread over tasks before they are unfolded."""
     last = F.floor((F.col(copies) - 1) / chunk).cast("long")
-    chunks = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_chunk"))
+    chunks = df.filter(F.col(copies) > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_chunk"))
     chunks = chunks.repartition(*[F.col(c) for c in df.columns if c != copies][:3], F.col("_chunk"))
     size = F.least(F.lit(chunk), F.col(copies) - F.col("_chunk") * chunk).cast("int")
     inner = F.explode(F.sequence(F.lit(1), size)).alias("_inner")

@@ -129,7 +129,7 @@ mv_reach(graph_id, a, b) AS (
 
 def turns_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     turns = load(spark, sf, "conversations").select("conv_id", "turn", "role")
-    node = F.lpad(F.col("turn").cast("string"), 4, "0")
+    node = F.col("turn").cast("string")
     kind = F.when(F.col("role") == "user", "Executable").when(F.col("role") == "assistant", "Library").otherwise("Other")
     keyed = turns.select(_key("c", "conv_id").alias("graph_id"), "turn", node.alias("node_id"), F.concat_ws(" ", "role", node).alias("name"), kind.alias("kind"))
     following = keyed.select("graph_id", (F.col("turn") - 1).alias("turn"), F.col("node_id").alias("dst"))
@@ -139,12 +139,12 @@ def turns_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 TURNS = """
 tn_nodes AS (
-  SELECT 'c' || conv_id AS graph_id, lpad(turn::VARCHAR, 4, '0') AS node_id, role || ' ' || lpad(turn::VARCHAR, 4, '0') AS name,
+  SELECT 'c' || conv_id AS graph_id, turn::VARCHAR AS node_id, role || ' ' || turn::VARCHAR AS name,
          CASE role WHEN 'user' THEN 'Executable' WHEN 'assistant' THEN 'Library' ELSE 'Other' END AS kind
   FROM conversations
 ),
 tn_edges AS (
-  SELECT 'c' || a.conv_id AS graph_id, lpad(a.turn::VARCHAR, 4, '0') AS src, lpad(b.turn::VARCHAR, 4, '0') AS dst
+  SELECT 'c' || a.conv_id AS graph_id, a.turn::VARCHAR AS src, b.turn::VARCHAR AS dst
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
 ),
 tn_levels(graph_id, node, d) AS (
@@ -480,12 +480,12 @@ def graph_has_cycles(spark, sf):
 
 @query("graph_depth", f"WITH RECURSIVE {FK}, {FK_DEPTH} SELECT 'fk' AS graph_id, node_id, depth FROM depths")
 def graph_depth(spark, sf):
-    return GI.longest_path_depth(*fk_graph(spark, sf), stored=True)
+    return GI.longest_path_depth(*fk_graph(spark, sf))
 
 
 @query("graph_depth_turns", f"WITH RECURSIVE {TURNS} SELECT graph_id, node_id, depth FROM tn_depths")
 def graph_depth_turns(spark, sf):
-    return GI.longest_path_depth(*turns_graph(spark, sf), stored=True)
+    return GI.longest_path_depth(*turns_graph(spark, sf))
 
 
 @query(
@@ -494,7 +494,7 @@ def graph_depth_turns(spark, sf):
     "SELECT 'fk' AS graph_id, node AS node_id, max(d) AS level FROM up GROUP BY node",
 )
 def graph_levels(spark, sf):
-    return GI.topological_level(*fk_graph(spark, sf), stored=True)
+    return GI.topological_level(*fk_graph(spark, sf))
 
 
 @query("graph_roots", f"WITH {FK} SELECT graph_id, node_id, name FROM fk_nodes n WHERE NOT EXISTS (SELECT 1 FROM fk_edges e WHERE e.dst = n.node_id)")
@@ -591,18 +591,18 @@ def _as_inheritance(edges: DataFrame) -> DataFrame:
     return edges.withColumn("edge_type", F.lit("Inheritance"))
 
 
-@query("base_closure", f"WITH RECURSIVE {TURNS}, {_BASES} SELECT graph_id, seed, base, min(level) AS level FROM ups WHERE level <= 10 GROUP BY ALL")
+@query("base_closure", f"WITH RECURSIVE {TURNS}, {_BASES} SELECT graph_id, seed, base, min(level) AS level FROM ups GROUP BY ALL")
 def base_closure(spark, sf):
     """Each turn derives from the next one of its conversation."""
     nodes, edges = turns_graph(spark, sf)
-    return GI.base_closure(_as_inheritance(edges), nodes, max_levels=10)
+    return GI.base_closure(_as_inheritance(edges), nodes)
 
 
 _TURN_WORDS = r"""
 words AS (
   SELECT graph_id, node_id, name, min(ordinal) AS ordinal FROM (
-    SELECT 'c' || conv_id AS graph_id, lpad(turn::VARCHAR, 4, '0') AS node_id, unnest(list) AS name, unnest(range(1, len(list) + 1)) AS ordinal
-    FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS list FROM conversations)
+    SELECT 'c' || conv_id AS graph_id, turn::VARCHAR AS node_id, unnest(list) AS name, unnest(range(1, len(list) + 1)) AS ordinal
+    FROM (SELECT conv_id, turn, regexp_extract_all(text, '[\p{L}]+') AS list FROM conversations)
   ) GROUP BY ALL
 )"""
 
@@ -618,8 +618,8 @@ def inherited_members(spark, sf):
     nodes, edges = turns_graph(spark, sf)
     texts = load(spark, sf, "conversations").select(
         _key("c", "conv_id").alias("graph_id"),
-        F.lpad(F.col("turn").cast("string"), 4, "0").alias("node_id"),
-        F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("pos", "name"),
+        F.col("turn").cast("string").alias("node_id"),
+        F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), 0)).alias("pos", "name"),
     )
     members = texts.groupBy("graph_id", "node_id", "name").agg((F.min("pos") + 1).cast("long").alias("ordinal"))
     found = GI.inherited_members(members, _as_inheritance(edges))

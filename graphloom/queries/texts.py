@@ -110,27 +110,25 @@ def nearest_prefix_join(spark, sf):
 
 @query(
     "nearest_declaration",
-    r"""WITH d AS (SELECT '/' || source || '/' || lang AS dir, '/' || source || '/' || lang || '/' || lpad(doc_id::VARCHAR, 12, '0') AS path, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS name, source, lang FROM documents),
-decl AS (SELECT DISTINCT dir, path, name, source FROM d),
+    r"""WITH d AS (SELECT '/' || source || '/' || lang AS dir, '/' || source || '/' || lang || '/' || doc_id AS path, source, text FROM documents),
+decl AS (SELECT dir, path, source, unnest(regexp_extract_all(text, '(?:^|\n)(\p{Lu}\p{Ll}+)', 1)) AS name FROM d),
 near AS (SELECT dir, name, min(path) AS path FROM decl GROUP BY ALL),
 far AS (SELECT source, name, min(path) AS path FROM decl GROUP BY ALL),
-wanted AS (SELECT DISTINCT x.dir, x.source, w.name FROM (SELECT DISTINCT dir, source FROM decl) x JOIN (SELECT DISTINCT source, name FROM decl) w ON w.source = x.source)
-SELECT w.dir AS context_dir, w.name, coalesce(n.path, f.path) AS path FROM wanted w LEFT JOIN near n ON n.dir = w.dir AND n.name = w.name LEFT JOIN far f ON f.source = w.source AND f.name = w.name""",
+wanted AS (SELECT DISTINCT dir, source, unnest(regexp_extract_all(text, '\p{Lu}\p{Ll}+')) AS name FROM d)
+SELECT w.dir AS context_dir, w.name, coalesce(n.path, f.path) AS path FROM wanted w LEFT JOIN near n ON n.dir = w.dir AND n.name = w.name LEFT JOIN far f ON f.source = w.source AND f.name = w.name
+WHERE coalesce(n.path, f.path) IS NOT NULL""",
 )
 def nearest_declaration_query(spark, sf):
-    """Every capitalised word of a source, wanted in each language folder of the source: the
-    first document of that folder that has it, else of the whole source."""
+    """A word that a line begins with is declared there.  Every capitalised word of a language
+    folder, wanted in it: the first document of that folder that declares it, else of its source."""
     folder = F.concat_ws("/", F.lit(""), "source", "lang")
-    found = load(spark, sf, "documents").select(
-        folder.alias("dir"),
-        F.concat_ws("/", folder, F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"),
-        F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), 0))).alias("name"),
-        "source",
+    documents = load(spark, sf, "documents").select(
+        folder.alias("dir"), F.concat_ws("/", folder, F.col("doc_id").cast("string")).alias("path"), "source", "text"
     )
-    names = found.select("source", "name").distinct()
-    folders = found.select("source", F.col("dir").alias("context_dir")).distinct()
-    roots = found.select(F.concat(F.lit("/"), F.col("source")).alias("dir")).distinct()
-    return nearest_declaration(folders.join(names, "source").select("context_dir", "name"), found.select("name", "path"), roots)
+    found = documents.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?:^|\n)(\p{Lu}\p{Ll}+)"), 1))).alias("name"))
+    wanted = documents.select(F.col("dir").alias("context_dir"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}+"), 0))).alias("name"))
+    roots = documents.select(F.concat(F.lit("/"), F.col("source")).alias("dir")).distinct()
+    return nearest_declaration(wanted.distinct(), found.select("name", "path"), roots)
 
 
 # ---- names and described types ------------------------------------------------------------
@@ -159,12 +157,15 @@ def guess_types(spark, sf):
     return words(spark, sf).select("name", T.guess_type("name").alias("type"))
 
 
-@query("quoted_names", r"""SELECT page_id, CASE WHEN regexp_matches(name, '^[\p{L}\p{Nd}_]+$') THEN name ELSE '"' || name || '"' END AS entity, replace(title, '"', '#quot;') AS label
-FROM (SELECT page_id, regexp_extract(html, 'href="/([^"]*)"', 1) AS name, regexp_extract(html, '(<html[^>]*>)', 1) AS title FROM pages)""")
+@query("quoted_names", r"""WITH links AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<[^<>]*href="/[^"]*"[^<>]*>')) AS tag FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(name, '^[\p{L}\p{Nd}_]+$') THEN name ELSE '"' || name || '"' END AS entity, replace(tag, '"', '#quot;') AS label
+FROM (SELECT page_id, tag, regexp_extract(tag, 'href="/([^"]*)"', 1) AS name FROM links)""")
 def quoted_names(spark, sf):
-    name = F.regexp_extract("html", 'href="/([^"]*)"', 1)
-    title = F.regexp_extract("html", "(<html[^>]*>)", 1)
-    return load(spark, sf, "pages").select("page_id", quote_entity(name).alias("entity"), escape_label(title).alias("label"))
+    """Every distinct link of a page: its target as a name, its tag as a label."""
+    tags = F.regexp_extract_all("html", F.lit(r'<[^<>]*href="/[^"]*"[^<>]*>'), 0)
+    links = load(spark, sf, "pages").select("page_id", F.explode(F.array_distinct(tags)).alias("tag"))
+    name = F.regexp_extract("tag", 'href="/([^"]*)"', 1)
+    return links.select("page_id", quote_entity(name).alias("entity"), escape_label("tag").alias("label"))
 
 
 # Storage types made of the columns of parts: keyword by size, arguments by price and size.
@@ -255,12 +256,12 @@ def docs_containing_terms(spark, sf):
 
 @query(
     "term_first_document",
-    rf"""WITH tokens AS (SELECT 'D' || lpad(doc_id::VARCHAR, 12, '0') AS path, unnest(regexp_extract_all(text, '{_WORD}')) AS name FROM documents)
+    rf"""WITH tokens AS (SELECT 'D' || doc_id::VARCHAR AS path, unnest(regexp_extract_all(text, '{_WORD}')) AS name FROM documents)
 SELECT name, min(path) AS path FROM tokens GROUP BY name""",
 )
 def term_first_document(spark, sf):
     documents = load(spark, sf, "documents").select(
-        F.concat(F.lit("D"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"),
+        F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("path"),
         F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), 0))).alias("name"),
     )
     return first_path(documents)

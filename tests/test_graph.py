@@ -133,10 +133,10 @@ def test_bounded_bfs_skips_system_nodes(make_graph):
 
 
 def test_deep_chain(make_graph):
-    names = [f"n{i:03d}" for i in range(40)]
+    names = [f"n{i:03d}" for i in range(100)]
     nodes, edges = make_graph({"deep": (names, list(zip(names, names[1:])))})
     found = rows(GI.longest_path_depth(nodes, edges), "node_id", "depth")
-    assert found == [(n, 39 - i) for i, n in enumerate(names)]
+    assert found == [(n, 99 - i) for i, n in enumerate(names)]
 
 
 def test_inherited_members(spark, make_graph):
@@ -265,20 +265,46 @@ def test_levels_grow_along_edges(make_graph):
         assert all(level[g, a] < level[g, b] for a, b in pairs)
 
 
-def test_large_state_path_gives_the_same(make_graph, monkeypatch):
-    graphs = random_graphs(40, seed=21)
-    nodes, edges = make_graph(graphs)
-    seeds = nodes.filter("node_id = 'n0'")
-
-    def everything():
-        return [
-            rows(GI.strong_components(nodes, edges)),
-            rows(GI.longest_path_depth(nodes, edges)),
-            rows(GI.reachable_from(edges, seeds)),
-        ]
-
-    plain = everything()
-    monkeypatch.setattr(GI, "LARGE_STATE", 0)
-    assert everything() == plain
-    monkeypatch.setattr(GI, "BROADCAST_KEYS", 0)
-    assert everything() == plain
+def test_folded_labels_give_the_same(make_graph):
+    """Long sawtooth paths make the label log grow past its base several times."""
+    names = [f"n{(i * 7) % 23:02d}" for i in range(23)]
+    pairs = list(zip(names, names[1:])) + [(names[i], names[i + 3]) for i in range(0, 20, 2)]
+    nodes, edges = make_graph({"g": (names, pairs)})
+    reach = reach_sets(names, pairs)
+    expected = sorted((n, min([n, *(a for a in names if n in reach[a])])) for n in names)
+    assert rows(GI.min_reaching(nodes, edges), "node_id", "min_src") == expected
+
+
+def test_deep_graphs_take_few_rounds(make_graph):
+    """A chain and a ring of 2,000 nodes, and a ladder of runs between forks."""
+    names = [f"n{i:04d}" for i in range(2000)]
+    ring = [*names[1000:], *names[:1000]]
+    forks = [f"f{i:02d}" for i in range(100)]
+    ladder = [(forks[i], forks[i + 1]) for i in range(99)] + [(forks[0], "x"), ("x", "y"), ("y", "x"), ("f03", "r1"), ("r1", "r2"), ("r2", "f02")]
+    nodes, edges = make_graph(
+        {
+            "chain": (names, list(zip(names, names[1:]))),
+            "ring": (names, list(zip(ring, [*ring[1:], ring[0]]))),
+            "ladder": ([*forks, "x", "y", "r1", "r2"], ladder),
+        }
+    )
+    found = {(r.graph_id, r.node_id): r.component for r in GI.strong_components(nodes, edges).collect()}
+    assert all(found["chain", n] == n for n in names) and all(found["ring", n] == "n0000" for n in names)
+    assert {found["ladder", n] for n in ("f02", "f03", "r1", "r2")} == {"f02"} and found["ladder", "y"] == "x"
+    depths = {(r.graph_id, r.node_id): r.depth for r in GI.longest_path_depth(nodes, edges).collect()}
+    assert all(depths["chain", n] == 1999 - i for i, n in enumerate(names))
+    assert not any(g == "ring" for g, _ in depths)
+    assert depths["ladder", "f99"] == 0 and depths["ladder", "f04"] == 95 and ("ladder", "f00") not in depths
+    lowest = {(r.graph_id, r.node_id): r.min_src for r in GI.min_reaching(nodes, edges).collect()}
+    assert all(lowest[g, n] == "n0000" for g in ("chain", "ring") for n in names)
+
+
+def test_long_base_chains(spark, make_graph):
+    names = [f"t{i:02d}" for i in range(16)]
+    nodes, edges = make_graph({"g": (names, list(zip(names, names[1:])))})
+    edges = edges.withColumn("edge_type", F.lit("Inheritance"))
+    found = rows(GI.base_closure(edges, nodes.filter("node_id = 't00'")), "base", "level")
+    assert found == [(n, i) for i, n in enumerate(names) if i]
+    members = spark.createDataFrame([("g", "t15", 1, "Id"), ("g", "t15", 2, "Name"), ("g", "t07", 9, "Id")], "graph_id string, node_id string, ordinal int, name string")
+    got = rows(GI.inherited_members(members, edges).filter("node_id = 't00'"), "name", "declared_in", "level")
+    assert got == [("Id", "t07", 7), ("Name", "t15", 15)]

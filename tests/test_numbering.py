@@ -1,4 +1,4 @@
-"""Numbering with and without the window path, suffixes, first-wins."""
+"""Numbering, suffixes, first-wins."""
 
 import random
 
@@ -16,22 +16,20 @@ def sample(spark, n=400):
     return data, spark.createDataFrame(data, "g string, o int, v int").repartition(4).cache()
 
 
-def test_number_rows_both_ways(spark):
+def test_number_rows(spark):
     data, df = sample(spark)
     expected = []
     for g in "ab":
         expected += [(g, o, i + 1) for i, o in enumerate(sorted(o for k, o, _ in data if k == g))]
-    for limit in (None, 10):
-        assert rows(number_rows(df, ["g"], ["o"], window_rows=limit), "g", "o", "seq") == sorted(expected, key=repr)
+    assert rows(number_rows(df, ["g"], ["o"]), "g", "o", "seq") == sorted(expected, key=repr)
 
 
 def test_number_rows_with_null_group(spark):
     df = spark.createDataFrame([(None, 2), (None, 1), ("x", 5)], "g string, o int")
-    for limit in (None, 0):
-        assert rows(number_rows(df, ["g"], ["o"], window_rows=limit), "o", "seq") == [(1, 1), (2, 2), (5, 1)]
+    assert rows(number_rows(df, ["g"], ["o"]), "o", "seq") == [(1, 1), (2, 2), (5, 1)]
 
 
-def test_running_last_both_ways(spark):
+def test_running_last(spark):
     data, df = sample(spark)
     expected = []
     for g in "ab":
@@ -39,9 +37,8 @@ def test_running_last_both_ways(spark):
         for _, o, v in sorted((d for d in data if d[0] == g), key=lambda d: d[1]):
             last = v if v is not None else last
             expected.append((g, o, last))
-    for limit in (None, 10):
-        found = running_last(df, ["g"], ["o"], {"last": F.col("v")}, window_rows=limit)
-        assert rows(found, "g", "o", "last") == sorted(expected, key=repr)
+    found = running_last(df, ["g"], ["o"], {"last": F.col("v")})
+    assert rows(found, "g", "o", "last") == sorted(expected, key=repr)
 
 
 def greedy(names):
@@ -86,7 +83,7 @@ def test_repeat_rows_in_chunks(spark):
     df = spark.createDataFrame([("a", 7), ("b", 1), ("c", 3)], "k string, n long")
     expected = [("a", i) for i in range(1, 8)] + [("b", 1)] + [("c", i) for i in range(1, 4)]
     for chunk in (100, 3):
-        assert rows(repeat_rows(df, "n", 7, chunk=chunk), "k", "copy") == expected
+        assert rows(repeat_rows(df, "n", chunk=chunk), "k", "copy") == expected
 
 
 def test_stage_tables_live_in_the_session_folder(spark):
