@@ -12,11 +12,19 @@ from .edges import project_edges, project_nodes
 from .iterate import NODE, longest_path_depth
 
 
-def type_breakdown(nodes: DataFrame) -> DataFrame:
-    """Rows per listed kind and graph, zero where a graph has none; packages do not count."""
+def _roster(nodes: DataFrame, graphs: DataFrame | None) -> DataFrame:
+    """All graph ids: those of the roster, if there is one, and those of the nodes."""
+    found = nodes.select("graph_id")
+    return (found if graphs is None else found.unionByName(graphs.select("graph_id"))).distinct()
+
+
+def type_breakdown(nodes: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
+    """Rows per listed kind and graph, zero where a graph has none; packages do not count.
+    `graphs` (graph_id) lists graphs that may have no node."""
     per_graph = nodes.groupBy("graph_id").agg(
         *[F.count_if(F.col("kind") == k).alias(k) for k in BREAKDOWN_KINDS]
     )
+    per_graph = _roster(nodes, graphs).join(per_graph, "graph_id", "left").fillna(0)
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in BREAKDOWN_KINDS])
     return per_graph.select("graph_id", F.inline(pairs))
 
@@ -101,8 +109,9 @@ def has_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return depth_and_cycles(nodes, edges).select("graph_id", "has_cycles")
 
 
-def graph_stats(nodes: DataFrame, edges: DataFrame, n: int = 5) -> DataFrame:
-    """One row per graph: total, kind breakdown, depth statistics, hotspots, cycle flag."""
+def graph_stats(nodes: DataFrame, edges: DataFrame, n: int = 5, graphs: DataFrame | None = None) -> DataFrame:
+    """One row per graph: total, kind breakdown, depth statistics, hotspots, cycle flag.
+    `graphs` (graph_id) lists graphs that may have no node: their values are zero."""
     if n < 1:
         raise ValueError("n must be at least 1")
     stage = StageTables(nodes.sparkSession, "stats")
@@ -121,9 +130,14 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, n: int = 5) -> DataFrame:
         ).alias("hotspots")
     )
     empty = F.array().cast("array<struct<name:string,in_degree:bigint>>")
+    nothing = F.create_map(*[x for k in BREAKDOWN_KINDS for x in (F.lit(k), F.lit(0).cast("long"))])
+    zero = {"total_nodes": F.lit(0), "type_breakdown": nothing, "avg_depth": F.lit(0.0), "min_depth": F.lit(0), "max_depth": F.lit(0), "has_cycles": F.lit(False)}
+    known = counts.join(_depth_and_cycles(nodes, edges, links), "graph_id")
+    known = _roster(nodes, graphs).join(known.withColumn("_known", F.lit(True)), "graph_id", "left")
+    for column, value in zero.items():
+        known = known.withColumn(column, F.when(F.col("_known").isNull(), value).otherwise(F.col(column)))
     return (
-        counts.join(_depth_and_cycles(nodes, edges, links), "graph_id")
-        .join(spots, "graph_id", "left")
+        known.join(spots, "graph_id", "left")
         .select(
             "graph_id",
             "total_nodes",

@@ -11,7 +11,7 @@ Graphs that Spark derives from the tables:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import sanitize_graph_id
@@ -19,7 +19,7 @@ from ..operators.graph import edges as GE
 from ..operators.graph import iterate as GI
 from ..operators.graph import metrics as GM
 from ..operators.graph.tree import tree_expansion
-from ..operators.numbering import label_duplicates, number_rows
+from ..operators.numbering import label_duplicates
 from ..plans import lines as L
 from ..plans.build_graph import assemble_graph, package_edges, package_nodes
 from ..schemas import EDGES, NODES, PROJECT_REFERENCE, conform
@@ -97,13 +97,14 @@ def fk_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def moves_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     events = load(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
     graph_id = F.concat_ws("|", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
-    stage = StageTables(spark, "moves")
-    ordered, _ = stage.put(number_rows(events.withColumn("graph_id", graph_id), ["graph_id"], ["ts", "event_id"]), "events")
+    # The events of one user and day.
+    day = Window.partitionBy("graph_id").orderBy("ts", "event_id")
+    ordered = events.withColumn("graph_id", graph_id).withColumn("dst", F.lead("event_type").over(day))
+    ordered, _ = StageTables(spark, "moves").put(ordered.select("graph_id", "event_type", "dst").distinct(), "events")
     kind = F.when(F.col("event_type") == "error", "Test").when(F.col("event_type") == "click", "Executable").otherwise("Library")
     nodes = ordered.select("graph_id", F.col("event_type").alias("node_id"), F.col("event_type").alias("name"), kind.alias("kind")).distinct()
-    following = ordered.select("graph_id", (F.col("seq") - 1).alias("seq"), F.col("event_type").alias("dst"))
-    edges = ordered.select("graph_id", "seq", F.col("event_type").alias("src")).join(following, ["graph_id", "seq"])
-    edges = edges.select("graph_id", "src", "dst").distinct().withColumn("edge_type", F.lit(PROJECT_REFERENCE))
+    edges = ordered.select("graph_id", F.col("event_type").alias("src"), "dst").filter("dst is not null")
+    edges = edges.withColumn("edge_type", F.lit(PROJECT_REFERENCE))
     return stored(spark, nodes, edges)
 
 
@@ -232,11 +233,9 @@ tr_reach(graph_id, a, b) AS (
 
 def steps_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     lines = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    stage = StageTables(spark, "steps")
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-    ordered, _ = stage.put(number_rows(lines, ["l_orderkey"], order).select("l_orderkey", "seq", "l_partkey"), "lines")
-    following = ordered.select("l_orderkey", (F.col("seq") - 1).alias("seq"), _key("P", "l_partkey").alias("dst"))
-    edges = ordered.select("l_orderkey", "seq", _key("P", "l_partkey").alias("src")).join(following, ["l_orderkey", "seq"])
+    # The lines of one order.
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    edges = lines.select(_key("P", "l_partkey").alias("src"), F.lead(_key("P", "l_partkey")).over(order).alias("dst")).filter("dst is not null")
     edges = edges.select(F.lit("steps").alias("graph_id"), "src", "dst", F.lit(PROJECT_REFERENCE).alias("edge_type"))
     nodes = load(spark, sf, "part").select(F.lit("steps").alias("graph_id"), _key("P", "p_partkey").alias("node_id"), F.col("p_name").alias("name"), F.lit("Library").alias("kind"))
     return stored(spark, nodes, edges)
@@ -442,10 +441,27 @@ def graph_stats(spark, sf):
     return _flat_stats(GM.graph_stats(*fk_graph(spark, sf)))
 
 
-@query("graph_stats_moves", f"WITH RECURSIVE {MOVES}, {MOVES_DEPTH}, {_MOVES_STATS} SELECT {_STATS_COLUMNS} FROM stats")
+_MOVES_DAYS = """
+days AS (
+  SELECT user_id || '|' || strftime(d, '%Y-%m-%d') AS graph_id
+  FROM (SELECT user_id, unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY)) AS d FROM events GROUP BY user_id)
+),
+every AS (
+  SELECT graph_id, coalesce(total_nodes, 0) AS total_nodes, coalesce(library_count, 0) AS library_count, coalesce(executable_count, 0) AS executable_count,
+         coalesce(test_count, 0) AS test_count, coalesce(other_count, 0) AS other_count, CASE WHEN total_nodes IS NULL THEN 0.0 ELSE avg_depth END AS avg_depth,
+         CASE WHEN total_nodes IS NULL THEN 0 ELSE min_depth END AS min_depth, CASE WHEN total_nodes IS NULL THEN 0 ELSE max_depth END AS max_depth, coalesce(has_cycles, false) AS has_cycles, coalesce(hotspots, '') AS hotspots
+  FROM days LEFT JOIN stats USING (graph_id)
+)"""
+
+
+@query("graph_stats_moves", f"WITH RECURSIVE {MOVES}, {MOVES_DEPTH}, {_MOVES_STATS}, {_MOVES_DAYS} SELECT {_STATS_COLUMNS} FROM every")
 def graph_stats_moves(spark, sf):
-    """The statistics of thousands of small graphs in one job."""
-    return _flat_stats(GM.graph_stats(*moves_graph(spark, sf)))
+    """The statistics of thousands of small graphs in one job: every day from the first to the last
+    event of a user, also those without an event."""
+    span = load(spark, sf, "events").groupBy("user_id").agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("b"))
+    days = span.select("user_id", F.explode(F.sequence("a", "b")).alias("d"))
+    graphs = days.select(F.concat_ws("|", F.col("user_id").cast("string"), F.date_format("d", "yyyy-MM-dd")).alias("graph_id"))
+    return _flat_stats(GM.graph_stats(*moves_graph(spark, sf), graphs=graphs))
 
 
 @query(
@@ -565,9 +581,18 @@ def graph_cyclic_trade(spark, sf):
     return GI.cyclic_nodes(*trade_graph(spark, sf))
 
 
-@query("graph_scc_steps")
+@query(
+    "graph_scc_steps",
+    """WITH RECURSIVE steps AS (
+  SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS dst FROM lineitem
+),
+hops AS (SELECT DISTINCT src, dst FROM steps WHERE dst IS NOT NULL AND dst <> src),
+far(a, b) AS (SELECT src, dst FROM hops UNION SELECT f.a, h.dst FROM far f JOIN hops h ON h.src = f.b)
+SELECT 'steps' AS graph_id, 'P' || p_partkey AS node_id, least('P' || p_partkey, coalesce(min('P' || f.b), 'P' || p_partkey)) AS component
+FROM part LEFT JOIN (SELECT x.a, x.b FROM far x JOIN far y ON y.a = x.b AND y.b = x.a) f ON f.a = p_partkey GROUP BY p_partkey""",
+)
 def graph_scc_steps(spark, sf):
-    """Components of the large part graph; mutual reachability in SQL needs every pair."""
+    """Components of the large part graph."""
     return GI.strong_components(*steps_graph(spark, sf))
 
 

@@ -14,13 +14,22 @@ def needs_fence(path: str) -> bool:
 def write_lines(lines: DataFrame, path: str) -> None:
     """Writes line tables as text, one folder per graph.
 
-    Rows are range-partitioned by graph and position: a graph's lines lie in order in one or
-    more part files, whose names sort in line order, so even one huge diagram is written by
-    many tasks.
+    Rows are range-partitioned by graph and position, in the order of `numbered`: a graph's lines
+    lie in order in one or more part files, whose names sort in line order, so even one huge diagram
+    is written by many tasks.  For very many graphs see `write_line_table`.
     """
-    order = ["graph_id", "section", "sort_key"]
-    placed = lines.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed.select("graph_id", F.col("line").alias("value")).write.partitionBy("graph_id").text(path)
+    _placed(lines).select("graph_id", F.col("line").alias("value")).write.partitionBy("graph_id").text(path)
+
+
+def write_line_table(lines: DataFrame, path: str) -> None:
+    """Writes the lines of many graphs as one Parquet table (graph_id, line), in order within each
+    graph over the part files; files are as many as tasks, not as graphs."""
+    _placed(lines).select("graph_id", "line").write.parquet(path)
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    order = ["graph_id", "section", "sort_key", "line"]
+    return lines.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def stats_json(stats: DataFrame, names: DataFrame | None = None, warnings: DataFrame | None = None) -> DataFrame:
