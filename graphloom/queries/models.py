@@ -18,9 +18,10 @@ from ..operators.model import owned as MO
 from ..operators.model import overrides as MV
 from ..operators.model import profile as MP
 from ..operators.model import relationships as MR
-from ..operators.model.nested import flatten_nested, split_nested
+from ..operators.model.nested import catalog_entities, flatten_nested, split_nested
 from ..operators.numbering import first_wins, number_rows
 from ..plans import lines as L
+from ..plans.entity_model import Configuration, entity_model
 from ..schemas import ENTITIES, PROPERTIES, conform
 from ..storage import StageTables
 from . import load, query
@@ -358,6 +359,67 @@ def materialize_missing(spark, sf):
     return MK.materialize_missing(conform(sellers, ENTITIES), navs.select("model_id", F.col("target").alias("name"))).select("model_id", "name")
 
 
+# ---- whole models -------------------------------------------------------------------------
+
+_WHOLE = f"""
+{_INVERSE}, {_INFERRED}, {_DECLARED},
+keyed AS (SELECT DISTINCT model_id, {_KEY} AS key FROM declared),
+both_kinds AS (
+  SELECT model_id, src, dst, rel_type, is_required, 0 AS phase, ordinal FROM declared
+  UNION ALL SELECT i.model_id, src, dst, rel_type, is_required, 1, ordinal FROM inferred i ANTI JOIN keyed k ON k.model_id = i.model_id AND k.key = {_KEY}
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY phase, ordinal, src, dst, rel_type, is_required) AS seq, count(*) OVER (PARTITION BY model_id) AS high FROM both_kinds),
+split AS (
+  SELECT model_id, src, dst, rel_type, is_required, seq AS ordinal FROM placed WHERE rel_type <> 'ManyToMany'
+  UNION ALL SELECT model_id, src, least(src, dst) || greatest(src, dst), 'OneToMany', true, high + (seq - 1) * 2 + 1 FROM placed WHERE rel_type = 'ManyToMany'
+  UNION ALL SELECT model_id, dst, least(src, dst) || greatest(src, dst), 'OneToMany', true, high + (seq - 1) * 2 + 2 FROM placed WHERE rel_type = 'ManyToMany'
+),
+whole_uniq AS (SELECT *, row_number() OVER (PARTITION BY model_id, {_KEY} ORDER BY ordinal, src, dst) AS rank FROM split),
+whole AS (SELECT *, row_number() OVER (PARTITION BY model_id, src, dst ORDER BY rel_type <> 'OneToMany', ordinal, rel_type) AS pick FROM whole_uniq WHERE rank = 1),
+named_tables AS (SELECT model_id, entity, arg_max('T_' || target, (ordinal, 'T_' || target)) AS table_name FROM navs WHERE line = 5 GROUP BY ALL)"""
+
+
+def _whole_model(spark, sf):
+    entities, properties, navs = trade_model(spark, sf)
+    tables = navs.filter("line = 5").select(
+        "model_id", F.col("entity").alias("entity_key"), F.col("ordinal").alias("seq"), F.concat(F.lit("T_"), "target").alias("table_name")
+    )
+    return entity_model(entities, properties, navs, Configuration(tables=tables, declarations=_declarations(navs)))
+
+
+@query("entity_model", f"WITH {NAVS}, {_WHOLE} SELECT model_id, src, dst, rel_type, is_required FROM whole WHERE pick = 1")
+def entity_model_query(spark, sf):
+    """Relationships of whole models: declared, inferred, decomposed, without repeats."""
+    return _whole_model(spark, sf)[2].select("model_id", "src", "dst", "rel_type", "is_required")
+
+
+@query(
+    "entity_model_entities",
+    f"""WITH {NAVS}, {ENTS}, {_WHOLE} SELECT e.model_id, e.name, t.table_name, false AS is_join FROM ents e LEFT JOIN named_tables t ON t.model_id = e.model_id AND t.entity = e.name
+UNION ALL SELECT DISTINCT model_id, least(src, dst) || greatest(src, dst), NULL, true FROM placed WHERE rel_type = 'ManyToMany'""",
+)
+def entity_model_entities(spark, sf):
+    return _whole_model(spark, sf)[0].select("model_id", "name", "table_name", "is_join")
+
+
+_CATALOG = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+@query(
+    "catalog_entities",
+    " UNION ALL ".join(
+        f"""SELECT '{t}' AS entity, row_number() OVER () - 1 AS ordinal, column_name AS name,
+CASE column_type WHEN 'BIGINT' THEN 'long' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT[]' THEN 'List<float>' WHEN 'TIMESTAMP' THEN 'DateTime' ELSE 'DateTimeOffset' END AS type
+FROM (DESCRIBE {t})"""
+        for t in _CATALOG
+    ),
+)
+def catalog_entities_query(spark, sf):
+    """The supplied tables as entities with their columns."""
+    _, properties = catalog_entities(spark, {t: load(spark, sf, t) for t in _CATALOG})
+    return properties.select(F.col("entity_key").alias("entity"), "ordinal", "name", "type")
+
+
 # ---- overrides ----------------------------------------------------------------------------
 
 _CALLS = """
@@ -547,6 +609,28 @@ owned AS (
 inners AS (SELECT model_id, key AS owner_key, key || '.S' AS key, tab FROM owned WHERE status = 'O')"""
 
 
+@query(
+    "owned_entities",
+    f"WITH {ORDERS} SELECT model_id, key AS entity_key, nav AS name, owner_key, nav, is_collection FROM lines UNION ALL SELECT model_id, key, 'S', owner_key, 'S', false FROM inners",
+)
+def owned_entities(spark, sf):
+    """Lines as owned entities of their orders, and suppliers of open lines as owned ones of these,
+    captured from facts."""
+    orders = load(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("model_id"), F.concat(F.lit("Order"), F.col("o_orderkey").cast("string")).alias("owner_key"), "o_orderkey")
+    nav = F.concat(F.lit("L"), F.col("l_linenumber").cast("string"))
+    lines = load(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.groupBy("model_id", "owner_key", nav.alias("nav")).agg((F.max("l_quantity") > 40).alias("is_collection"), F.max("l_linestatus").alias("status"))
+    lines, _ = StageTables(spark, "captured").put(lines, "lines")
+    name = F.lit(None).cast("string").alias("name")
+    facts = lines.select("model_id", "owner_key", "nav", name, "is_collection", F.lit(1).alias("level"))
+    inner = lines.filter("status = 'O'").select(
+        "model_id", F.concat_ws(".", "owner_key", "nav").alias("owner_key"), F.lit("S").alias("nav"), name, F.lit(False).alias("is_collection"), F.lit(2).alias("level")
+    )
+    roots = conform(orders.select("model_id", F.col("owner_key").alias("entity_key"), F.col("owner_key").alias("name")), ENTITIES)
+    found = MO.capture_owned(roots, facts.unionByName(inner)).filter("is_owned")
+    return found.select("model_id", "entity_key", "name", "owner_key", "nav", "is_collection")
+
+
 @query("owned_table_resolution", f"WITH {ORDERS} SELECT model_id, key AS entity_key, tab AS table_name FROM owned UNION ALL SELECT model_id, key, tab FROM inners")
 def owned_table_resolution(spark, sf):
     entities, _ = order_model(spark, sf)

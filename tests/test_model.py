@@ -414,3 +414,39 @@ def test_members_split_into_columns_and_navigations(spark):
         ("Price", "decimal", True, False, None, 18, 2), ("Title", "string?", True, True, 80, None, None),
     ]
     assert rows(MM.navigation_members(members), "nav", "target", "is_collection", "is_nullable") == [("Author", "User", False, True), ("Tags", "Tag", True, False)]
+
+
+def test_entity_model_orders(model, spark):
+    """Owned tables, table names, the key fallback and inference come in the stated order."""
+    from graphloom.plans.entity_model import Configuration, entity_model
+
+    entities, properties = model({"Post": {"PostId": {}, "Title": {"type": "string"}}, "Blog": {"Id": {}}})
+    navigations = spark.createDataFrame(
+        [("m", 1, "Blog", "Posts", "Post", True, False), ("m", 2, "Blog", "Tags", "Tag", True, False), ("m", 3, "Tag", "Blogs", "Blog", True, False)],
+        "model_id string, ordinal long, entity string, nav string, target string, is_collection boolean, is_nullable boolean",
+    )
+    config = Configuration(
+        mentioned=spark.createDataFrame([("m", "Tag")], "model_id string, name string"),
+        tables=spark.createDataFrame(
+            [("m", "Post", 1, "old"), ("m", "Post", 9, "posts"), ("m", "Post.Meta", 3, "meta"), ("m", "Nobody", 4, "x")],
+            "model_id string, entity_key string, seq long, table_name string",
+        ),
+        owned=spark.createDataFrame(
+            [("m", "Post", "Meta", "Meta", False, 1), ("m", "Post", "Note", None, False, 1)],
+            "model_id string, owner_key string, nav string, name string, is_collection boolean, level int",
+        ),
+        declarations=spark.createDataFrame(
+            [("m", 5, "Blog", "HasMany", "Post", "WithOne", None)],
+            "model_id string, ordinal int, entity string, has string, target string, with string, explicit_required boolean",
+        ),
+    )
+    found, columns, links = entity_model(entities, properties, navigations, config)
+    assert rows(found, "name", "table_name") == sorted(
+        [("Blog", None), ("BlogTag", None), ("Meta", "meta"), ("Note", "posts"), ("Post", "posts"), ("Tag", None)], key=repr
+    )
+    assert rows(columns.filter("is_pk and entity_key in ('Post', 'Blog')"), "name") == [("Id",), ("PostId",)]
+    assert rows(links, "src", "dst", "rel_type") == [("Blog", "BlogTag", "OneToMany"), ("Blog", "Post", "OneToMany"), ("Tag", "BlogTag", "OneToMany")]
+    found, columns, links = entity_model(entities, properties, navigations, config, order="snapshot")
+    assert rows(links, "src", "dst", "rel_type") == [("Blog", "Post", "OneToMany")] and rows(columns.filter("is_pk")) == []
+    with pytest.raises(ValueError):
+        entity_model(entities, properties, order="other")
