@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,59 +10,91 @@ from ...schemas import ONE_TO_MANY, ONE_TO_ONE
 
 
 def profile_columns(df: DataFrame, table: str) -> DataFrame:
-    """Rows, nulls, distinct values and longest text per column.
+    """Rows, nulls, distinct values and longest text per column; columns of arrays, maps and structs
+    have no profile.
 
     Values are unpivoted and counted per (column, value) first, so exact distinct counts need
-    one map-side combined shuffle and no expanded row per distinct aggregate."""
+    one map-side combined shuffle and no expanded row per distinct aggregate.  The table is read
+    once; long texts travel as digests."""
     flat = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    pairs = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("string").alias("value")) for f in flat])
-    counted = df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.array(
+        *[
+            F.struct(F.lit(f.name).alias("column"), _value_key(f).alias("value"), F.length(F.col(f.name).cast("string")).alias("length"))
+            for f in flat
+        ]
+    )
+    counted = df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("length"))
     rows = counted.groupBy("column").agg(
         F.sum("n").alias("row_count"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
         F.count("value").alias("distinct_count"),
-        F.max(F.length("value")).alias("max_length"),
+        F.max("length").alias("max_length"),
     )
     texts = [f.name for f in flat if isinstance(f.dataType, T.StringType)]
     shown = F.when(F.col("column").isin(texts), F.col("max_length"))
     return rows.select(F.lit(table).alias("table"), "column", "row_count", "null_count", "distinct_count", shown.alias("max_length"))
 
 
+def _value_key(field: T.StructField) -> Column:
+    """Text that is equal for equal values only: zeros have no sign, bytes are written out, texts
+    of more than 64 characters are digested."""
+    value = F.col(field.name)
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        return (value + F.lit(0.0)).cast("string")
+    if isinstance(field.dataType, T.BinaryType):
+        value = F.hex(value)
+    elif not isinstance(field.dataType, T.StringType):
+        return value.cast("string")
+    return F.when(F.length(value) > 64, F.concat(F.lit("d"), F.sha2(value, 256))).otherwise(F.concat(F.lit("t"), value))
+
+
 def candidate_keys(df: DataFrame, table: str, candidates: list[list[str]]) -> DataFrame:
-    """Column sets that are never null and unique."""
-    checks = []
-    for columns in candidates:
-        whole = F.forall(F.array(*[F.col(c).isNotNull() for c in columns]), lambda x: x)
-        groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).withColumn("whole", whole)
-        checks.append(
-            groups.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.bool_and("whole"), F.lit(True)).alias("whole"))
-            .select(
-                F.lit(table).alias("table"),
-                F.lit(",".join(columns)).alias("columns"),
-                ((F.col("most") <= 1) & F.col("whole")).alias("is_key"),
-            )
-        )
-    return reduce(DataFrame.unionByName, checks)
-
-
-def inclusion_check(child: DataFrame, child_column: str, parent: DataFrame, parent_column: str, name: str) -> DataFrame:
-    """How many child rows have no parent, and how many have no value."""
-    values = child.groupBy(F.col(child_column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    keys = parent.select(F.col(parent_column).alias("v"), F.lit(True).alias("known")).distinct()
-    joined = values.join(keys, "v", "left")
+    """Column sets that are never null and unique.  The table is read once: every row asks once per
+    set, and equal keys of a set are counted with a map-side combine."""
+    fields = {f.name: f for f in df.schema.fields}
+    asked = F.array(
+        *[F.struct(F.lit(i).alias("i"), F.array(*[_value_key(fields[c]) for c in cs]).alias("key")) for i, cs in enumerate(candidates)]
+    )
+    groups = df.select(F.inline(asked)).groupBy("i", "key").agg(F.count(F.lit(1)).alias("n"))
+    groups = groups.withColumn("whole", F.forall("key", lambda x: x.isNotNull()))
+    found = groups.groupBy("i").agg(F.max("n").alias("most"), F.bool_and("whole").alias("whole"))
+    names = df.sparkSession.createDataFrame([(i, ",".join(cs)) for i, cs in enumerate(candidates)], "i int, columns string")
+    unique = (F.coalesce("most", F.lit(0)) <= 1) & F.coalesce("whole", F.lit(True))
+    return names.join(found, "i", "left").select(F.lit(table).alias("table"), "columns", unique.alias("is_key"))
+
+
+def _values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(i, v, n): how often column number i has a value, from one scan."""
+    fields = {f.name: f for f in df.schema.fields}
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), _value_key(fields[c]).alias("v")) for i, c in enumerate(columns)])
+    return df.select(F.inline(pairs)).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def inclusion_checks(child: DataFrame, references: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """Per reference (column, parent, parent column, name): how many child rows have no parent, and how
+    many have no value.  The child table is read once for all its references."""
+    values = _values(child, [column for column, *_ in references])
+    keys = None
+    for i, (_, parent, column, _) in enumerate(references):
+        part = parent.select(F.lit(i).alias("i"), _value_key(parent.schema[column]).alias("v")).distinct()
+        keys = part if keys is None else keys.unionByName(part)
+    joined = values.join(keys.withColumn("known", F.lit(True)), ["i", "v"], "left")
     orphan = F.col("v").isNotNull() & F.col("known").isNull()
-    return joined.agg(
-        F.coalesce(F.sum(F.when(orphan, F.col("n"))), F.lit(0)).alias("orphans"),
-        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-    ).select(F.lit(name).alias("reference"), "orphans", "nulls")
-
-
-def cardinality_from_data(child: DataFrame, child_column: str, src: str, dst: str) -> DataFrame:
-    """One-to-one when no parent has more than one child row; required when no value is null."""
-    values = child.groupBy(F.col(child_column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    totals = values.agg(
-        F.coalesce(F.max(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("most"),
-        F.coalesce(F.bool_and(F.col("v").isNotNull()), F.lit(True)).alias("is_required"),
+    found = joined.groupBy("i").agg(
+        F.sum(F.when(orphan, F.col("n"))).alias("orphans"), F.sum(F.when(F.col("v").isNull(), F.col("n"))).alias("nulls")
+    )
+    names = child.sparkSession.createDataFrame([(i, r[3]) for i, r in enumerate(references)], "i int, reference string")
+    return names.join(found, "i", "left").select(
+        "reference", F.coalesce("orphans", F.lit(0)).alias("orphans"), F.coalesce("nulls", F.lit(0)).alias("nulls")
+    )
+
+
+def cardinalities_from_data(child: DataFrame, references: list[tuple[str, str, str]]) -> DataFrame:
+    """Per reference (column, src, dst): one-to-one when no parent has more than one child row; required
+    when no value is null.  The child table is read once for all its references."""
+    totals = _values(child, [column for column, *_ in references]).groupBy("i").agg(
+        F.max(F.when(F.col("v").isNotNull(), F.col("n"))).alias("most"), F.bool_and(F.col("v").isNotNull()).alias("filled")
     )
-    kind = F.when(F.col("most") > 1, ONE_TO_MANY).otherwise(ONE_TO_ONE)
-    return totals.select(F.lit(src).alias("src"), F.lit(dst).alias("dst"), kind.alias("rel_type"), "is_required")
+    names = child.sparkSession.createDataFrame([(i, r[1], r[2]) for i, r in enumerate(references)], "i int, src string, dst string")
+    kind = F.when(F.coalesce("most", F.lit(0)) > 1, ONE_TO_MANY).otherwise(ONE_TO_ONE)
+    return names.join(totals, "i", "left").select("src", "dst", kind.alias("rel_type"), F.coalesce("filled", F.lit(True)).alias("is_required"))

@@ -804,9 +804,9 @@ def split_nested_arrays(spark, sf):
 
 # ---- profiles of the data -----------------------------------------------------------------
 
-PROFILED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-_TEXTS = {"region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"]}
-_PLAIN = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey", "c_acctbal"], "supplier": ["s_suppkey", "s_nationkey", "s_acctbal"], "part": ["p_partkey", "p_size", "p_retailprice"], "orders": ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]}
+_TEXTS = {"region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"], "documents": ["text", "lang", "source"], "embeddings": [], "pages": ["url", "html"], "benchmark": ["text"], "labels": [], "conversations": ["role", "text"]}
+_PLAIN = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey", "c_acctbal"], "supplier": ["s_suppkey", "s_nationkey", "s_acctbal"], "part": ["p_partkey", "p_size", "p_retailprice"], "orders": ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"], "events": ["event_id", "ts", "user_id", "value"], "documents": ["doc_id", "n_chars"], "embeddings": ["vec_id", "label"], "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id", "quality", "toxic"], "conversations": ["conv_id", "turn"]}
+PROFILED = list(_TEXTS)
 
 
 def _profile_sql(table: str, column: str, text: bool) -> str:
@@ -879,8 +879,9 @@ REFERENCES = [
 )
 def fk_orphans(spark, sf):
     whole = None
-    for child, column, parent, key in REFERENCES:
-        part = MP.inclusion_check(load(spark, sf, child), column, load(spark, sf, parent), key, f"{child}.{column}->{parent}.{key}")
+    for child in dict.fromkeys(c for c, *_ in REFERENCES):
+        mine = [(k, load(spark, sf, p), q, f"{c}.{k}->{p}.{q}") for c, k, p, q in REFERENCES if c == child]
+        part = MP.inclusion_checks(load(spark, sf, child), mine)
         whole = part if whole is None else whole.unionByName(part)
     return whole
 
@@ -894,7 +895,7 @@ def fk_orphans(spark, sf):
 )
 def relationship_cardinality(spark, sf):
     whole = None
-    for child, column, parent, _ in REFERENCES:
-        part = MP.cardinality_from_data(load(spark, sf, child), column, parent, child)
+    for child in dict.fromkeys(c for c, *_ in REFERENCES):
+        part = MP.cardinalities_from_data(load(spark, sf, child), [(k, p, c) for c, k, p, _ in REFERENCES if c == child])
         whole = part if whole is None else whole.unionByName(part)
     return whole

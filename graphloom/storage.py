@@ -35,6 +35,17 @@ def work_dir(spark: SparkSession) -> str:
     return _roots[app]
 
 
+def drop_stages(spark: SparkSession) -> None:
+    """Deletes all stage tables of the application; results read from them are gone with them.
+
+    For long sessions: call it when the results of a job have been written.
+    """
+    root = _roots.pop(spark.sparkContext.applicationId, None)
+    if root:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class StageTables:
     """The stage tables of one operator call."""
 

@@ -98,3 +98,15 @@ def test_stage_tables_live_in_the_session_folder(spark):
     stage.append(spark.range(2), "log", 0)
     stage.append(spark.range(3), "log", 1)
     assert rows(stage.log("log").groupBy("round").count()) == [(0, 2), (1, 3)]
+
+
+def test_stage_tables_can_be_dropped(spark):
+    from graphloom.storage import StageTables, drop_stages
+
+    first = StageTables(spark, "gone")
+    stored, _ = first.put(spark.range(3), "rows")
+    assert stored.count() == 3
+    drop_stages(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(first.root)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    assert StageTables(spark, "again").put(spark.range(2), "rows")[0].count() == 2
