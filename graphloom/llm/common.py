@@ -123,13 +123,21 @@ def prefix_sums(placed: DataFrame, groups: list[str], weight: str, name: str) ->
     return local.join(carried, match).withColumn(name, F.col("_gl_local") + F.col("_gl_base")).drop(*extra)
 
 
-def with_copy(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Names every row by (key, `_gl_h` hash of the text, `_gl_copy`), so repeated rows stay apart.
+# Columns that together name a row among those of its table; equal rows share them.
+ROW = ["_gl_d", "_gl_h"]
 
-    Repeated rows are equal, so it does not matter which of them gets which number.
+
+def with_row_name(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Adds `_gl_d` (the key, 0 for null) and `_gl_h` (hash of all columns).
+
+    Both are never null, so a join on them and a window over them share one shuffle of the rows.
     """
-    same = Window.partitionBy(key, "_gl_h").orderBy(F.lit(0))
-    return df.withColumn("_gl_h", F.xxhash64(text)).withColumn("_gl_copy", F.row_number().over(same))
+    return df.withColumn("_gl_h", F.xxhash64(*df.columns)).withColumn("_gl_d", F.coalesce(key, F.lit(0)).cast("long"))
+
+
+def with_copy(named: DataFrame) -> DataFrame:
+    """Adds `_gl_copy`, a number from 1 among rows of one name (equal rows, so any order will do)."""
+    return named.withColumn("_gl_copy", F.row_number().over(Window.partitionBy(*ROW).orderBy(F.lit(0))))
 
 
 def components(edges: DataFrame, stage: StageTables, label: str) -> DataFrame:

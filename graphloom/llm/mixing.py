@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import in_order, prefix_sums, with_copy
+from graphloom.llm.common import ROW, in_order, prefix_sums, with_copy, with_row_name
 from graphloom.storage import StageTables
 
 WEIGHTS = (5, 2, 1)
@@ -73,19 +73,18 @@ def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
 
     A document of which only a part is taken in the last epoch counts there if it is at least half.
     Documents without words follow the order of the others: they are taken once per whole epoch.
-    All columns of docs are kept.  The joins are on (doc_id, hash of the text, copy).
+    All columns of docs are kept.  Equal rows are interchangeable.
     """
     stage = StageTables(docs.sparkSession, "mix")
-    keys = ["doc_id", "_gl_h", "_gl_copy"]
-    slim = with_copy(docs.select("doc_id", "source", words(F.col("text")).alias("size"), "text")).drop("text")
-    slim, _ = stage.put(slim, "sizes")
-    plan = mix(slim, stage, seed, tie=tuple(keys))
+    named = with_row_name(docs)
+    # The number of words behind the hash stands for the text from here on.
+    slim, _ = stage.put(named.select(*ROW, "source", words(F.col("text")).alias("size")), "sizes")
+    plan = mix(slim, stage, seed, tie=tuple(ROW))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1))
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.greatest(whole, F.lit(1)))
-    plan = plan.select(*[F.col(k).alias(f"{k}_p") for k in keys], times.cast("int").alias("_gl_times"))
-    plan, _ = stage.put(plan.where("_gl_times > 0"), "plan")
-    match = F.col("doc_id").eqNullSafe(F.col("doc_id_p"))
-    match = match & (F.col("_gl_h") == F.col("_gl_h_p")) & (F.col("_gl_copy") == F.col("_gl_copy_p"))
-    rows = with_copy(docs).join(plan, match)
+    # Equal rows add up, and one of them stands for all.
+    plan = plan.groupBy(*ROW).agg(F.sum(times).cast("int").alias("_gl_times")).where("_gl_times > 0")
+    plan, _ = stage.put(plan, "plan")
+    rows = with_copy(named.join(plan, ROW)).where("_gl_copy = 1")
     again = F.explode(F.sequence(F.lit(1), F.col("_gl_times")))
     return rows.withColumn("_gl_turn", again).select(*docs.columns)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, ship, slices, with_copy
+from graphloom.llm.common import ROW, components, ship, slices, with_copy, with_row_name
 from graphloom.storage import StageTables
 
 VARIANTS_PER_SLICE = 1 << 22
@@ -208,16 +208,14 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class of near copies: the smallest key, then the smallest text hash.
+    """One row of each class of near copies: the smallest key, then the smallest hash of the row.
 
     All columns of docs are kept.  Rows without a key come last in their class.
     """
     stage = StageTables(docs.sparkSession, "keep")
-    hashed = docs.select(key, text, F.xxhash64(text).alias("_gl_h"))
-    marked, _ = stage.put(classes(hashed, key, text), "classes")
-    order = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_gl_h").alias("h"))
+    named = with_row_name(docs, key)
+    marked, _ = stage.put(classes(named.select(key, text, *ROW), key, text), "classes")
+    order = F.struct(F.col(key).isNull().alias("n"), F.col("_gl_d").alias("d"), F.col("_gl_h").alias("h"))
     best = marked.groupBy("class_fp").agg(F.min(order).alias("b"))
-    kept = best.select(F.col("b.k").alias("_gl_k"), F.col("b.h").alias("_gl_kh")).distinct()
-    rows = with_copy(docs, key, text).where("_gl_copy = 1")
-    match = F.col(key).eqNullSafe(F.col("_gl_k")) & (F.col("_gl_h") == F.col("_gl_kh"))
-    return rows.join(kept, match, "left_semi").select(*docs.columns)
+    kept = best.select(F.col("b.d").alias("_gl_d"), F.col("b.h").alias("_gl_h"))
+    return with_copy(named.join(kept, ROW, "left_semi")).where("_gl_copy = 1").select(*docs.columns)
