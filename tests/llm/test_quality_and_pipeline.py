@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from odd_tables import no_docs, odd_docs, odd_rows  # noqa: F401
+
 from graphloom.llm import quality
 
 SF_DIR = "/root/testdata/sf0.001"

@@ -4,6 +4,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from odd_tables import no_docs, odd_docs, odd_rows  # noqa: F401
+
 from graphloom.llm import mixing, sharding
 from graphloom.storage import StageTables
 

@@ -4,6 +4,8 @@ from collections import Counter
 import numpy as np
 import xxhash
 
+from odd_tables import no_docs, odd_docs, odd_rows  # noqa: F401
+
 from graphloom.llm import simhash
 
 
