@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, encoding each distinct word once per worker.
 
 The tokenizer drops white space and never joins text across it, so the ids of a text are the ids
-of its words (parted at ASCII white space) one after another.
+of its words (parted at ASCII white space) one after another.  Words are kept up to a number; beyond
+it the table starts anew.
 """
 
 from __future__ import annotations
@@ -11,17 +12,22 @@ import re
 
 import numpy as np
 
-# A word of ASCII and Latin-1 letters, then ASCII marks: letters and marks are split by the
-# tokenizer, and case of ASCII letters is dropped by it.  Apostrophes, digits and control
-# characters have rules of their own, and "<|" may open a special token; such words go whole.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=?@\[-`{-~]*)\Z")
+# Texts of printable ASCII and Latin-1 letters are brought to fewer distinct words first: case of
+# ASCII letters is dropped by the tokenizer, and a run of marks is split from letters and digits.
+# An apostrophe may open a contraction, so runs beside one stay where they are; "<|" may open a
+# special token, and other characters may compose, so such texts are left as they are.
+_PLAIN = bytes([9, 10, 11, 12, 13, *range(32, 127)])
+_WORD = bytes([9, 10, 11, 12, 13, 32, *range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
+_RUN = re.compile(rb"""[!-/:-@\[-`{-~]{2}""")
+_RUNS = re.compile(rb"""(?<![!-/:-@\[-`{-~])([!-&(-/:-@\[-`{-~]++)(?!')""")
+_SIGNS = (b"\xc3\x97", b"\xc3\xb7")  # the two signs among the Latin-1 letters
 _MARK = " \x01 "
 
 
 class WordEncoder:
     """Encodes texts to packed little-endian unsigned 32-bit ids; equal to encoding the whole text."""
 
-    def __init__(self, path: str | None = None, most: int = 400_000):
+    def __init__(self, path: str | None = None, most: int = 600_000):
         """path: tokenizer file (default: the public word_bpe_49k.json); most: cached words."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -33,7 +39,6 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
@@ -62,54 +67,36 @@ class WordEncoder:
     def _packed(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
-        words = list(dict.fromkeys(words))
-        if len(self.words) + len(words) > self.most:
-            self.words = {}
-        if len(self.parts) > self.most:
-            self.parts = {}
-        split, whole, parts = [], [], []
-        for word in words:
-            found = _PLAIN.match(word)
-            if found:
-                letters, marks = found.groups()
-                letters = letters.lower()
-                split.append((word, letters, marks))
-                parts.append(letters)
-                parts.append(marks)
-            else:
-                whole.append(word)
-        known = self.parts
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        known.update(zip(new, self._encode_new(new)))
-        known[b""] = b""
-        self.words.update((w, known[a] + known[b]) for w, a, b in split)
-        self.words.update(zip(whole, self._encode_new(whole)))
+    @staticmethod
+    def split(text: bytes) -> list[bytes]:
+        """Words whose ids, one after another, are the ids of the text."""
+        rest = text.translate(None, _PLAIN)
+        plain = not rest or (len(rest) % 2 == 0 and not rest[::2].strip(b"\xc3") and not any(x in text for x in _SIGNS))
+        if plain and b"<|" not in text:
+            text = text.lower()
+            marks = set(text.translate(None, _WORD))
+            if 39 in marks or _RUN.search(text):
+                text = _RUNS.sub(rb" \1 ", text)
+            else:  # single marks
+                for mark in marks:
+                    text = text.replace(b"%c" % mark, b" %c " % mark)
+        return text.split()
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Packed ids of each text (null: none)."""
-        out: list = []
-        waiting: list[tuple[int, list[bytes], list]] = []
-        missing: list[bytes] = []
-        get = self.words.get
-        for text in texts:
-            words = text.split() if text else []
-            got = list(map(get, words))
-            if None in got:
-                holes = [i for i, g in enumerate(got) if g is None]
-                missing += [words[i] for i in holes]
-                waiting.append((len(out), words, got, holes))
-                out.append(b"")
-            else:
-                out.append(b"".join(got))
-        if missing:
-            self._learn(missing)
-            words_of = self.words
-            for at, words, got, holes in waiting:
-                for i in holes:
-                    got[i] = words_of[words[i]]
-                out[at] = b"".join(got)
-        return out
+        """Packed ids of each text (null: none), a hundred texts at a time."""
+        return [ids for at in range(0, len(texts), 100) for ids in self._encode(texts[at : at + 100])]
+
+    def _encode(self, texts: list[bytes | None]) -> list[bytes]:
+        words = [self.split(t) if t else [] for t in texts]
+        new: set[bytes] = set()
+        for some in words:
+            new.update(some)
+        fresh = list(new.difference(self.words))
+        if len(self.words) + len(fresh) > self.most:
+            self.words, fresh = {}, list(new)
+        self.words.update(zip(fresh, self._encode_new(fresh)))
+        known = self.words.__getitem__
+        return [b"".join(map(known, some)) for some in words]
 
 
 _encoders: dict[str | None, WordEncoder] = {}

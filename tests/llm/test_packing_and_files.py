@@ -8,6 +8,8 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
+from odd_tables import no_docs, odd_docs, odd_rows  # noqa: F401
+
 from graphloom.llm import packing, token_files
 from graphloom.llm.tokens import WordEncoder
 
@@ -25,7 +27,9 @@ def crc(ids):
 def test_words_give_the_ids_of_whole_texts(ids_of, odd_rows):
     texts = [r[1] for r in odd_rows]
     texts += ["ÁB H̱ K İ ς Σ", "don't WE'LL'x ‍   b", "a\x1cb\x85c", "İ" * 300, "it's<|startoftext|>ok <|", "ÀÉ!! x***,."]
-    for most in (400_000, 5):  # also when the cache never lasts
+    texts += ["!!'s 's!! a'!b 'T'' it's. (it's) '.'re ..'ll x'd!", "É×! ÷÷. a÷b,", "3.5% a1! 12,000 a\u00a0b!", "A\u0301. e\u0301!", "ß. ÿ? µm! ﬁ. ＡＢ"]
+    texts += [texts[0].upper() + "?!.", "<|ENDOFTEXT|> <|endoftext|>", "\x00a! \x1fb. \x7f!c", "İ. I! ı?", "a\u2028b. c\u3000d!"]
+    for most in (400_000, 50):  # also when the cache never lasts
         encoder = WordEncoder(most=most)
         for _ in range(2):
             packed = encoder.encode([None if t is None else t.encode() for t in texts])
