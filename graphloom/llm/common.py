@@ -147,7 +147,7 @@ def components(edges: DataFrame, stage: StageTables, label: str) -> DataFrame:
     2014): each links the neighbours of a node to the smallest one, once for larger and once for
     smaller neighbours, until only stars are left; about log(nodes) rounds.  A round is stored, so
     a lost executor costs that round at most.  Smallest neighbours are grouped minima, joined back
-    on the node; AQE splits the join at hubs.
+    on the node; they are stored first, so that AQE can split the join at hubs.
     """
     rising = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     mark = F.xxhash64("u", "v").bitwiseAND(F.lit(0x3FFFFFFF))
@@ -158,9 +158,10 @@ def components(edges: DataFrame, stage: StageTables, label: str) -> DataFrame:
         rounds += 1
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least, _ = stage.put(least, f"{label}-{rounds}-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large, _ = stage.put(large, f"{label}-{rounds}-large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least, _ = stage.put(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-{rounds}-inner")
         small = (
             large.join(least, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), "m"), F.struct("u", "m"))).alias("e"))
