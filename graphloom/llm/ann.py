@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import in_order, ranked, ship
+from graphloom.llm.common import in_order, partitions, ranked, ship
 from graphloom.storage import StageTables
 
 DIMENSIONS = 6
@@ -165,22 +165,35 @@ def search(
     sent = cut.where("q").select("curve", F.explode(F.sequence(first, last)).alias("block"), "id", "v", F.lit(True).alias("asks"))
     both = sent.unionByName(cut.select("curve", "block", "id", "v", F.lit(False).alias("asks")))
 
-    def compare(rows: pa.Table) -> pa.Table:
-        asks = rows.column("asks").combine_chunks().to_numpy(zero_copy_only=False)
-        ids = rows.column("id").combine_chunks().to_numpy()
-        vectors = vectors_of(rows.column("v").combine_chunks())
-        queries, known = vectors[asks], vectors[~asks]
-        own, ids = ids[asks], ids[~asks]
-        out = [[], [], []]
-        for row, found, scores in best_of(queries, ids, known, own, top) if len(ids) else ():
-            out[0].append(np.full(len(found), own[row]))
-            out[1].append(found)
-            out[2].append(scores)
-        empty = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        columns = [np.concatenate(c) if c else e for c, e in zip(out, empty)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))
-
-    met = both.groupBy("curve", "block").applyInArrow(compare, "query_id long, vec_id long, score double")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come block by block, its vectors before the queries that visit it: only the vectors of
+        # one block are held, however many queries there are.
+        at, held, known = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            curve, block, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("curve", "block", "asks"))
+            ids, vectors = batch.column("id").to_numpy(), vectors_of(batch.column("v"))
+            edges = np.flatnonzero((np.diff(curve) != 0) | (np.diff(block) != 0) | (np.diff(asks.astype(int)) != 0)) + 1
+            for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(ids)]):
+                if at != (curve[start], block[start]):
+                    at, held, known = (curve[start], block[start]), [], None
+                if not asks[start]:
+                    held.append((ids[start:stop].copy(), vectors[start:stop].copy()))
+                    continue
+                if not held:
+                    continue
+                if known is None:
+                    known = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                own, out = ids[start:stop], []
+                for row, found, scores in best_of(vectors[start:stop], known[0], known[1], own, top):
+                    out.append((np.full(len(found), own[row]), found, scores))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"]
+                )
+
+    keyed = both.repartition(partitions(spark), "curve", "block").sortWithinPartitions("curve", "block", "asks", "id")
+    met = keyed.mapInArrow(compare, "query_id long, vec_id long, score double")
     single = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     # A query has at most top * blocks * curves rows here.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
