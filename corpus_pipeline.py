@@ -14,6 +14,8 @@ from graphloom.storage import StageTables
 
 # Documents whose score is below this are rejected.
 LEAST_QUALITY = 0.3
+# Texts of at least this Jaccard similarity of five-word shingles are near copies.
+NEAR_COPY = 0.8
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +35,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each SimHash class."""
-    return simhash.keep_first(docs)
+    """Keeps the first document of each class of near copies: SimHash classes, joined where texts are similar."""
+    return simhash.keep_first(docs, similarity=NEAR_COPY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

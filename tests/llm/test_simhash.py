@@ -121,3 +121,36 @@ def test_components_of_long_chains(spark):
     found = simhash.components(spark.createDataFrame(edges, "a long, b long"), simhash.StageTables(spark, "t"), "r")
     rows = {r.node: r.root for r in found.collect()}
     assert rows == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}}
+
+
+def test_keep_first_by_similarity(spark, odd_docs, no_docs):
+    rng = random.Random(11)
+    texts = []
+    for group in range(40):
+        words = [f"v{rng.randrange(3000)}" for _ in range(rng.randrange(60, 240))]
+        texts.append(" ".join(words))
+        for at in range(rng.randrange(0, 4)):  # words changed one after another, and more of them from copy to copy
+            for _ in range(rng.randrange(1, 1 + len(words) // 60)):
+                words[rng.randrange(len(words))] = f"v{rng.randrange(3000)}"
+            texts.append(" ".join(words).upper() if at % 2 else " ".join(words))
+    texts += ["one two", "one two", "one two three four five six", "", None]
+    rng.shuffle(texts)
+    plain = [t.lower().split() if t else [] for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in plain]
+    prints = [plain_fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+    similar = apart = 0
+    for j in range(len(texts)):
+        for i in range(j):
+            near = (prints[i] ^ prints[j]).bit_count() <= 4
+            alike = bool(sets[i]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            similar, apart = similar + alike, apart + (alike and not near)
+            if near or alike:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert apart >= 5 and similar > apart
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in simhash.keep_first(docs, similarity=0.8).collect())
+    assert kept == [i for i in range(len(texts)) if root[i] == i]
+    assert set(simhash.keep_first(odd_docs, similarity=0.8).columns) == set(odd_docs.columns)
+    assert simhash.keep_first(no_docs, similarity=0.8).collect() == []
