@@ -84,26 +84,36 @@ def curve_keys(vectors: np.ndarray, most: float, curve: int, seed: int) -> np.nd
 
 
 def best_of(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, top: int):
-    """The `top` largest inner products of each query among the rows, never its own id.
+    """The `top` ids of largest inner product with each query, never its own id.
 
-    Products of whole blocks pick the rows; their scores are then summed in one fixed order, so that
-    equal vectors tie exactly and the smaller id comes first.  Yields (query row, ids, scores).
+    Rows that repeat an id are one candidate, with its best score.  Products of whole blocks pick the
+    rows; their scores are then summed in one fixed order, so that equal vectors tie exactly and the
+    smaller id comes first.  Yields (query row, ids, scores).
     """
+    # Rows of one id side by side, so that a block gives one rough score per id.
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    single, group = ids[starts], np.repeat(np.arange(len(starts)), np.diff([*starts, len(ids)]))
     step = max(1, (8 << 20) // max(1, len(ids)))
     for at in range(0, len(queries), step):
         block = queries[at : at + step]
         rough = block @ vectors.T
         rough[own[at : at + step][:, None] == ids[None, :]] = -np.inf
-        if len(ids) > top:
-            edge = np.partition(rough, len(ids) - top, axis=1)[:, len(ids) - top]
+        best = rough if len(starts) == len(ids) else np.maximum.reduceat(rough, starts, axis=1)
+        if len(starts) > top:
+            edge = np.partition(best, len(starts) - top, axis=1)[:, len(starts) - top]
         else:
             edge = np.full(len(block), -np.inf)
         slack = 1e-9 * (1 + np.abs(edge))
         for i in range(len(block)):
             rows = np.flatnonzero((rough[i] >= edge[i] - slack[i]) & (rough[i] > -np.inf))
             exact = (vectors[rows] * block[i]).sum(axis=1)
-            order = np.lexsort((ids[rows], -exact))[:top]
-            yield at + i, ids[rows][order], exact[order]
+            found, place = np.unique(group[rows], return_inverse=True)
+            score = np.full(len(found), -np.inf)
+            np.maximum.at(score, place, exact)
+            order = np.lexsort((single[found], -score))[:top]
+            yield at + i, single[found][order], score[order]
 
 
 def search(

@@ -74,6 +74,21 @@ def test_search_small_and_empty(spark, table):
     assert ann.search(table.where("embedding IS NULL"), F.lit(True)).collect() == []
 
 
+def test_repeated_ids_are_one_candidate(spark):
+    rng = np.random.default_rng(9)
+    matrix = rng.normal(size=(60, 8))
+    near = matrix[0] * 3
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(matrix)]
+    rows += [(60, [float(x) for x in near])] * 100 + [(61, [float(x) for x in near * (1 - k / 500)]) for k in range(100)]
+    found = ann.search(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") == 0, window=1.0, curves=1
+    ).orderBy("rank").collect()
+    scores = {i: float(v @ matrix[0]) for i, v in enumerate([*matrix, near, near]) if i}
+    assert [r.vec_id for r in found] == sorted(scores, key=lambda i: (-round(scores[i], 9), i))[:20]
+    assert [r["rank"] for r in found] == list(range(1, 21))
+    assert all(r.score == pytest.approx(scores[r.vec_id], abs=1e-12) for r in found)
+
+
 def test_near_copies(table, vectors):
     matrix, rows = vectors
     unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
