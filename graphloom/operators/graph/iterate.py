@@ -68,40 +68,51 @@ def bounded_bfs(
     return found, edges.join(expanded, ["graph_id", "src"], "left_semi")
 
 
-def _follow(stage: StageTables, pointers: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+def follow(stage: StageTables, pointers: DataFrame, name: str, circles: bool = False) -> tuple[DataFrame, DataFrame]:
     """Follows pointers to their ends by doubling: (settled, endless).
 
-    pointers: graph_id, node_id, to_id, one per node.  settled: graph_id, node_id, to_id (the first
-    node on the way that has no pointer), last (the node before it), steps, low (smallest node id
-    on the way, to_id not counted).  endless: nodes whose way runs in a circle, with low, the
-    smallest id of the circle and what leads into it from the node.  Each round doubles the way,
-    so n nodes need about log2(n) rounds.
+    pointers: graph_id, node_id, to_id, one per node, and optionally weight (1 without).  settled:
+    graph_id, node_id, to_id (the first node on the way that has no pointer), last (the node before
+    it), steps (sum of the weights), low (smallest node id on the way, to_id not counted).
+    endless: nodes whose way runs in a circle; with `circles`, low is the smallest id of the circle and
+    what leads into it from the node.
+
+    A row settles as soon as its way reaches a settled row or an end, and then leaves the loop; only
+    the others travel on.  Ways that still move have the same length in a round, so if any of them
+    had an end, one would settle in the next round: a round in which none settles shows that all
+    that are left run in circles.  Their lows are complete once a round changes none.
     """
-    way = pointers.select(*NODE, "to_id", F.col("node_id").alias("last"), F.lit(1).cast("long").alias("steps"), F.col("node_id").alias("low"))
-    current, seen = stage.put(way, f"{name}=0", n=F.count(F.lit(1)))
-    most, reach, round_no = seen["n"], 1, 0
-    while seen["n"] and reach <= 2 * most:
+    weight = F.col("weight") if "weight" in pointers.columns else F.lit(1).cast("long")
+    way = pointers.select(
+        *NODE, "to_id", F.col("node_id").alias("last"), weight.alias("steps"), F.col("node_id").alias("low")
+    )
+    known = pointers.select("graph_id", F.col("node_id").alias("to_id"), F.lit(True).alias("moving"))
+    start = way.join(known, ["graph_id", "to_id"], "left").withColumn("moving", F.coalesce("moving", F.lit(False)))
+    start = start.select(*way.columns, "moving")
+    current, seen = stage.append(start, name, 0, n=F.count_if("moving"))
+    rows, round_no = stage.log(name), 0
+    while seen["n"]:
         round_no += 1
-        reach *= 2
-        further = current.select("graph_id", F.col("node_id").alias("to_id"), *[F.col(c).alias(f"_{c}") for c in ("to_id", "last", "steps", "low")])
-        joined = current.join(further, ["graph_id", "to_id"], "left")
-        moved = F.col("_to_id").isNotNull()
-        current, seen = stage.put(
-            joined.select(
-                *NODE,
-                F.coalesce("_to_id", "to_id").alias("to_id"),
-                F.coalesce("_last", "last").alias("last"),
-                (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
-                F.least("low", F.coalesce("_low", "low")).alias("low"),
-                moved.alias("moved"),
-            ),
-            f"{name}={round_no}",
-            n=F.count_if("moved"),
+        moving = current.filter("moving")
+        # What a way may reach: rows that have settled, and those that moved as far as it has.
+        ahead = rows.filter(~F.col("moving") | (F.col("round") == round_no - 1))
+        ahead = ahead.select("graph_id", F.col("node_id").alias("to_id"), *[F.col(c).alias(f"_{c}") for c in ("to_id", "last", "steps", "low", "moving")])
+        joined = moving.join(ahead, ["graph_id", "to_id"]).select(
+            *NODE,
+            F.col("_to_id").alias("to_id"),
+            F.col("_last").alias("last"),
+            (F.col("steps") + F.col("_steps")).alias("steps"),
+            F.least("low", "_low").alias("low"),
+            F.col("_moving").alias("moving"),
+            (F.col("_moving") & (F.col("_low") < F.col("low"))).alias("lower"),
         )
-    if not most:
-        return current, current
-    # Ways that still move after more steps than there are nodes run in a circle.
-    return current.filter(~F.col("moved")).drop("moved"), current.filter("moved").drop("moved")
+        before = seen["n"]
+        current, seen = stage.append(joined, name, round_no, n=F.count_if("moving"), lower=F.count_if("lower"))
+        rows = stage.log(name)
+        if seen["n"] == before and not (circles and seen["lower"]):
+            break
+    settled = rows.filter(~F.col("moving")).select(*way.columns)
+    return settled, current.filter("moving").select(*way.columns)
 
 
 def _peel(nodes: DataFrame, edges: DataFrame, waits_for: str, waiting: str, level: str) -> DataFrame:
@@ -118,7 +129,7 @@ def _peel(nodes: DataFrame, edges: DataFrame, waits_for: str, waiting: str, leve
     zero = F.lit(0).cast("long")
     needs = links.groupBy(*NODE).agg(F.count(F.lit(1)).alias("need"), F.min("on").alias("to_id"))
     needs, _ = stage.put(needs, "needs")
-    settled_runs, endless = _follow(stage, needs.filter("need = 1").select(*NODE, "to_id"), "run")
+    settled_runs, endless = follow(stage, needs.filter("need = 1").select(*NODE, "to_id"), "run")
     runs = settled_runs.select(*NODE, F.col("to_id").alias("end"), "steps")
     # Edges of the other nodes lead to the ends of runs; those into a circle stay open for ever.
     run_of = runs.withColumnRenamed("node_id", "on")
@@ -220,11 +231,11 @@ def min_reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     needs = links.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("to_id"))
     needs = needs.join(nodes.select(*NODE), NODE, "left_semi")
     needs, _ = stage.put(needs, "needs")
-    runs, endless = _follow(stage, needs.filter("n = 1").select(*NODE, "to_id"), "run")
+    runs, endless = follow(stage, needs.filter("n = 1").select(*NODE, "to_id"), "run", circles=True)
     forks = needs.filter("n > 1").select("graph_id", F.col("node_id").alias("dst"))
     into = links.join(forks, ["graph_id", "dst"], "left_semi")
     way = runs.select("graph_id", F.col("node_id").alias("src"), "to_id", "low").unionByName(
-        endless.select("graph_id", F.col("node_id").alias("src"), F.lit(None).cast("string").alias("to_id"), "low")
+        endless.select("graph_id", F.col("node_id").alias("src"), F.when(F.lit(False), F.col("node_id")).alias("to_id"), "low")
     )
     into, _ = stage.put(into.join(way, ["graph_id", "src"], "left"), "into")
     anchors = nodes.select(*NODE).join(needs.filter("n = 1").select(*NODE), NODE, "left_anti")
@@ -248,7 +259,7 @@ def _contract(stage: StageTables, links: DataFrame) -> tuple[DataFrame, DataFram
     ins = links.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("ins"))
     outs = links.groupBy("graph_id", F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("outs"), F.min("dst").alias("to_id"))
     single = ins.join(outs, NODE).filter("ins = 1 and outs = 1").select(*NODE, "to_id")
-    way, circles = _follow(stage, single, "run")
+    way, circles = follow(stage, single, "run", circles=True)
     # The last node of a run names it.
     head = way.select("graph_id", F.col("node_id").alias("dst"), "last", F.col("to_id").alias("end"))
     inner = way.select("graph_id", F.col("node_id").alias("src")).unionByName(circles.select("graph_id", F.col("node_id").alias("src")))

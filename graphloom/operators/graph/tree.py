@@ -1,8 +1,12 @@
 """Depth-first tree expansion without a depth-first walk.
 
 Preorder with name-ordered siblings first meets a node along the smallest simple path that
-leads to it, and every prefix of that path is itself smallest.  So labels are paths, the
-smallest one per node is found by relaxation, and each edge then becomes one output row.
+leads to it, and every prefix of that path is itself smallest.  A node with a single edge in
+can only be met through it, so such nodes hang in run trees below the others, the anchors.  The
+rows of a run tree are numbered in preorder by pointer doubling, whatever its depth; a path is
+then the row number at which it leaves each run tree, which sorts as the path itself does.  Only
+anchors take part in the search for smallest paths, and a label is as long as the number of anchors on
+the path, not as its depth.
 """
 
 from __future__ import annotations
@@ -12,85 +16,215 @@ from pyspark.sql import functions as F
 
 from ...functions.marks import kind_rank
 from ...storage import StageTables
-from ..numbering import repeat_rows
+from ..numbering import number_rows, repeat_rows, running_last
 from .edges import edges_known, roots
-from .iterate import NODE, relax
+from .iterate import NODE, follow, min_reaching, relax
 
+# A row number above all others; rows behind a subtree stand there.
+BEHIND = 1 << 62
 
-def _step(name: Column, node_id: Column, phase: int = 0, rank: Column | None = None) -> Column:
-    return F.struct(
-        F.lit(phase).alias("phase"),
-        (F.lit(0) if rank is None else rank).alias("rank"),
-        name.alias("name"),
-        node_id.alias("id"),
+
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
+
+
+def _link(column: str) -> list:
+    return ["graph_id", F.col(column).alias("node_id")]
+
+
+def _preorder(stage: StageTables, tag: str, links: DataFrame, inner: DataFrame) -> DataFrame:
+    """Links with their row number `pos` (from 1) in preorder of their run tree, and `stop`, the last
+    row number below them.
+
+    links: graph_id, src, dst, dst_name; inner: graph_id, node_id of the nodes with one edge in that
+    hang below an anchor.  Children stand in the order of (dst_name, dst).  The rows of a node are cut
+    behind each child that has children of its own: a piece (node, m) holds the node's own row if m is 0, and
+    the childless rows behind its m-th such child.  Pieces are linked to the one before them, and
+    their first row numbers are sums along these pointers.
+    """
+    order = ["dst_name", "dst"]
+    items = number_rows(links, ["graph_id", "src"], order, "i")
+    parents = links.select("graph_id", F.col("src").alias("dst")).distinct()
+    inside = inner.select("graph_id", F.col("node_id").alias("dst"))
+    big = items.join(inside, ["graph_id", "dst"], "left_semi").join(parents, ["graph_id", "dst"], "left_semi")
+    big, seen = stage.put(big.filter("src <> dst").select("graph_id", "src", "dst", "i"), f"{tag}-big", n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return items.select("graph_id", "src", "dst", F.col("i").alias("pos"), F.col("i").alias("stop"))
+    big, _ = stage.put(number_rows(big, ["graph_id", "src"], ["i"], "m"), f"{tag}-numbered")
+    numbered = items.join(big.select("graph_id", "src", "dst", "m"), ["graph_id", "src", "dst"], "left")
+    value = F.when(F.col("m").isNotNull(), F.struct("m", "i"))
+    numbered = running_last(numbered, ["graph_id", "src"], ["i"], {"behind": value})
+    own = big.select("graph_id", F.col("dst").alias("src"), F.lit(1).alias("own"))
+    numbered = numbered.join(own, ["graph_id", "src"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    small = F.col("m").isNull()
+    piece = F.coalesce("behind.m", _long(0))
+    # The node's own row comes first in its piece 0.
+    place = F.col("i") - F.coalesce("behind.i", _long(0)) + F.when(piece == 0, F.col("own")).otherwise(0)
+    numbered = numbered.select(
+        "graph_id", "src", "dst", "m",
+        F.when(small, F.struct(F.col("src").alias("node"), piece.alias("m"))).otherwise(F.struct(F.col("dst").alias("node"), _long(0).alias("m"))).alias("piece"),
+        F.when(small, place).otherwise(_long(1)).alias("place"),
+    )
+    numbered, _ = stage.put(numbered, f"{tag}-pieces")
+    sizes = numbered.groupBy("graph_id", F.col("piece").alias("to_id")).agg(F.count(F.lit(1)).alias("weight"))
+    last = big.groupBy("graph_id", F.col("src").alias("dst")).agg(F.max("m").alias("last"))
+    ends = big.join(last, ["graph_id", "dst"], "left").withColumn("last", F.coalesce("last", _long(0)))
+    down = F.struct(
+        F.struct(F.col("dst").alias("node"), _long(0).alias("m")).alias("node_id"),
+        F.struct(F.col("src").alias("node"), (F.col("m") - 1).alias("m")).alias("to_id"),
     )
+    back = F.struct(
+        F.struct(F.col("src").alias("node"), F.col("m").alias("m")).alias("node_id"),
+        F.struct(F.col("dst").alias("node"), F.col("last").alias("m")).alias("to_id"),
+    )
+    pointers = ends.select("graph_id", F.explode(F.array(down, back)).alias("p")).select("graph_id", "p.node_id", "p.to_id")
+    pointers = pointers.join(sizes, ["graph_id", "to_id"], "left").select(*NODE, "to_id", F.coalesce("weight", _long(0)).alias("weight"))
+    pointers, _ = stage.put(pointers, f"{tag}-pointers")
+    starts, _ = follow(stage, pointers, f"{tag}-starts")
+    starts = starts.select("graph_id", F.col("node_id").alias("piece"), F.col("steps").alias("before"))
+    numbered = numbered.join(starts, ["graph_id", "piece"], "left")
+    numbered = numbered.withColumn("pos", F.col("place") + F.coalesce("before", _long(0)))
+    # The last row below a child with children of its own ends the last piece of that child.
+    final = ends.select("graph_id", "src", "dst", F.struct(F.col("dst").alias("node"), F.col("last").alias("m")).alias("piece"))
+    final = final.join(starts, ["graph_id", "piece"], "left")
+    final = final.join(sizes.withColumnRenamed("to_id", "piece"), ["graph_id", "piece"], "left")
+    final = final.select("graph_id", "src", "dst", (F.coalesce("before", _long(0)) + F.coalesce("weight", _long(0))).alias("stop"))
+    numbered = numbered.join(final, ["graph_id", "src", "dst"], "left")
+    return numbered.select("graph_id", "src", "dst", "pos", F.coalesce("stop", "pos").alias("stop"))
+
+
+def _place(stage: StageTables, tag: str, links: DataFrame, top: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the roots reach: (labels, nodes, items).
+
+    links: graph_id, src, dst, dst_name; top: graph_id, node_id, seq (order of the roots).  labels:
+    graph_id, node_id, label for each anchor; a label is an array of (pos, depth, id): the root,
+    then the row by which the path enters each further anchor.  nodes: graph_id, node_id, anchor of every
+    reached node.  items: links of reached nodes with anchor, pos, stop, depth below the anchor and
+    `inner`, true where the link is the only one into its target.
+    """
+    proper = links.filter("src <> dst")
+    into = proper.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("to_id"))
+    single = into.filter("n = 1").join(top.select(*NODE), NODE, "left_anti").select(*NODE, "to_id")
+    single, _ = stage.put(single, f"{tag}-single")
+    inner, _ = follow(stage, single, f"{tag}-runs")
+    inner = inner.select(*NODE, F.col("to_id").alias("anchor"), F.col("steps").cast("int").alias("depth"))
+    inner, _ = stage.put(inner, f"{tag}-inner")
+    # Nodes below a circle that no root reaches hang nowhere.
+    lost = single.select(*NODE).join(inner.select(*NODE), NODE, "left_anti").select("graph_id", F.col("node_id").alias("src"))
+    placed = _preorder(stage, tag, links.join(lost, ["graph_id", "src"], "left_anti"), inner)
+    above = inner.select("graph_id", F.col("node_id").alias("src"), "anchor", F.col("depth").alias("above"))
+    below = inner.select("graph_id", F.col("node_id").alias("dst"), F.lit(True).alias("inner"))
+    items = placed.join(above, ["graph_id", "src"], "left").join(below, ["graph_id", "dst"], "left")
+    items = items.select(
+        "graph_id", "src", "dst", F.coalesce("anchor", "src").alias("anchor"), "pos", "stop",
+        (F.coalesce("above", F.lit(0)) + 1).alias("depth"),
+        (F.coalesce("inner", F.lit(False)) & (F.col("src") != F.col("dst"))).alias("inner"),
+    )
+    items, _ = stage.put(items, f"{tag}-items")
+
+    entries = items.filter(~F.col("inner") & (F.col("src") != F.col("dst")) & (F.col("anchor") != F.col("dst")))
+    entries = entries.join(top.select("graph_id", F.col("node_id").alias("dst")), ["graph_id", "dst"], "left_anti")
+    # Of several ways into an anchor within one run tree the first is always better.
+    adjacency = entries.groupBy("graph_id", F.col("anchor").alias("node_id"), F.col("dst").alias("to_id"))
+    adjacency = adjacency.agg(F.min(F.struct("pos", "depth")).alias("entry")).select(*NODE, "to_id", "entry.*")
+    adjacency, _ = stage.put(adjacency, f"{tag}-adjacency")
+
+    def extend(label: Column) -> Column:
+        return F.concat(label, F.array(F.struct("pos", "depth", F.col("to_id").alias("id"))))
+
+    def allow(label: Column) -> Column:
+        return ~F.exists(label, lambda step: step["id"] == F.col("to_id"))
+
+    root = F.struct(F.col("seq").alias("pos"), F.lit(0).alias("depth"), F.col("node_id").alias("id"))
+    start = top.select(*NODE, F.array(root).alias("label"))
+    labels = relax(StageTables(links.sparkSession, "paths"), adjacency, start, NODE, extend, allow)
+    labels, _ = stage.put(labels, f"{tag}-labels")
+    reached = labels.select(*NODE, F.col("node_id").alias("anchor"))
+    hanging = inner.select(*NODE, "anchor").join(labels.select("graph_id", F.col("node_id").alias("anchor")), ["graph_id", "anchor"], "left_semi")
+    return labels, reached.unionByName(hanging), items
 
 
 def tree_expansion(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Tree rows (graph_id, path, depth, node_id, name, kind, version, marker).
+    """Tree rows (graph_id, place, depth, parent, node_id, name, kind, version, copy, marker).
 
     Roots are the nodes no edge points to, by kind and name; then nodes no root reaches, by
     name.  Each node is expanded once.  `marker` is `root`, `expand`, `see above` for a node
-    already shown, or `cycle` for a node on its own path.  Sorting a graph's rows by `path`
-    gives the printed order; there is one row per edge and root.
+    already shown, or `cycle` for a node on its own path.  `parent` is null for roots; parallel edges
+    give one row each, numbered by `copy`.  `place` is an array of numbers: sorting a graph's rows by it gives
+    the printed order; there is one row per edge and root.
     """
     stage = StageTables(nodes.sparkSession, "tree")
     shown = nodes.select(*NODE, "name", "kind", "version")
     links = edges_known(nodes, edges).groupBy("graph_id", "src", "dst").agg(F.count(F.lit(1)).alias("copies"))
-    target = shown.select(
-        "graph_id",
-        F.col("node_id").alias("dst"),
-        F.col("name").alias("dst_name"),
-        F.col("kind").alias("dst_kind"),
-        F.col("version").alias("dst_version"),
-    )
-    links, _ = stage.put(links.join(target, ["graph_id", "dst"]), "links")
-    adjacency = links.select("graph_id", F.col("src").alias("node_id"), F.col("dst").alias("to_id"), "dst_name")
-
-    def extend(label: Column) -> Column:
-        return F.concat(label, F.array(_step(F.col("dst_name"), F.col("to_id"))))
-
-    def allow(label: Column) -> Column:
-        return ~F.exists(label, lambda step: step["id"] == F.col("to_id"))
+    names = shown.select("graph_id", F.col("node_id").alias("dst"), F.col("name").alias("dst_name"))
+    links, _ = stage.put(links.join(names, ["graph_id", "dst"]), "links")
+    ways = links.select("graph_id", "src", "dst", "dst_name")
 
-    top = roots(shown, edges)
-    start = top.select(*NODE, F.array(_step(F.col("name"), F.col("node_id"), 0, kind_rank("kind"))).alias("label"))
-    reached, _ = stage.put(relax(StageTables(nodes.sparkSession, "paths"), adjacency, start, NODE, extend, allow), "reached")
-    rest, seen = stage.put(shown.join(reached, NODE, "left_anti"), "rest", n=F.count(F.lit(1)))
-    labels = reached
+    top = roots(shown, edges).select(*NODE, kind_rank("kind").alias("rank"), "name")
+    top, _ = stage.put(number_rows(top, ["graph_id"], ["rank", "name", "node_id"]).select(*NODE, "seq"), "top")
+    labels, reached, items = _place(stage, "first", ways, top)
+    rest, seen = stage.put(shown.select(*NODE, "name").join(reached.select(*NODE), NODE, "left_anti"), "rest", n=F.count(F.lit(1)))
     if seen["n"]:
-        # Every leftover node may be a root; the smallest one that reaches a node wins, which
-        # also settles which of them really are roots.
-        inner = adjacency.join(rest.select("graph_id", F.col("node_id").alias("to_id")), ["graph_id", "to_id"], "left_semi")
-        start = rest.select(*NODE, F.array(_step(F.col("name"), F.col("node_id"), 1)).alias("label"))
-        more = relax(StageTables(nodes.sparkSession, "paths"), inner, start, NODE, extend, allow)
-        labels = reached.unionByName(more)
-    labels, _ = stage.put(labels, "labels")
-
-    root_rows = labels.filter(F.size("label") == 1).join(shown, NODE)
-    root_rows = root_rows.select(
-        "graph_id", F.col("label").alias("path"), F.lit(0).cast("long").alias("copy"), "node_id", "name", "kind", "version",
-        F.lit("root").alias("marker"),
+        # Of the nodes that reach a node the first by name is its root.
+        named = number_rows(rest, ["graph_id"], ["name", "node_id"])
+        # After all roots of the first kind.
+        many = top.groupBy("graph_id").agg(F.count(F.lit(1)).alias("many"))
+        named = named.join(many, "graph_id", "left").withColumn("seq", F.col("seq") + F.coalesce("many", _long(0))).drop("many")
+        named, _ = stage.put(named, "named")
+        more = ways.join(rest.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"], "left_semi")
+        left = named.select("graph_id", F.col("node_id").alias("src"), F.col("seq").alias("from"))
+        right = named.select("graph_id", F.col("node_id").alias("dst"), F.col("seq").alias("to"))
+        inside = more.join(left, ["graph_id", "src"]).join(right, ["graph_id", "dst"])
+        firsts = min_reaching(
+            named.select("graph_id", F.col("seq").alias("node_id")),
+            inside.select("graph_id", F.col("from").alias("src"), F.col("to").alias("dst")),
+        )
+        firsts = firsts.filter("node_id = min_src").select("graph_id", F.col("node_id").alias("seq"))
+        second = named.join(firsts, ["graph_id", "seq"], "left_semi").select(*NODE, "seq")
+        second, _ = stage.put(second, "second")
+        # Targets outside the rest are shown already; they stay rows but are no anchors.
+        known = rest.select("graph_id", F.col("node_id").alias("dst"))
+        outside = more.join(known, ["graph_id", "dst"], "left_anti")
+        marked = more.join(known, ["graph_id", "dst"], "left_semi").withColumn("shown", F.lit(False))
+        marked = marked.unionByName(outside.withColumn("shown", F.lit(True)))
+        marked, _ = stage.put(marked, "more")
+        late_labels, _, late_items = _place(stage, "later", marked.drop("shown"), second)
+        already = marked.filter("shown").select(*_link("dst")).distinct()
+        late_labels = late_labels.join(already, NODE, "left_anti")
+        items = items.join(rest.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"], "left_anti")
+        late_items = late_items.join(already.withColumnRenamed("node_id", "dst").withColumn("_shown", F.lit(True)), ["graph_id", "dst"], "left")
+        late_items = late_items.withColumn("inner", F.col("inner") & F.col("_shown").isNull()).drop("_shown")
+        labels, items, top = labels.unionByName(late_labels), items.unionByName(late_items), top.unionByName(second)
+
+    root_rows = top.join(shown, NODE).select(
+        "graph_id", F.array("seq").alias("place"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"),
+        *["node_id", "name", "kind", "version"], _long(0).alias("copy"), F.lit("root").alias("marker"),
     )
-    from_label = labels.select("graph_id", F.col("node_id").alias("src"), F.col("label").alias("src_label"))
-    to_label = labels.select("graph_id", F.col("node_id").alias("dst"), F.col("label").alias("dst_label"))
-    tried = links.join(from_label, ["graph_id", "src"]).join(to_label, ["graph_id", "dst"])
-    path = F.concat("src_label", F.array(_step(F.col("dst_name"), F.col("dst"))))
-    on_path = F.exists("src_label", lambda step: step["id"] == F.col("dst"))
-    tried = tried.select("*", path.alias("path"), on_path.alias("on_path"))
-    first = F.when(F.col("on_path"), "cycle").when(F.col("path") == F.col("dst_label"), "expand").otherwise("see above")
-    tried = tried.select(
-        "graph_id", "src", "dst", "copies", "path", "dst_name", "dst_kind", "dst_version", first.alias("first")
-    )
-    edge_rows = repeat_rows(tried, "copies")
-    repeated = (F.col("copy") > 1) & (F.col("first") == "expand")
-    edge_rows = edge_rows.select(
-        "graph_id", "path", "copy",
+    from_label = labels.select("graph_id", F.col("node_id").alias("anchor"), F.col("label").alias("way"))
+    to_label = labels.select("graph_id", F.col("node_id").alias("dst"), F.col("label").alias("dst_way"))
+    rows = items.join(from_label, ["graph_id", "anchor"]).join(to_label, ["graph_id", "dst"], "left")
+    entry = F.concat("way", F.array(F.struct("pos", "depth", F.col("dst").alias("id"))))
+    on_path = (F.col("src") == F.col("dst")) | F.exists("way", lambda step: step["id"] == F.col("dst"))
+    first = F.when(on_path, "cycle").when(F.col("inner") | F.coalesce(entry == F.col("dst_way"), F.lit(False)), "expand")
+    rows = rows.select(
+        "graph_id", "src", "dst", "pos", "stop",
+        F.transform("way", lambda s: s["pos"]).alias("steps"),
+        (F.aggregate("way", F.lit(0), lambda sum_, s: sum_ + s["depth"]) + F.col("depth")).alias("depth"),
+        first.otherwise("see above").alias("first"),
+    )
+    target = shown.select("graph_id", F.col("node_id").alias("dst"), "name", "kind", "version")
+    rows = rows.join(links.select("graph_id", "src", "dst", "copies"), ["graph_id", "src", "dst"]).join(target, ["graph_id", "dst"])
+    rows = repeat_rows(rows, "copies")
+    # Further copies stand behind the subtree of the first, those of deeper rows first.
+    behind = F.array(F.col("stop"), _long(BEHIND) - F.col("depth"), F.col("copy").cast("long"))
+    again = F.col("copy") > 1
+    edge_rows = rows.select(
+        "graph_id",
+        F.concat("steps", F.when(again, behind).otherwise(F.array("pos"))).alias("place"),
+        "depth",
+        F.col("src").alias("parent"),
         F.col("dst").alias("node_id"),
-        F.col("dst_name").alias("name"),
-        F.col("dst_kind").alias("kind"),
-        F.col("dst_version").alias("version"),
-        F.when(repeated, "see above").otherwise(F.col("first")).alias("marker"),
+        *["name", "kind", "version", "copy"],
+        F.when(again & (F.col("first") == "expand"), "see above").otherwise(F.col("first")).alias("marker"),
     )
-    rows = root_rows.unionByName(edge_rows).withColumn("depth", F.size("path") - 1)
-    return rows.select("graph_id", "path", "copy", "depth", "node_id", "name", "kind", "version", "marker")
+    return root_rows.unionByName(edge_rows)

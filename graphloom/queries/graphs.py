@@ -19,7 +19,7 @@ from ..operators.graph import edges as GE
 from ..operators.graph import iterate as GI
 from ..operators.graph import metrics as GM
 from ..operators.graph.tree import tree_expansion
-from ..operators.numbering import label_duplicates
+from ..operators.numbering import label_duplicates, number_rows
 from ..plans import lines as L
 from ..plans.build_graph import assemble_graph, package_edges, package_nodes
 from ..schemas import EDGES, NODES, PROJECT_REFERENCE, conform
@@ -675,11 +675,15 @@ tree AS (
 )"""
 
 
-@query("tree_rows", f"WITH RECURSIVE {MOVES}, {_TREE} SELECT graph_id, array_to_string(path, '/') AS path, depth::INT AS depth, node_id, marker FROM tree")
+@query(
+    "tree_rows",
+    f"""WITH RECURSIVE {MOVES}, {_TREE}
+SELECT graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY key) AS seq, depth::INT AS depth,
+  CASE WHEN depth > 0 THEN path[-2] END AS parent, node_id, marker FROM tree""",
+)
 def tree_rows(spark, sf):
     rows = tree_expansion(*moves_graph(spark, sf))
-    path = F.array_join(F.transform("path", lambda s: s["id"]), "/")
-    return rows.select("graph_id", path.alias("path"), "depth", "node_id", "marker")
+    return number_rows(rows, ["graph_id"], ["place"]).select("graph_id", "seq", "depth", "parent", "node_id", "marker")
 
 
 @query(

@@ -1,6 +1,8 @@
 """Graph operators on small hand-made graphs and against brute force on random ones."""
 
 import random
+import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from graphloom.operators.graph import iterate as GI
 from graphloom.operators.graph import metrics as GM
 from graphloom.operators.graph.tree import tree_expansion
 from graphloom.schemas import NODE_KINDS
+from graphloom.storage import StageTables
 
 FIXTURES = {
     "chain": ("ABCD", ["AB", "BC", "CD"]),
@@ -184,10 +187,13 @@ def reach_sets(names, pairs):
 def depth_first_tree(kinds, pairs):
     """The printed order of a recursive expansion."""
     out, seen = [], set()
+    ahead = {}
+    for a, b in sorted(pairs):
+        ahead.setdefault(a, []).append(b)
 
     def walk(node, path):
         seen.add(node)
-        for target in sorted(b for a, b in pairs if a == node):
+        for target in ahead.get(node, []):
             here = [*path, target]
             if target in path:
                 out.append((here, "cycle"))
@@ -245,15 +251,38 @@ def test_tree_matches_depth_first_walk(make_graph):
     graphs = random_graphs(150, seed=3)
     nodes, edges = make_graph(graphs)
     found = {}
-    path = F.expr("transform(path, s -> s.id)")
-    # The place of a second copy is behind the subtree of the first.
-    for r in tree_expansion(nodes, edges).select("graph_id", "path", path.alias("ids"), "copy", "marker").collect():
-        key = [(s["phase"], s["rank"], s["name"], s["id"]) for s in r.path]
-        key = key + [(-1, 0, "", "")] if r.copy < 2 else key + [(9, r.copy, "", "")]
-        found.setdefault(r.graph_id, []).append((key, list(r.ids), r.marker))
+    for r in tree_expansion(nodes, edges).collect():
+        found.setdefault(r.graph_id, []).append((list(r.place), (r.parent, r.node_id, r.depth, r.marker)))
     for g, (kinds, pairs) in graphs.items():
-        ours = [(ids, marker) for _, ids, marker in sorted(found.get(g, []))]
-        assert ours == depth_first_tree(kinds, pairs), (g, kinds, pairs)
+        expected = [(path[-2] if len(path) > 1 else None, path[-1], len(path) - 1, marker) for path, marker in depth_first_tree(kinds, pairs)]
+        assert [row for _, row in sorted(found.get(g, []))] == expected, (g, kinds, pairs)
+
+
+def test_deep_trees_take_few_rounds(make_graph):
+    """A chain, a comb whose teeth are leaves, a ring without a root and a chain with a way back."""
+    names = [f"n{(i * 7) % 2000:04d}" for i in range(2000)]
+    chain = list(zip(names, names[1:]))
+    comb = [(n, f"{t}{n}") for n in names[:500] for t in ("a", "z")]
+    graphs = {
+        "chain": (names, chain),
+        "comb": ([*names[:500], *(b for _, b in comb)], chain[:499] + comb),
+        "ring": (names, [*chain, (names[-1], names[0])]),
+        "back": (names[:300], chain[:299] + [(names[299], names[100]), (names[250], names[260])]),
+    }
+    nodes, edges = make_graph(graphs)
+    began = time.time()
+    found = {}
+    for r in tree_expansion(nodes, edges).collect():
+        found.setdefault(r.graph_id, []).append((list(r.place), (r.depth, r.node_id, r.marker)))
+    assert time.time() - began < 120
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(10_000)
+    try:
+        for g, (kinds, pairs) in graphs.items():
+            expected = [(len(path) - 1, path[-1], marker) for path, marker in depth_first_tree(dict.fromkeys(kinds, "Library"), pairs)]
+            assert [row for _, row in sorted(found[g])] == expected, g
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def test_levels_grow_along_edges(make_graph):
@@ -308,3 +337,17 @@ def test_long_base_chains(spark, make_graph):
     members = spark.createDataFrame([("g", "t15", 1, "Id"), ("g", "t15", 2, "Name"), ("g", "t07", 9, "Id")], "graph_id string, node_id string, ordinal int, name string")
     got = rows(GI.inherited_members(members, edges).filter("node_id = 't00'"), "name", "declared_in", "level")
     assert got == [("Id", "t07", 7), ("Name", "t15", 15)]
+
+
+def test_a_ring_elsewhere_does_not_keep_settled_rows_moving(spark):
+    """Nodes that point at a hub settle at once, whatever circles there are in other graphs."""
+    stage = StageTables(spark, "star")
+    star = [("star", f"n{i:05d}", "hub") for i in range(20_000)]
+    ring = [("ring", "a", "b"), ("ring", "b", "a"), ("ring", "c", "b")]
+    pointers = spark.createDataFrame(star + ring, "graph_id string, node_id string, to_id string")
+    settled, endless = GI.follow(stage, pointers, "ways", circles=True)
+    assert stage.log("ways").select("round").distinct().count() <= 4
+    assert settled.count() == 20_000 and rows(settled, "to_id", "steps")[0] == ("hub", 1)
+    assert rows(endless, "node_id", "low") == [("a", "a"), ("b", "a"), ("c", "a")]
+    # The moving rows alone are written again.
+    assert stage.log("ways").filter("round > 0").count() <= 9
