@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ...functions.marks import kind_rank
 from ...storage import StageTables
-from ..numbering import number_rows, repeat_rows, running_last
+from ..numbering import number_rows, repeat_rows, running_marks
 from .edges import edges_known, roots
 from .iterate import NODE, follow, min_reaching, relax
 
@@ -28,11 +28,7 @@ def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
-def _link(column: str) -> list:
-    return ["graph_id", F.col(column).alias("node_id")]
-
-
-def _preorder(stage: StageTables, tag: str, links: DataFrame, inner: DataFrame) -> DataFrame:
+def _preorder(stage: StageTables, links: DataFrame, inner: DataFrame) -> DataFrame:
     """Links with their row number `pos` (from 1) in preorder of their run tree, and `stop`, the last
     row number below them.
 
@@ -42,30 +38,27 @@ def _preorder(stage: StageTables, tag: str, links: DataFrame, inner: DataFrame)
     the childless rows behind its m-th such child.  Pieces are linked to the one before them, and
     their first row numbers are sums along these pointers.
     """
-    order = ["dst_name", "dst"]
-    items = number_rows(links, ["graph_id", "src"], order, "i")
     parents = links.select("graph_id", F.col("src").alias("dst")).distinct()
-    inside = inner.select("graph_id", F.col("node_id").alias("dst"))
-    big = items.join(inside, ["graph_id", "dst"], "left_semi").join(parents, ["graph_id", "dst"], "left_semi")
-    big, seen = stage.put(big.filter("src <> dst").select("graph_id", "src", "dst", "i"), f"{tag}-big", n=F.count(F.lit(1)))
+    heads = inner.select("graph_id", F.col("node_id").alias("dst")).join(parents, ["graph_id", "dst"], "left_semi")
+    heads, seen = stage.put(heads.withColumn("big", F.lit(True)), "heads", n=F.count(F.lit(1)))
     if not seen["n"]:
-        return items.select("graph_id", "src", "dst", F.col("i").alias("pos"), F.col("i").alias("stop"))
-    big, _ = stage.put(number_rows(big, ["graph_id", "src"], ["i"], "m"), f"{tag}-numbered")
-    numbered = items.join(big.select("graph_id", "src", "dst", "m"), ["graph_id", "src", "dst"], "left")
-    value = F.when(F.col("m").isNotNull(), F.struct("m", "i"))
-    numbered = running_last(numbered, ["graph_id", "src"], ["i"], {"behind": value})
-    own = big.select("graph_id", F.col("dst").alias("src"), F.lit(1).alias("own"))
-    numbered = numbered.join(own, ["graph_id", "src"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    small = F.col("m").isNull()
-    piece = F.coalesce("behind.m", _long(0))
+        rows = number_rows(links, ["graph_id", "src"], ["dst_name", "dst"], "pos")
+        return rows.select("graph_id", "src", "dst", "pos", F.col("pos").alias("stop"))
+    items = links.join(heads, ["graph_id", "dst"], "left").select("graph_id", "src", "dst", "dst_name", "big")
+    mark = F.col("big").isNotNull() & (F.col("src") != F.col("dst"))
+    items = running_marks(items, ["graph_id", "src"], ["dst_name", "dst"], mark)
+    own = heads.select("graph_id", F.col("dst").alias("src"), F.lit(1).alias("own"))
+    items = items.join(own, ["graph_id", "src"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
     # The node's own row comes first in its piece 0.
-    place = F.col("i") - F.coalesce("behind.i", _long(0)) + F.when(piece == 0, F.col("own")).otherwise(0)
-    numbered = numbered.select(
-        "graph_id", "src", "dst", "m",
-        F.when(small, F.struct(F.col("src").alias("node"), piece.alias("m"))).otherwise(F.struct(F.col("dst").alias("node"), _long(0).alias("m"))).alias("piece"),
-        F.when(small, place).otherwise(_long(1)).alias("place"),
+    place = F.col("row") - F.col("at") + F.when(F.col("marks") == 0, F.col("own")).otherwise(0)
+    numbered = items.select(
+        "graph_id", "src", "dst", mark.alias("big"), F.when(mark, F.col("marks")).alias("m"),
+        F.when(mark, F.struct(F.col("dst").alias("node"), _long(0).alias("m")))
+        .otherwise(F.struct(F.col("src").alias("node"), F.col("marks").alias("m"))).alias("piece"),
+        F.when(mark, _long(1)).otherwise(place).alias("place"),
     )
-    numbered, _ = stage.put(numbered, f"{tag}-pieces")
+    numbered, _ = stage.put(numbered, "pieces")
+    big = numbered.filter("big").select("graph_id", "src", "dst", "m")
     sizes = numbered.groupBy("graph_id", F.col("piece").alias("to_id")).agg(F.count(F.lit(1)).alias("weight"))
     last = big.groupBy("graph_id", F.col("src").alias("dst")).agg(F.max("m").alias("last"))
     ends = big.join(last, ["graph_id", "dst"], "left").withColumn("last", F.coalesce("last", _long(0)))
@@ -79,8 +72,8 @@ def _preorder(stage: StageTables, tag: str, links: DataFrame, inner: DataFrame)
     )
     pointers = ends.select("graph_id", F.explode(F.array(down, back)).alias("p")).select("graph_id", "p.node_id", "p.to_id")
     pointers = pointers.join(sizes, ["graph_id", "to_id"], "left").select(*NODE, "to_id", F.coalesce("weight", _long(0)).alias("weight"))
-    pointers, _ = stage.put(pointers, f"{tag}-pointers")
-    starts, _ = follow(stage, pointers, f"{tag}-starts")
+    pointers, _ = stage.put(pointers, "pointers")
+    starts, _ = follow(stage, pointers, "starts")
     starts = starts.select("graph_id", F.col("node_id").alias("piece"), F.col("steps").alias("before"))
     numbered = numbered.join(starts, ["graph_id", "piece"], "left")
     numbered = numbered.withColumn("pos", F.col("place") + F.coalesce("before", _long(0)))
@@ -93,25 +86,21 @@ def _preorder(stage: StageTables, tag: str, links: DataFrame, inner: DataFrame)
     return numbered.select("graph_id", "src", "dst", "pos", F.coalesce("stop", "pos").alias("stop"))
 
 
-def _place(stage: StageTables, tag: str, links: DataFrame, top: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What the roots reach: (labels, nodes, items).
+def _place(stage: StageTables, links: DataFrame, top: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where the nodes and links stand below the roots: (labels, items).  Every node is reached.
 
     links: graph_id, src, dst, dst_name; top: graph_id, node_id, seq (order of the roots).  labels:
     graph_id, node_id, label for each anchor; a label is an array of (pos, depth, id): the root,
-    then the row by which the path enters each further anchor.  nodes: graph_id, node_id, anchor of every
-    reached node.  items: links of reached nodes with anchor, pos, stop, depth below the anchor and
-    `inner`, true where the link is the only one into its target.
+    then the row by which the path enters each further anchor.  items: links with anchor, pos, stop, depth
+    below the anchor and `inner`, true where the link is the only one into its target.
     """
     proper = links.filter("src <> dst")
     into = proper.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("to_id"))
     single = into.filter("n = 1").join(top.select(*NODE), NODE, "left_anti").select(*NODE, "to_id")
-    single, _ = stage.put(single, f"{tag}-single")
-    inner, _ = follow(stage, single, f"{tag}-runs")
+    single, _ = stage.put(single, "single")
+    inner, _ = follow(stage, single, "runs")
     inner = inner.select(*NODE, F.col("to_id").alias("anchor"), F.col("steps").cast("int").alias("depth"))
-    inner, _ = stage.put(inner, f"{tag}-inner")
-    # Nodes below a circle that no root reaches hang nowhere.
-    lost = single.select(*NODE).join(inner.select(*NODE), NODE, "left_anti").select("graph_id", F.col("node_id").alias("src"))
-    placed = _preorder(stage, tag, links.join(lost, ["graph_id", "src"], "left_anti"), inner)
+    placed = _preorder(stage, links, inner)
     above = inner.select("graph_id", F.col("node_id").alias("src"), "anchor", F.col("depth").alias("above"))
     below = inner.select("graph_id", F.col("node_id").alias("dst"), F.lit(True).alias("inner"))
     items = placed.join(above, ["graph_id", "src"], "left").join(below, ["graph_id", "dst"], "left")
@@ -120,14 +109,14 @@ def _place(stage: StageTables, tag: str, links: DataFrame, top: DataFrame) -> tu
         (F.coalesce("above", F.lit(0)) + 1).alias("depth"),
         (F.coalesce("inner", F.lit(False)) & (F.col("src") != F.col("dst"))).alias("inner"),
     )
-    items, _ = stage.put(items, f"{tag}-items")
+    items, _ = stage.put(items, "items")
 
     entries = items.filter(~F.col("inner") & (F.col("src") != F.col("dst")) & (F.col("anchor") != F.col("dst")))
     entries = entries.join(top.select("graph_id", F.col("node_id").alias("dst")), ["graph_id", "dst"], "left_anti")
     # Of several ways into an anchor within one run tree the first is always better.
     adjacency = entries.groupBy("graph_id", F.col("anchor").alias("node_id"), F.col("dst").alias("to_id"))
     adjacency = adjacency.agg(F.min(F.struct("pos", "depth")).alias("entry")).select(*NODE, "to_id", "entry.*")
-    adjacency, _ = stage.put(adjacency, f"{tag}-adjacency")
+    adjacency, _ = stage.put(adjacency, "adjacency")
 
     def extend(label: Column) -> Column:
         return F.concat(label, F.array(F.struct("pos", "depth", F.col("to_id").alias("id"))))
@@ -138,10 +127,28 @@ def _place(stage: StageTables, tag: str, links: DataFrame, top: DataFrame) -> tu
     root = F.struct(F.col("seq").alias("pos"), F.lit(0).alias("depth"), F.col("node_id").alias("id"))
     start = top.select(*NODE, F.array(root).alias("label"))
     labels = relax(StageTables(links.sparkSession, "paths"), adjacency, start, NODE, extend, allow)
-    labels, _ = stage.put(labels, f"{tag}-labels")
-    reached = labels.select(*NODE, F.col("node_id").alias("anchor"))
-    hanging = inner.select(*NODE, "anchor").join(labels.select("graph_id", F.col("node_id").alias("anchor")), ["graph_id", "anchor"], "left_semi")
-    return labels, reached.unionByName(hanging), items
+    labels, _ = stage.put(labels, "labels")
+    return labels, items
+
+
+def _roots(stage: StageTables, nodes: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
+    """(graph_id, node_id, seq): the roots in order.  Of the nodes that reach a node the first one is
+    its root, where nodes that no edge points to come first, by kind, and then all others, by name."""
+    top = roots(nodes.select(*NODE), edges).withColumn("top", F.lit(True))
+    named = nodes.join(top, NODE, "left").select(
+        *NODE, F.col("top").isNull().alias("late"), F.when(F.col("top"), kind_rank("kind")).alias("rank"), "name"
+    )
+    named = number_rows(named, ["graph_id"], ["late", "rank", "name", "node_id"]).select(*NODE, "seq")
+    named, _ = stage.put(named, "named")
+    left = named.select("graph_id", F.col("node_id").alias("src"), F.col("seq").alias("from"))
+    right = named.select("graph_id", F.col("node_id").alias("dst"), F.col("seq").alias("to"))
+    ways = links.join(left, ["graph_id", "src"]).join(right, ["graph_id", "dst"])
+    firsts = min_reaching(
+        named.select("graph_id", F.col("seq").alias("node_id")),
+        ways.select("graph_id", F.col("from").alias("src"), F.col("to").alias("dst")),
+    )
+    firsts = firsts.filter("node_id = min_src").select("graph_id", F.col("node_id").alias("seq"))
+    return stage.put(named.join(firsts, ["graph_id", "seq"], "left_semi").select(*NODE, "seq"), "top")[0]
 
 
 def tree_expansion(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -160,41 +167,8 @@ def tree_expansion(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     links, _ = stage.put(links.join(names, ["graph_id", "dst"]), "links")
     ways = links.select("graph_id", "src", "dst", "dst_name")
 
-    top = roots(shown, edges).select(*NODE, kind_rank("kind").alias("rank"), "name")
-    top, _ = stage.put(number_rows(top, ["graph_id"], ["rank", "name", "node_id"]).select(*NODE, "seq"), "top")
-    labels, reached, items = _place(stage, "first", ways, top)
-    rest, seen = stage.put(shown.select(*NODE, "name").join(reached.select(*NODE), NODE, "left_anti"), "rest", n=F.count(F.lit(1)))
-    if seen["n"]:
-        # Of the nodes that reach a node the first by name is its root.
-        named = number_rows(rest, ["graph_id"], ["name", "node_id"])
-        # After all roots of the first kind.
-        many = top.groupBy("graph_id").agg(F.count(F.lit(1)).alias("many"))
-        named = named.join(many, "graph_id", "left").withColumn("seq", F.col("seq") + F.coalesce("many", _long(0))).drop("many")
-        named, _ = stage.put(named, "named")
-        more = ways.join(rest.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"], "left_semi")
-        left = named.select("graph_id", F.col("node_id").alias("src"), F.col("seq").alias("from"))
-        right = named.select("graph_id", F.col("node_id").alias("dst"), F.col("seq").alias("to"))
-        inside = more.join(left, ["graph_id", "src"]).join(right, ["graph_id", "dst"])
-        firsts = min_reaching(
-            named.select("graph_id", F.col("seq").alias("node_id")),
-            inside.select("graph_id", F.col("from").alias("src"), F.col("to").alias("dst")),
-        )
-        firsts = firsts.filter("node_id = min_src").select("graph_id", F.col("node_id").alias("seq"))
-        second = named.join(firsts, ["graph_id", "seq"], "left_semi").select(*NODE, "seq")
-        second, _ = stage.put(second, "second")
-        # Targets outside the rest are shown already; they stay rows but are no anchors.
-        known = rest.select("graph_id", F.col("node_id").alias("dst"))
-        outside = more.join(known, ["graph_id", "dst"], "left_anti")
-        marked = more.join(known, ["graph_id", "dst"], "left_semi").withColumn("shown", F.lit(False))
-        marked = marked.unionByName(outside.withColumn("shown", F.lit(True)))
-        marked, _ = stage.put(marked, "more")
-        late_labels, _, late_items = _place(stage, "later", marked.drop("shown"), second)
-        already = marked.filter("shown").select(*_link("dst")).distinct()
-        late_labels = late_labels.join(already, NODE, "left_anti")
-        items = items.join(rest.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"], "left_anti")
-        late_items = late_items.join(already.withColumnRenamed("node_id", "dst").withColumn("_shown", F.lit(True)), ["graph_id", "dst"], "left")
-        late_items = late_items.withColumn("inner", F.col("inner") & F.col("_shown").isNull()).drop("_shown")
-        labels, items, top = labels.unionByName(late_labels), items.unionByName(late_items), top.unionByName(second)
+    top = _roots(stage, shown, edges, ways)
+    labels, items = _place(stage, ways, top)
 
     root_rows = top.join(shown, NODE).select(
         "graph_id", F.array("seq").alias("place"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"),

@@ -63,6 +63,32 @@ def running_last(df: DataFrame, group: list[str], order: list[str], values: dict
     return merged.select(*df.columns, *[F.coalesce(f"_local_{n}", f"_carry_{n}").alias(n) for n in values])
 
 
+def running_marks(df: DataFrame, group: list[str], order: list[str], mark: Column) -> DataFrame:
+    """Adds `row` (the row number in its group from 1), `marks` (marked rows at or before it) and `at`
+    (the number of the last of these, 0 if there is none); groups are spread over tasks and sorted once."""
+    placed = _range_sorted(df.withColumn("_mark", mark), group, order)
+    here = Window.partitionBy(*group, "_task").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    marked = F.col("_mark").cast("long")
+    local = placed.withColumn("_row", F.row_number().over(here).cast("long")).withColumn("_marks", F.sum(marked).over(here))
+    local = local.withColumn("_last", F.max(F.when(F.col("_mark"), F.col("_row"))).over(here))
+    last = F.max(F.when(F.col("_mark"), F.col("_at"))) - F.min("_at") + 1
+    tasks = placed.groupBy(*group, "_task").agg(F.count(F.lit(1)).alias("_n"), F.sum(marked).alias("_k"), last.alias("_end"))
+    before = _tasks_before(group)
+    none = F.lit(0).cast("long")
+    tasks = tasks.withColumn("_rows_before", F.coalesce(F.sum("_n").over(before), none))
+    tasks = tasks.select(
+        *group, "_task", "_rows_before",
+        F.coalesce(F.sum("_k").over(before), none).alias("_marks_before"),
+        F.coalesce(F.max(F.col("_rows_before") + F.col("_end")).over(before), none).alias("_last_before"),
+    )
+    return _per_task(local, group, tasks).select(
+        *df.columns,
+        (F.col("_rows_before") + F.col("_row")).alias("row"),
+        (F.col("_marks_before") + F.col("_marks")).alias("marks"),
+        F.coalesce(F.col("_rows_before") + F.col("_last"), "_last_before").alias("at"),
+    )
+
+
 def repeat_rows(df: DataFrame, copies: str, name: str = "copy", chunk: int = 100_000) -> DataFrame:
     """Each row as often as its `copies` says, numbered from 1.  Copies are cut into chunks that
     are spread over tasks before they are unfolded."""
