@@ -76,9 +76,16 @@ sums AS (
 ends AS (
   SELECT doc_id, upto, min(pos) AS stop FROM sums GROUP BY 1, 2
 ),
+starts AS (
+  SELECT doc_id, upto - n AS before, max(pos) AS start FROM sums GROUP BY 1, 2
+),
+-- A run of 30 words is made of the fewest lines that hold them, from its first line or back from its last.
 spans AS (
   SELECT s.doc_id, s.pos, e.stop
   FROM sums s ASOF JOIN ends e ON s.doc_id = e.doc_id AND s.upto - s.n + 30 <= e.upto
+  UNION
+  SELECT s.doc_id, b.start, s.pos
+  FROM sums s ASOF JOIN starts b ON s.doc_id = b.doc_id AND s.upto - 30 >= b.before
 ),
 copies AS (
   SELECT doc_id, pos, stop FROM (
