@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.agenda import PairAgenda
 from graphloom.llm.common import ship, slices
 
 SPACE = "▁"
@@ -165,8 +166,8 @@ class PieceEncoder:
         return ids
 
     def _rank_pairs(self) -> None:
-        """Tables for `_merge_together`: the symbol of each character, and for each pair of symbols
-        whose union is a piece that piece and its rank (0: best score; equal scores share a rank)."""
+        """For `_merge_together`: the symbol of each character, and an agenda of all pairs of symbols whose
+        union is a piece, ranked by its score; equal scores share a rank."""
         size = self.library.vocab_size()
         # A character that is no piece is a symbol beyond the vocabulary.
         self.symbol_of = np.arange(size, size + 0x110000, dtype=np.int64)
@@ -174,7 +175,7 @@ class PieceEncoder:
             if len(piece) == 1:
                 self.symbol_of[ord(piece)] = number
         levels = {s: n for n, s in enumerate(sorted(set(self.scores.values()), reverse=True))}
-        pairs: dict[int, tuple[int, int]] = {}
+        pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for piece, number in self.ids.items():
             for at in range(1, len(piece)):
                 sides = [
@@ -182,79 +183,31 @@ class PieceEncoder:
                     for side in (piece[:at], piece[at:])
                 ]
                 if min(sides) >= 0:
-                    pairs[sides[0] << 32 | sides[1]] = (number, levels[self.scores[piece]])
-        order = sorted(pairs)
-        self.pair_keys = np.array([*order, 1 << 62], dtype=np.int64)
-        self.pair_union = np.array([*(pairs[k][0] for k in order), 0], dtype=np.int64)
-        self.pair_rank = np.array([*(pairs[k][1] for k in order), 0], dtype=np.int32)
-
-    def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Place of each pair in the tables; the last place for a pair whose union is no piece."""
-        keys = left << 32 | right
-        at = np.searchsorted(self.pair_keys, keys)
-        return np.where(self.pair_keys[at] == keys, at, len(self.pair_keys) - 1)
+                    pairs[sides[0], sides[1]] = (number, levels[self.scores[piece]])
+        self.agenda = PairAgenda(pairs)
 
     def _merge_together(self, chunks: list[str]) -> list[bytes]:
-        """Packed ids of chunks, whose agendas advance together, one merge each per step.
-
-        Chunks of n symbols are the rows of a matrix; the agenda of a row is its n - 1 pairs with
-        their ranks.  A step takes the best pair of each row, leftmost among equals, merges it and
-        ranks the two pairs beside it; all rows that go on have n - 1 symbols then and meet the
-        chunks that began with so many.  Longer chunks than `longest` go through `merge`.
-        """
-        none = np.iinfo(np.int32).max
-        ranks = self.pair_rank.copy()
-        ranks[-1] = none
+        """Packed ids of chunks, whose agendas advance together; chunks longer than `longest` go through `merge`."""
         size = self.library.vocab_size()
         out: list[bytes] = [b""] * len(chunks)
         lengths = np.array([len(c) for c in chunks], dtype=np.int64)
         for row in np.flatnonzero(lengths > self.longest).tolist():
             out[row] = np.array(self.merge(chunks[row]), dtype="<i4").tobytes()
-        rows = np.zeros(0, np.int64)
-        symbols = np.zeros((0, 0), np.int64)
-        for count in range(int(min(self.longest, lengths.max(initial=0))), 0, -1):
-            fresh = np.flatnonzero(lengths == count)
-            text = "".join([chunks[r] for r in fresh.tolist()]).encode("utf-32-le")
-            started = self.symbol_of[np.frombuffer(text, "<u4")].reshape(len(fresh), count)
-            places = self._look_up(started[:, :-1], started[:, 1:])
-            if len(rows):
-                rows = np.concatenate([rows, fresh])
-                symbols, agenda = np.concatenate([symbols, started]), np.concatenate([agenda, places])
-            else:
-                rows, symbols, agenda = fresh, started, places
-            if not len(rows):
-                continue
-            if count > 1:
-                offered = ranks[agenda]
-                best = offered.argmin(axis=1)
-                every = np.arange(len(rows))
-                ended = offered[every, best] == none
-            else:
-                ended = np.ones(len(rows), bool)
-            done = symbols[ended]
-            if len(done) and done.max() < size:
-                packed = done.astype("<i4").tobytes()
-                for n, row in enumerate(rows[ended].tolist()):
-                    out[row] = packed[4 * count * n : 4 * count * (n + 1)]
+
+        def start(rows: np.ndarray, count: int) -> np.ndarray:
+            text = "".join([chunks[r] for r in rows.tolist()]).encode("utf-32-le")
+            return self.symbol_of[np.frombuffer(text, "<u4")].reshape(len(rows), count)
+
+        def done(rows: np.ndarray, symbols: np.ndarray) -> None:
+            if symbols.max() < size:
+                packed, step = symbols.astype("<i4").tobytes(), 4 * symbols.shape[1]
+                for n, row in enumerate(rows.tolist()):
+                    out[row] = packed[step * n : step * (n + 1)]
             else:
-                for row, some in zip(rows[ended].tolist(), done.tolist()):
+                for row, some in zip(rows.tolist(), symbols.tolist()):
                     out[row] = self._with_bytes(some)
-            if count == 1:
-                break
-            going = ~ended
-            rows, symbols, agenda, best = rows[going], symbols[going], agenda[going], best[going]
-            every = np.arange(len(rows))
-            symbols[every, best] = self.pair_union[agenda[every, best]]
-            keep = np.ones(symbols.shape, bool)
-            keep[every, best + 1] = False
-            symbols = symbols[keep].reshape(len(rows), count - 1)
-            keep = np.ones(agenda.shape, bool)
-            keep[every, best] = False
-            agenda = agenda[keep].reshape(len(rows), count - 2)
-            for shift in (-1, 0):
-                near = np.flatnonzero((best + shift >= 0) & (best + shift < count - 2))
-                at = best[near] + shift
-                agenda[near, at] = self._look_up(symbols[near, at], symbols[near, at + 1])
+
+        self.agenda.run(np.where(lengths > self.longest, 0, lengths), start, done)
         return out
 
     def _with_bytes(self, symbols: list[int]) -> bytes:

@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import ROW, components, ship, slices, with_copy, with_row_name
@@ -236,8 +236,12 @@ def similar_classes(marked: DataFrame, named: DataFrame, text: str, similarity:
     """Edges (a, b) between classes that hold texts of a Jaccard similarity of `similarity` or more.
 
     marked: ROW and class_fp of every row of named.  Texts whose least shingles agree in a whole band
-    meet (at 0.8 all but 4 in 10,000 pairs do); those of different classes are compared shingle by
-    shingle.  All pairs of a band that spans classes are compared, none of one class.
+    meet (at 0.8 all but 4 in 10,000 pairs do).  A band that spans classes elects representatives by a
+    hash of band and row, so bands elect different ones, and its rows are compared with these alone,
+    shingle by shingle.  Rows that are similar to one, or share its class, have their place and leave the band;
+    the rest elect twice as many in the next stored round, until no band spans classes.  So a round is
+    linear in the rows.  Two similar rows can part in a band, one with the representative and one
+    without; they meet again in their other bands, where others are elected.
     """
     ship(named.sparkSession)
 
@@ -268,28 +272,58 @@ def similar_classes(marked: DataFrame, named: DataFrame, text: str, similarity:
     spans = flat.groupBy("band").agg(F.min("class_fp").alias("least"), F.max("class_fp").alias("most"))
     spans, _ = stage.put(spans.where("least != most").select("band"), "spans")
     flat, _ = stage.put(flat.join(spans, "band"), "flat")
-    side = lambda x: flat.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("class_fp", "row", "n")])
-    near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity
-    met = side("a").join(side("b"), "band").where((F.col("class_fp_a") < F.col("class_fp_b")) & near)
-    met, _ = stage.put(met.drop("band", "n_a", "n_b").distinct(), "met")
-    rows = met.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct().select("row.*")
-    texts = source.join(rows, ROW, "left_semi").dropDuplicates(ROW).select(F.struct(*ROW).alias("row"), "_gl_text")
-    texts, _ = stage.put(texts, "texts")
+    # Shingles once for each row that is compared.
+    wanted = flat.select("row").distinct().select("row.*")
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_gl_text"):
+            sets = [shingles(t).view(np.int64) for t in batch.column(2).to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=[*ROW, "set"])
+
+    texts = source.join(wanted, ROW, "left_semi").dropDuplicates(ROW)
+    sets = texts.mapInArrow(shingle, "_gl_d long, _gl_h long, set array<long>").select(F.struct(*ROW).alias("row"), "set")
+    sets, _ = stage.put(sets, "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            both = [batch.column("set"), batch.column("rep_set")]
+            values = [c.values.to_numpy() for c in both]
+            ends = [c.offsets.to_numpy() for c in both]
             good = []
-            for i, (a, b) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())):
-                one, two = shingles(a), shingles(b)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                if both >= similarity * (len(one) + len(two) - both):
+            for i in range(batch.num_rows):
+                one, two = (v[e[i] : e[i + 1]] for v, e in zip(values, ends))
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                if common >= similarity * (len(one) + len(two) - common):
                     good.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+            yield batch.select(["row", "rep"]).take(pa.array(good, pa.int64()))
 
-    for x in ("a", "b"):
-        met = met.join(texts.select(F.col("row").alias(f"row_{x}"), F.col("_gl_text").alias(f"text_{x}")), f"row_{x}")
-    met = met.select(F.col("class_fp_a").alias("a"), F.col("class_fp_b").alias("b"), "text_a", "text_b")
-    return met.mapInArrow(compare, "a long, b long").distinct()
+    found, round_no = None, 0
+    while True:
+        turn = Window.partitionBy("band").orderBy(F.xxhash64("band", "row", F.lit(round_no)), "row", "class_fp")
+        chosen = flat.withColumn("place", F.row_number().over(turn)).where(F.col("place") <= 1 << round_no)
+        chosen = chosen.select("band", F.col("row").alias("rep"), F.col("class_fp").alias("rep_class"), F.col("n").alias("rep_n"))
+        chosen, _ = stage.put(chosen, f"chosen-{round_no}")
+        met = flat.join(chosen, "band")
+        near = F.least("n", "rep_n") >= F.greatest("n", "rep_n") * similarity
+        pairs = met.where((F.col("class_fp") != F.col("rep_class")) & near).select("row", "rep").distinct()
+        pairs = pairs.join(sets, "row").join(sets.select(F.col("row").alias("rep"), F.col("set").alias("rep_set")), "rep")
+        kind = "struct<_gl_d: long, _gl_h: long>"
+        good, _ = stage.put(pairs.mapInArrow(compare, f"row {kind}, rep {kind}"), f"good-{round_no}")
+        placed = met.join(good.withColumn("good", F.lit(True)), ["row", "rep"], "left")
+        placed = placed.where(F.col("good") | (F.col("class_fp") == F.col("rep_class")))
+        placed, _ = stage.put(placed.select("band", "row", "class_fp", "rep_class"), f"placed-{round_no}")
+        linked = placed.where("class_fp != rep_class").select(F.col("class_fp").alias("a"), F.col("rep_class").alias("b"))
+        found = linked if found is None else found.unionByName(linked)
+        rest = flat.join(placed.select("band", "row", "class_fp").distinct(), ["band", "row", "class_fp"], "left_anti")
+        rest, _ = stage.put(rest, f"rest-{round_no}")
+        spans = rest.groupBy("band").agg(F.min("class_fp").alias("least"), F.max("class_fp").alias("most"))
+        spans = spans.where("least != most").select("band")
+        flat, seen = stage.put(rest.join(spans, "band"), f"flat-{round_no}", n=F.count(F.lit(1)))
+        round_no += 1
+        if not seen["n"]:
+            return found.distinct()
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:

@@ -36,6 +36,21 @@ def test_words_give_the_ids_of_whole_texts(ids_of, odd_rows):
             assert [np.frombuffer(p, "<u4").tolist() for p in packed] == [ids_of(t) for t in texts]
 
 
+def test_letters_are_merged_as_the_library_does(ids_of):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinshrdluéüßñÿcmz") for _ in range(rng.randrange(1, 30))) for _ in range(4000)]
+    encoder = WordEncoder()
+    assert [np.frombuffer(p, "<u4").tolist() for p in encoder._merge_words([w.encode() for w in words])] == [ids_of(w) for w in words]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["The Quick  brown\nfox, isn't it?", "", "é 中文  x"]
+    found = WordEncoder(path).encode([*(t.encode() for t in texts), None])
+    plain = Tokenizer.from_file(path)
+    assert [np.frombuffer(p, "<u4").tolist() for p in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts] + [[]]
+
+
 def test_fill_is_nearest():
     rng = random.Random(1)
     for _ in range(60):

@@ -41,7 +41,7 @@ def test_one_agenda_and_many_agree(library):
 
 def test_a_wrong_merge_is_noticed():
     encoder = pieces.PieceEncoder()
-    encoder.pair_rank = encoder.pair_rank[::-1].copy()
+    encoder.agenda.rank[:-1] = encoder.agenda.rank[:-1][::-1].copy()
     with pytest.raises(ValueError, match="differ"):
         encoder.encode(["hello there, general statement"])
 

@@ -87,7 +87,7 @@ def test_without_a_choice_of_labels(made, no_docs):
 def test_pipeline_stages(spark, tmp_path):
     """Each stage on its own input, against plain Python."""
     from test_line_dedup import plain
-    from test_simhash import classes_of, plain_fingerprint
+    from test_simhash import near_copy_classes
 
     pipeline = importlib.import_module("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == [
@@ -109,7 +109,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert np.mean([(i in kept) == (labels[i] == 1) for i in known]) >= 0.9
     expected = {r.doc_id: p for r, p in zip(scored, plain([r.text for r in scored], 30))}
     assert {r.doc_id: r.text for r in lined} == {i: t for i, (t, n, gone) in expected.items() if gone < n}
-    roots = classes_of([plain_fingerprint(r.text) for r in lined])
+    roots = near_copy_classes([r.text for r in lined])
     assert [r.doc_id for r in single] == [r.doc_id for i, r in enumerate(lined) if roots[i] == i]
     assert {r.doc_id for r in mixed} <= {r.doc_id for r in single}
     packed = docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()

@@ -29,6 +29,21 @@ def classes_of(values, radius=4):
     return root
 
 
+def near_copy_classes(texts):
+    """As classes_of, over fingerprints within 4 bits or a similarity of 0.8 of five-word shingles."""
+    words = [t.lower().split() if t else [] for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    prints = [plain_fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = bool(sets[i]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            if alike or (prints[i] ^ prints[j]).bit_count() <= 4:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
 def test_fingerprint(odd_rows):
     for row in odd_rows:
         text = row[1]
@@ -154,3 +169,28 @@ def test_keep_first_by_similarity(spark, odd_docs, no_docs):
     assert kept == [i for i in range(len(texts)) if root[i] == i]
     assert set(simhash.keep_first(odd_docs, similarity=0.8).columns) == set(odd_docs.columns)
     assert simhash.keep_first(no_docs, similarity=0.8).collect() == []
+
+
+def test_a_large_group_in_many_classes_is_compared_with_representatives(spark, monkeypatch):
+    """Copies of one text with changes that part their fingerprints: no pair rows, all in one class."""
+    rng = random.Random(12)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(60)]
+    texts = []
+    for _ in range(400):
+        words = list(base)
+        words[rng.randrange(5, 55)] = f"c{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sizes = {}
+    put = simhash.StageTables.put
+
+    def counted(self, df, name, **metrics):
+        out = put(self, df, name, **metrics)
+        sizes[name] = out[0].count()
+        return out
+
+    monkeypatch.setattr(simhash.StageTables, "put", counted)
+    kept = [r.doc_id for r in simhash.keep_first(docs, similarity=0.8).collect()]
+    roots = near_copy_classes(texts)
+    assert kept == [i for i in range(400) if roots[i] == i]
+    assert max(n for name, n in sizes.items() if name.startswith(("good", "placed"))) <= 20 * 400 * 2
