@@ -239,8 +239,9 @@ def similar_classes(marked: DataFrame, named: DataFrame, text: str, similarity:
     meet (at 0.8 all but 4 in 10,000 pairs do).  A band that spans classes elects representatives by a
     hash of band and row, so bands elect different ones, and its rows are compared with these alone,
     shingle by shingle.  Rows that are similar to one, or share its class, have their place and leave the band;
-    the rest elect twice as many in the next stored round, until no band spans classes.  So a round is
-    linear in the rows.  Two similar rows can part in a band, one with the representative and one
+    the rest elect twice as many in the next stored round, until no band spans classes.  A group of
+    similar rows leaves in the first rounds; rows of a band that resemble none of the others meet all of them in
+    the end, nothing is capped.  Two similar rows can part in a band, one with the representative and one
     without; they meet again in their other bands, where others are elected.
     """
     ship(named.sparkSession)
