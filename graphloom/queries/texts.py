@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import types as T
-from ..functions.names import classify_node, escape_label, quote_entity
+from ..functions.names import classify_node, context_name, escape_label, quote_entity, warning_line
 from ..sources.files import files_mentioning, first_path
 from ..sources.manifests import nearest_ancestor, nearest_declaration
 from . import load, query
@@ -265,3 +265,28 @@ def term_first_document(spark, sf):
         F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), 0))).alias("name"),
     )
     return first_path(documents)
+
+
+# ---- warnings and model names -------------------------------------------------------------
+
+
+@query(
+    "warning_texts",
+    r"""SELECT conv_id, turn, '%% WARNING: ' || regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[\x0A-\x0D\x{85}\x{2028}\x{2029}]', ' ', 'g') AS line FROM conversations""",
+)
+def warning_texts(spark, sf):
+    """Every turn as a warning of one line, whatever line ends it has."""
+    return load(spark, sf, "conversations").select("conv_id", "turn", warning_line("text").alias("line"))
+
+
+@query(
+    "context_names",
+    r"""SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'Clerk' || o_custkey ELSE replace('Clerk' || o_custkey || 'ModelSnapshot', 'ModelSnapshot', '') END AS context
+FROM orders""",
+)
+def context_names(spark, sf):
+    """Urgent orders name their context themselves; the others carry it in the name of a snapshot."""
+    context = F.concat(F.lit("Clerk"), F.col("o_custkey").cast("string"))
+    declared = F.when(F.col("o_orderpriority").startswith("1"), context)
+    snapshot = F.concat(context, F.lit("ModelSnapshot"))
+    return load(spark, sf, "orders").select("o_orderkey", context_name(declared, snapshot).alias("context"))
