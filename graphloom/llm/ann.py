@@ -6,7 +6,8 @@ into blocks of neighbouring keys; a query is compared with the blocks around its
 curve, and the best of all curves are merged.
 
 Inner products are reduced to nearness by one more coordinate sqrt(M^2 - |x|^2) (M: the largest
-norm; queries have 0 there), so that a curve brings large inner products together.
+norm; queries have 0 there), so that a curve brings large inner products together.  Vectors of
+different lengths have no inner product: every length has curves of its own.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,15 @@ def vectors_of(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def by_length(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(length, rows) for each length of the lists of a column in each batch; the column has no nulls."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)
+        lengths = np.unique(sizes)
+        for size in lengths.tolist():
+            yield size, batch if len(lengths) == 1 else batch.take(pa.array(np.flatnonzero(sizes == size)))
+
+
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     """Places on the Hilbert curve of integer points (rows), by the transposed-index method of
     Skilling (2004), for dimensions * bits up to 62."""
@@ -131,8 +142,9 @@ def search(
     Returns query_id, rank (from 1), vec_id, score (inner product in double precision); nearest
     first, ties to the smaller id; a row is never its own neighbour.  window: share of each curve
     that a query is compared with (blocks around its own place, rounded up to whole blocks).
-    Unusable vectors (see `usable`), null ids and vectors of another length than the most common
-    take no part; rows that repeat an id are one candidate, with its best score.
+    Vectors meet those of their own length only, so a query whose length is rare has fewer rows.
+    Unusable vectors (see `usable`) and null ids take no part; rows that repeat an id are one
+    candidate, with its best score.  The driver holds one norm for each length.
     """
     spark = df.sparkSession
     ship(spark)
@@ -144,20 +156,16 @@ def search(
     fields = "query_id long, rank int, vec_id long, score double"
     if not seen["rows"]:
         return spark.createDataFrame([], fields)
-    size = rows.groupBy("n").count().orderBy(F.desc("count"), "n").first()["n"]
-    rows = rows.where(F.col("n") == size)
-    limits = rows.agg(F.count(F.lit(1)).alias("rows"), F.max("norm").alias("most")).first()
-    most, count = math.sqrt(limits["most"]), limits["rows"]
+    sizes = rows.groupBy("n").agg(F.max("norm").alias("most")).orderBy("n").collect()
+    most = {r["n"]: (i * curves, math.sqrt(r["most"])) for i, r in enumerate(sizes)}  # first curve, largest norm
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = vectors_of(batch.column("v"))
+        for size, batch in by_length(batches, "v"):
+            vectors, (first, largest) = vectors_of(batch.column("v")), most[size]
             for curve in range(curves):
-                made = curve_keys(vectors, most, curve, seed)
+                made = curve_keys(vectors, largest, curve, seed)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(made), curve, np.int32)), pa.array(made), *batch.columns],
+                    [pa.array(np.full(len(made), first + curve, np.int32)), pa.array(made), *batch.columns],
                     names=["curve", "place", *batch.schema.names],
                 )
 
@@ -165,13 +173,15 @@ def search(
     placed = rows.select("id", "v", "q").mapInArrow(keys, f"curve int, place long, id long, v {kind}, q boolean")
     ordered = in_order(placed, ["curve", "place", "id"], stage, "curves")
     # Blocks of at most BLOCK_ROWS rows; 24 on each curve if they then hold some times `top` rows.
-    blocks = max(min(24, count // (4 * top)), math.ceil(count / BLOCK_ROWS))
-    reach = max(1, math.ceil((window * blocks - 1) / 2))
+    count, blocks = F.col("count"), F.col("blocks")
+    most_blocks = F.greatest(F.least(F.lit(24), F.floor(count / (4 * top))), F.ceil(count / BLOCK_ROWS)).cast("long")
     block = (F.col("r") * blocks / count).cast("long")
-    cut = ranked(ordered, ["curve"], "r").withColumn("block", block).drop("r", "place")
+    cut = ranked(ordered, ["curve"], "r", total="count").withColumn("blocks", most_blocks)
+    cut = cut.withColumn("block", block).drop("r", "place", "count")
     cut, _ = stage.put(cut, "blocks")
-    first = F.greatest(F.lit(0).cast("long"), F.least(F.col("block") - reach, F.lit(blocks - 1 - 2 * reach)))
-    last = F.least(F.lit(blocks - 1), first + 2 * reach)
+    reach = F.greatest(F.lit(1), F.ceil((F.lit(window) * blocks - 1) / 2)).cast("long")
+    first = F.greatest(F.lit(0).cast("long"), F.least(F.col("block") - reach, blocks - 1 - 2 * reach))
+    last = F.least(blocks - 1, first + 2 * reach)
     sent = cut.where("q").select("curve", F.explode(F.sequence(first, last)).alias("block"), "id", "v", F.lit(True).alias("asks"))
     both = sent.unionByName(cut.select("curve", "block", "id", "v", F.lit(False).alias("asks")))
 
@@ -183,20 +193,21 @@ def search(
             if not batch.num_rows:
                 continue
             curve, block, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("curve", "block", "asks"))
-            ids, vectors = batch.column("id").to_numpy(), vectors_of(batch.column("v"))
+            ids = batch.column("id").to_numpy()
             edges = np.flatnonzero((np.diff(curve) != 0) | (np.diff(block) != 0) | (np.diff(asks.astype(int)) != 0)) + 1
             for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(ids)]):
                 if at != (curve[start], block[start]):
                     at, held, known = (curve[start], block[start]), [], None
+                vectors = vectors_of(batch.column("v").slice(start, stop - start))
                 if not asks[start]:
-                    held.append((ids[start:stop].copy(), vectors[start:stop].copy()))
+                    held.append((ids[start:stop].copy(), vectors.copy()))
                     continue
                 if not held:
                     continue
                 if known is None:
                     known = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
                 own, out = ids[start:stop], []
-                for row, found, scores in best_of(vectors[start:stop], known[0], known[1], own, top):
+                for row, found, scores in best_of(vectors, known[0], known[1], own, top):
                     out.append((np.full(len(found), own[row]), found, scores))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"]

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.storage import StageTables
 
@@ -127,12 +128,19 @@ def prefix_sums(placed: DataFrame, groups: list[str], weight: str, name: str) ->
 ROW = ["_gl_d", "_gl_h"]
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return _holds_map(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, T.MapType)
+
+
 def with_row_name(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds `_gl_d` (the key, 0 for null) and `_gl_h` (hash of all columns).
 
-    Both are never null, so a join on them and a window over them share one shuffle of the rows.
+    Maps have no hash and are taken as JSON.  Both are never null, so a join on them and a window over them share one shuffle of the rows.
     """
-    return df.withColumn("_gl_h", F.xxhash64(*df.columns)).withColumn("_gl_d", F.coalesce(key, F.lit(0)).cast("long"))
+    hashed = [F.to_json(F.struct(f.name), {"ignoreNullFields": "false"}) if _holds_map(f.dataType) else F.col(f.name) for f in df.schema]
+    return df.withColumn("_gl_h", F.xxhash64(*hashed)).withColumn("_gl_d", F.coalesce(key, F.lit(0)).cast("long"))
 
 
 def with_copy(named: DataFrame) -> DataFrame:

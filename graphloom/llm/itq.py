@@ -10,6 +10,9 @@ cosine of their original vectors.
 Width and number of tables follow from the number of vectors: the width grows with its logarithm,
 which keeps chance meetings in proportion to the vectors, and the number is what a pair at the
 least similarity needs to be found with the wanted probability.
+
+Vectors of different lengths have no cosine: every length has codes and tables of its own, and the
+number of a table, which is part of the join key, says of which length it is.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.ann import usable, vectors_of
+from graphloom.llm.ann import by_length, usable, vectors_of
 from graphloom.llm.common import components, in_order, ship
 from graphloom.storage import StageTables
 
@@ -80,57 +83,67 @@ def learn(sample: np.ndarray, rows: int, similarity: float, seed: int = 42) -> C
 def near_pairs(classes: DataFrame, stage: StageTables, similarity: float, seed: int) -> DataFrame:
     """(a, b, score), a < b: pairs of rows of classes (node, v, n rows) with cosine >= similarity.
 
-    v: usable vectors of one length.
+    v: usable vectors; those of different lengths make no pair.  The driver learns one set of codes for
+    each length from at most SAMPLE_ROWS vectors, one length after the other.
     """
     spark = classes.sparkSession
     ship(spark)
-    rows = classes.count()
-    picked = classes.select("v").orderBy(F.xxhash64("node"), "node").limit(SAMPLE_ROWS).collect()  # bounded
-    if not picked:
+    classes = classes.withColumn("size", F.size("v"))
+    # One row per length of vectors; a single vector of its length has no partner.
+    sizes = classes.groupBy("size").count().where("count > 1").orderBy("size").collect()
+    codes: dict[int, Codes] = {}
+    for row in sizes:
+        alike = classes.where(F.col("size") == row["size"]).select("v")
+        picked = alike.orderBy(F.xxhash64("node"), "node").limit(SAMPLE_ROWS).collect()  # bounded
+        codes[row["size"]] = learn(np.array([r["v"] for r in picked], np.float64), row["count"], similarity, seed)
+    if not codes:
         return spark.createDataFrame([], "a long, b long, score double")
-    codes = learn(np.array([r["v"] for r in picked], np.float64), rows, similarity, seed)
-    words = -(-codes.width * codes.tables // 64)
-    shared = spark.sparkContext.broadcast(codes)  # some matrices of dimensions x dimensions
+    words = max(-(-c.width * c.tables // 64) for c in codes.values())
+    firsts = dict(zip(codes, np.cumsum([0, *[c.tables for c in codes.values()]]).tolist()))
+    shared = spark.sparkContext.broadcast((codes, firsts))  # some matrices of dimensions x dimensions
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
-        for batch in batches:
-            if not batch.num_rows:
+        known, first = shared.value
+        for size, batch in by_length(batches, "v"):
+            if size not in known:
                 continue
+            c, count = known[size], batch.num_rows
             signs = c.bits(vectors_of(batch.column("v")))
             weight = 1 << np.arange(c.width, dtype=np.int64)
-            parts = signs.reshape(len(signs), c.tables, c.width) @ weight
-            padded = np.zeros((len(signs), words * 64), np.uint8)
+            parts = signs.reshape(count, c.tables, c.width) @ weight
+            padded = np.zeros((count, words * 64), np.uint8)
             padded[:, : signs.shape[1]] = signs
-            code = np.packbits(padded, axis=1).view(np.int64).reshape(len(signs), words)
+            code = np.packbits(padded, axis=1).view(np.int64).reshape(count, words)
             as_lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.int64()))
+            same = [pa.array(np.full(count, x, np.int32)) for x in (first[size], c.width, c.most)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), as_lists(code), as_lists(parts)], names=["node", "code", "parts"]
+                [batch.column("node"), *same, as_lists(code), as_lists(parts)],
+                names=["node", "first", "width", "most", "code", "parts"],
             )
 
-    coded = classes.select("node", "v").mapInArrow(encode, "node long, code array<long>, parts array<long>")
-    coded, _ = stage.put(coded, "codes")
-    flat = coded.select("node", "code", F.posexplode("parts").alias("t", "part"))
-    key = F.shiftleft(F.col("t").cast("long"), 40)
+    fields = "node long, first int, width int, most int, code array<long>, parts array<long>"
+    coded, _ = stage.put(classes.select("node", "v").mapInArrow(encode, fields), "codes")
+    flat = coded.select("node", "first", "width", "most", "code", F.posexplode("parts").alias("t", "part"))
+    key = F.shiftleft((F.col("first") + F.col("t")).cast("long"), 40)
     stored = flat.select((key + F.col("part")).alias("key"), F.col("node").alias("a"), F.col("code").alias("code_a"))
-    variants = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(codes.width)])
-    asked = flat.select("node", "code", key.alias("base"), "part", F.explode(variants).alias("flip")).select(
+    flips = [F.lit(1 << i).cast("long") for i in range(max(c.width for c in codes.values()))]
+    variants = F.slice(F.array(F.lit(0).cast("long"), *flips), F.lit(1), F.col("width") + 1)
+    asked = flat.select("node", "most", "code", key.alias("base"), "part", F.explode(variants).alias("flip")).select(
         (F.col("base") + F.col("part").bitwiseXOR(F.col("flip"))).alias("key"),
         F.col("node").alias("b"),
         F.col("code").alias("code_b"),
+        "most",
     )
     apart = sum(
         (F.bit_count(F.col("code_a")[i].bitwiseXOR(F.col("code_b")[i])) for i in range(words)), F.lit(0)
     )
-    met = asked.join(stored, "key").where((F.col("a") < F.col("b")) & (apart <= codes.most)).select("a", "b").distinct()
+    met = asked.join(stored, "key").where((F.col("a") < F.col("b")) & (apart <= F.col("most"))).select("a", "b").distinct()
     met, _ = stage.put(met, "met")
     left = classes.select(F.col("node").alias("a"), F.col("v").alias("va"))
     right = classes.select(F.col("node").alias("b"), F.col("v").alias("vb"))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for _, batch in by_length(batches, "va"):
             a, b = vectors_of(batch.column("va")), vectors_of(batch.column("vb"))
             score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
             near = np.flatnonzero(score >= similarity)
@@ -151,16 +164,14 @@ def classes_of_vectors(
     n_links: other rows whose cosine in double precision is at least `similarity`, as far as found;
     component_id: smallest key reachable over such links, itself included; kept: key equals
     component_id.  Equal vectors are compared once, as a class with its number of rows, so a vector
-    that a third of the rows repeat makes no pairs.  Vectors that are not usable (see ann.usable), of
-    another length than the most common, or without a key link with nothing: 0 links, their own
-    key, kept.  Rows that repeat a key are rows of their own.
+    that a third of the rows repeat makes no pairs.  Vectors link with those of their own length only.
+    Vectors that are not usable (see ann.usable) or without a key link with nothing: 0 links, their
+    own key, kept.  Rows that repeat a key are rows of their own.
     """
     spark = df.sparkSession
     stage = StageTables(spark, "vectors")
     rows = df.select(F.col(key).alias("id"), F.col(vector).alias("v"))
     rows = rows.withColumn("good", F.col("id").isNotNull() & usable("v"))
-    sizes = rows.where("good").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.withColumn("good", F.col("good") & (F.size("v") == F.lit(sizes["n"] if sizes else 0)))
     alike = rows.where("good").withColumn("h", F.xxhash64("v"))
     grouped = alike.groupBy("h", "v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     placed = in_order(grouped, ["first", "h"], stage, "classes")

@@ -16,17 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.common import ship, slices
 from graphloom.storage import StageTables
 
-# Bounds of the training sample (rows; lines and bytes of a training document).
+# Bounds of the training sample: documents, and lines of all of them together.
 SAMPLE_ROWS = 6000
-SAMPLE_LINES = 400
-SAMPLE_BYTES = 1 << 18
+SAMPLE_LINES = 400_000
 
 _KINDS = ("upper", "lower", "digit", "space", "stop", "pause", "shout", "bar", "mark", "high")
 
@@ -237,28 +236,48 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, lines: int = SAMPLE_LINES) -> Chain:
     """Trains on a bounded sample of labelled documents: the `rows` first by a hash of their id.
 
-    Documents beyond SAMPLE_BYTES or SAMPLE_LINES are left to scoring.  The texts of the sample stay
-    on the executors; the driver gathers byte-pair counts (at most 131,072 rows) and line features
-    (at most rows * SAMPLE_LINES, as packed arrays).
-    Labels that are null, and documents with several labels, are left out.
+    Only labels of documents that are there count, and documents are taken whole, however long: those
+    of a label are taken in the order of the hash until they hold half of `lines`.  The texts of the
+    sample stay on the executors; the driver gathers byte-pair counts (at most 131,072 rows) and the
+    features of at most `lines` lines and one document more per label, as packed arrays.  Labels that
+    are null, and documents with several labels, are left out; of several texts of one doc_id the one
+    of the smallest hash is taken.  Raises if the documents have both labels and the sample has one.
+    Where they have one label, or none, the model is constant.
     """
     spark = docs.sparkSession
     ship(spark)
     stage = StageTables(spark, "quality")
     single = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id")
     single = single.agg(F.min("quality").alias("label"), F.max("quality").alias("_gl_max")).where("label = _gl_max")
-    chosen = single.where(in_training(F.col("doc_id"))).select("doc_id", F.col("label").cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    chosen, _ = stage.put(chosen, "chosen")
-    short = (F.octet_length("text") <= SAMPLE_BYTES) & (F.length("text") - F.length(F.translate("text", "\n", "")) < SAMPLE_LINES)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(short)
+    single = single.where(in_training(F.col("doc_id"))).select("doc_id", F.col("label").cast("int").alias("label"))
+    present = docs.select("doc_id").join(single, "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"))
+    present, _ = stage.put(present, "labelled")
+    chosen, _ = stage.put(present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "chosen")
     # The chosen labels are at most `rows`, so they go to every task.
-    sample = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    texts, _ = stage.put(texts.select("doc_id", "label", F.col("one.text").alias("text")), "texts")
+    held = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
+    before = Window.partitionBy("label").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    # At most `rows` narrow rows.
+    taken = texts.select("doc_id", "label", F.xxhash64("doc_id").alias("h"), held.alias("lines"))
+    taken = taken.withColumn("before", F.coalesce(F.sum("lines").over(before), F.lit(0))).where(F.col("before") < lines / 2)
+    sample = texts.join(F.broadcast(taken.select("doc_id")), "doc_id")
     sample = sample.select("doc_id", "label", F.col("text").cast("binary").alias("text"))
-    sample, _ = stage.put(sample, "sample")
+    # Byte pairs are learned on one half of the sample and the chain on the other, so that the
+    # chain sees pair odds as they are on unseen text.
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
+    sample, _ = stage.put(sample.withColumn("half", half), "sample")
+    sizes = {(r["half"], r["label"]): r["count"] for r in sample.groupBy("half", "label").count().collect()}
+    kinds = {label for _, label in sizes}
+    missing = {r["label"] for r in present.select("label").distinct().collect()} - kinds
+    if missing:
+        raise ValueError(f"no document of label {min(missing)} among the {rows} chosen: choose more rows")
+    if len(kinds) < 2:
+        return Chain(constant=float(kinds.pop()) if kinds else 1.0)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, 65536), np.int64)
@@ -273,17 +292,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Chain:
             names=["label", "code", "n"],
         )
 
-    # Byte pairs are learned on one half of the sample and the chain on the other, so that the
-    # chain sees pair odds as they are on unseen text.
-    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
-    counted = sample.where(half).mapInArrow(count_pairs, "label int, code int, n long")
-    table = np.zeros((2, 65536))
-    for row in counted.groupBy("label", "code").agg(F.sum("n").alias("n")).collect():
-        table[row["label"], row["code"]] = row["n"]
-    sizes = {r["label"]: r["count"] for r in sample.where(half).groupBy("label").count().collect()}
     pairs = None
-    if len(sizes) == 2:
-        rate = (table + 0.5) / (np.array([[sizes[0]], [sizes[1]]]) + 1.0)
+    if len(sizes) == 4:  # both halves have both labels
+        table = np.zeros((2, 65536))
+        counted = sample.where("half").mapInArrow(count_pairs, "label int, code int, n long")
+        for row in counted.groupBy("label", "code").agg(F.sum("n").alias("n")).collect():
+            table[row["label"], row["code"]] = row["n"]
+        rate = (table + 0.5) / (np.array([[sizes[True, 0]], [sizes[True, 1]]]) + 1.0)
         pairs = np.clip(np.log(rate[1] / rate[0]), -2, 2).astype(np.float32)
         pairs[table.sum(axis=0) < 5] = 0
 
@@ -297,11 +312,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Chain:
                 names=["doc_id", "label", "lines", "features"],
             )
 
-    other = sample.where(~half) if pairs is not None else sample
+    other = sample.where("NOT half") if pairs is not None else sample
     found = other.mapInArrow(features, "doc_id long, label int, lines int, features binary").orderBy("doc_id").collect()
-    kinds = {r["label"] for r in found}
-    if len(kinds) < 2:
-        return Chain(constant=float(kinds.pop()) if kinds else 1.0)
     width = len(found[0]["features"]) // 4 // found[0]["lines"]
     matrix = np.frombuffer(b"".join(r["features"] for r in found), np.float32).reshape(-1, width).astype(np.float64)
     counts = np.array([r["lines"] for r in found])
