@@ -18,7 +18,7 @@ from ..operators.model import owned as MO
 from ..operators.model import overrides as MV
 from ..operators.model import profile as MP
 from ..operators.model import relationships as MR
-from ..operators.model.nested import catalog_entities, flatten_nested, split_nested
+from ..operators.model.nested import catalog_entities, flatten_nested, list_models, split_nested
 from ..operators.numbering import first_wins, number_rows
 from ..plans import lines as L
 from ..plans.entity_model import Configuration, entity_model
@@ -402,6 +402,12 @@ def entity_model_entities(spark, sf):
     return _whole_model(spark, sf)[0].select("model_id", "name", "table_name", "is_join")
 
 
+@query("listed_models", f"WITH {NAVS}, {ENTS} SELECT DISTINCT model_id FROM ents")
+def listed_models(spark, sf):
+    """The models that can be chosen."""
+    return list_models(trade_entities(navigations(spark, sf)))
+
+
 _CATALOG = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 

@@ -36,6 +36,12 @@ CHECKED = [
     "nearest_declaration",
     "docs_containing_terms",
     "reclassify_edges",
+    "text_solution_members",
+    "rejected_text_solutions",
+    "without_migrations",
+    "large_solutions",
+    "written_lines",
+    "listed_models",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the supplied tables")
