@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...schemas import ONE_TO_MANY, ONE_TO_ONE
 
+_SKETCH_BITS = 12
+_WORD_BITS = 62
+
 
 def profile_columns(df: DataFrame, table: str) -> DataFrame:
     """Rows, nulls, distinct values and longest text per column; columns of arrays, maps and structs
@@ -63,6 +69,70 @@ def candidate_keys(df: DataFrame, table: str, candidates: list[list[str]]) -> Da
     return names.join(found, "i", "left").select(F.lit(table).alias("table"), "columns", unique.alias("is_key"))
 
 
+def minimal_keys(df: DataFrame, table: str, most: int = 3) -> DataFrame:
+    """(table, columns): all smallest sets of up to `most` columns that are never null and unique.
+
+    Sets grow by a column per level, and a set that holds a key is not looked at.  A level is one scan
+    for mergeable sketches of all its sets, which rules out those with far fewer distinct values than
+    rows (by 6 standard errors of a sketch), and one exact pass over the others.  Columns of arrays, maps
+    and structs take no part; of an empty table every column is a key.  Only sets of column names reach
+    the driver.
+    """
+    flat = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    whole = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(flat)]).first()
+    filled = [c for i, c in enumerate(flat) if whole[f"n{i}"] == whole["rows"]]
+    keys: list[tuple[str, ...]] = []
+    for size in range(1, most + 1):
+        sets = [s for s in combinations(filled, size) if not any(set(k) <= set(s) for k in keys)]
+        if not sets:
+            break
+        sketches = [
+            F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[F.col(f"`{c}`") for c in s]), F.lit(_SKETCH_BITS))).alias(f"e{i}")
+            for i, s in enumerate(sets)
+        ]
+        guess = df.agg(*sketches).first()
+        least = whole["rows"] * (1 - 6 * 1.04 / 2 ** (_SKETCH_BITS / 2))
+        near = [list(s) for i, s in enumerate(sets) if (guess[f"e{i}"] or 0) >= least]
+        if near:
+            found = {r["columns"] for r in candidate_keys(df, table, near).where("is_key").collect()}
+            keys += [tuple(s) for s in near if ",".join(s) in found]
+    return df.sparkSession.createDataFrame([(table, ",".join(k)) for k in keys], "table string, columns string")
+
+
+def inclusion_dependencies(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, column, ref_table, ref_column): every value of a column is also a value of the other.
+
+    All integer and text columns of all tables are compared in one shuffle: a value gathers the columns
+    that hold it as bits, and a column keeps the bits that all its values have.  Both are combined
+    map-side, so a hot value is one row per task.  Nulls are no values; a column without values is
+    left out; integers meet integers of any width, texts meet texts.
+    """
+    columns = [
+        (name, field)
+        for name, df in tables.items()
+        for field in df.schema.fields
+        if isinstance(field.dataType, (T.IntegralType, T.StringType))
+    ]
+    words = range(-(-len(columns) // _WORD_BITS))
+    bits = lambda i: [F.lit(1 << i % _WORD_BITS if i // _WORD_BITS == w else 0).cast("long").alias(f"w{w}") for w in words]
+    parts = []
+    for name, df in tables.items():
+        mine = [F.struct(_value_key(f).alias("v"), *bits(i)) for i, (t, f) in enumerate(columns) if t == name]
+        if mine:
+            parts.append(df.select(F.inline(F.array(*mine))).where("v IS NOT NULL"))
+    if not parts:
+        raise ValueError("no table has an integer or text column")
+    held = reduce(DataFrame.unionByName, parts).groupBy("v").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in words])
+    has = lambda i: F.col(f"w{i // _WORD_BITS}").bitwiseAND(F.lit(1 << i % _WORD_BITS)) != 0
+    holders = F.array_compact(F.array(*[F.when(has(i), F.lit(i)) for i in range(len(columns))]))
+    shared = held.select(F.explode(holders).alias("i"), *[f"w{w}" for w in words])
+    shared = shared.groupBy("i").agg(*[F.bit_and(f"w{w}").alias(f"w{w}") for w in words])
+    pairs = shared.select("i", F.explode(holders).alias("j")).where("i != j")
+    named = df.sparkSession.createDataFrame([(i, t, f.name) for i, (t, f) in enumerate(columns)], "i int, table string, column string")
+    other = named.toDF("j", "ref_table", "ref_column")
+    return pairs.join(named, "i").join(other, "j").select("table", "column", "ref_table", "ref_column")
+
+
 def _values(df: DataFrame, columns: list[str]) -> DataFrame:
     """(i, v, n): how often column number i has a value, from one scan."""
     fields = {f.name: f for f in df.schema.fields}

@@ -9,6 +9,8 @@ Models that Spark derives from the tables:
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -863,6 +865,65 @@ def candidate_keys(spark, sf):
     return whole
 
 
+# Columns of the tables but for those that hold arrays; integers and texts first.
+_COLUMNS = {
+    "region": (["r_regionkey", "r_name"], []),
+    "nation": (["n_nationkey", "n_name", "n_regionkey"], []),
+    "customer": (["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], ["c_acctbal"]),
+    "supplier": (["s_suppkey", "s_name", "s_nationkey"], ["s_acctbal"]),
+    "part": (["p_partkey", "p_name", "p_brand", "p_type", "p_size"], ["p_retailprice"]),
+    "orders": (["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], ["o_totalprice", "o_orderdate"]),
+    "lineitem": (
+        ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"],
+        ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"],
+    ),
+    "events": (["event_id", "user_id", "event_type", "props"], ["ts", "value"]),
+    "documents": (["doc_id", "text", "lang", "source", "n_chars"], []),
+    "embeddings": (["vec_id", "label"], []),
+    "pages": (["page_id", "url", "html"], []),
+    "benchmark": (["item_id", "text"], []),
+    "labels": (["doc_id", "quality", "toxic"], []),
+    "conversations": (["conv_id", "turn", "role", "text"], []),
+}
+
+_KEY_SETS = " UNION ALL ".join(
+    f"SELECT '{t}' AS t, [{', '.join(repr(c) for c in sorted(cs))}] AS cs, count(*) = count(DISTINCT ({', '.join(cs)})) AND coalesce(bool_and({' AND '.join(f'{c} IS NOT NULL' for c in cs)}), true) AS is_key FROM {t}"
+    for t, (plain, rest) in _COLUMNS.items()
+    for size in (1, 2, 3)
+    for cs in combinations(plain + rest, size)
+)
+
+
+@query(
+    "minimal_keys",
+    f"""WITH k AS ({_KEY_SETS}) SELECT t AS "table", array_to_string(cs, ',') AS columns FROM k
+WHERE is_key AND NOT EXISTS (SELECT 1 FROM k b WHERE b.t = k.t AND b.is_key AND len(b.cs) < len(k.cs) AND list_has_all(k.cs, b.cs))""",
+)
+def minimal_keys(spark, sf):
+    """The smallest keys of up to three columns of every table, by name order of their columns."""
+    whole = None
+    for table in _COLUMNS:
+        part = MP.minimal_keys(load(spark, sf, table), table)
+        whole = part if whole is None else whole.unionByName(part)
+    return whole.withColumn("columns", F.array_join(F.array_sort(F.split("columns", ",")), ","))
+
+
+_COLUMN_VALUES = " UNION ".join(
+    f"SELECT '{t}' AS t, '{c}' AS c, left(typeof({c}), 1) = 'V' AS is_text, {c}::VARCHAR AS v FROM {t} WHERE {c} IS NOT NULL" for t, (plain, _) in _COLUMNS.items() for c in plain
+)
+
+
+@query(
+    "inclusion_dependencies",
+    f"""WITH held AS MATERIALIZED ({_COLUMN_VALUES}), sizes AS (SELECT t, c, count(*) AS n FROM held GROUP BY ALL),
+met AS (SELECT a.t, a.c, b.t AS rt, b.c AS rc, count(*) AS n FROM held a JOIN held b USING (is_text, v) WHERE (a.t, a.c) <> (b.t, b.c) GROUP BY ALL)
+SELECT t AS "table", c AS "column", rt AS ref_table, rc AS ref_column FROM met JOIN sizes USING (t, c, n)""",
+)
+def inclusion_dependencies(spark, sf):
+    """References that hold between any two integer or text columns of the tables."""
+    return MP.inclusion_dependencies({t: load(spark, sf, t) for t in _COLUMNS})
+
+
 REFERENCES = [
     ("orders", "o_custkey", "customer", "c_custkey"),
     ("customer", "c_nationkey", "nation", "n_nationkey"),

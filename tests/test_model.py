@@ -12,6 +12,7 @@ from graphloom.operators.model import keys as MK
 from graphloom.operators.model import nested as MN
 from graphloom.operators.model import overrides as MV
 from graphloom.operators.model import owned as MO
+from graphloom.operators.model import profile as MP
 from graphloom.operators.model import relationships as MR
 from graphloom.plans import lines as L
 from graphloom.schemas import ENTITIES, PROPERTIES, RELATIONSHIPS
@@ -450,3 +451,24 @@ def test_entity_model_orders(model, spark):
     assert rows(links, "src", "dst", "rel_type") == [("Blog", "Post", "OneToMany")] and rows(columns.filter("is_pk")) == []
     with pytest.raises(ValueError):
         entity_model(entities, properties, order="other")
+
+
+def test_minimal_keys(spark):
+    data = [(i % 4, i // 4, i if i else None, i % 2, 7) for i in range(12)]
+    df = spark.createDataFrame(data, "a int, b int, gap int, half int, one int")
+    assert rows(MP.minimal_keys(df, "t")) == [("t", "a,b")]
+    assert rows(MP.minimal_keys(df, "t", most=1)) == []
+    assert rows(MP.minimal_keys(df.select("one", "half").where("false"), "t")) == [("t", "half"), ("t", "one")]
+    triple = spark.createDataFrame([(x, y, z) for x in range(2) for y in range(2) for z in range(2)], "x int, y int, z int")
+    assert rows(MP.minimal_keys(triple, "t")) == [("t", "x,y,z")]
+
+
+def test_inclusion_dependencies(spark):
+    one = spark.createDataFrame([(1, "1", None), (2, "2", None), (None, "2", None)], "a int, s string, none int")
+    many = spark.createDataFrame([(i, i % 3, *[0] * 70) for i in range(9)], "b long, c long, " + ", ".join(f"z{i} int" for i in range(70)))
+    found = set(rows(MP.inclusion_dependencies({"one": one, "many": many})))
+    assert ("one", "a", "many", "b") in found and ("one", "a", "many", "c") in found
+    assert ("many", "z0", "many", "z69") in found and ("many", "z69", "many", "c") in found
+    assert not any("s" in (r[1], r[3]) or "none" in (r[1], r[3]) for r in found)
+    assert ("many", "b", "one", "a") not in found
+    assert len(found) == 70 * 71 + 2 + 1  # constants among each other and in b and c - 70; a in b, c; c in b

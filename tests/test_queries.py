@@ -42,6 +42,8 @@ CHECKED = [
     "large_solutions",
     "written_lines",
     "listed_models",
+    "minimal_keys",
+    "inclusion_dependencies",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the supplied tables")
