@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from ...functions.types import VALUE_TYPES
 from ...schemas import ENTITIES, PROPERTIES
+from ...storage import StageTables
+from ..numbering import number_rows
 
 # Described names of the Spark types.
 TYPE_NAMES = {
@@ -143,3 +145,105 @@ def split_nested(df: DataFrame, name: str, key: list[str]) -> dict[str, DataFram
         items = flat.select(*key, F.posexplode(column).alias(position, "_item")).select(*key, position, "_item.*")
         tables.update(split_nested(items, f"{name}_{column}", [*key, position]))
     return tables
+
+
+def _orderable(data_type: T.DataType) -> bool:
+    if isinstance(data_type, T.StructType):
+        return all(_orderable(f.dataType) for f in data_type.fields)
+    return _orderable(data_type.elementType) if isinstance(data_type, T.ArrayType) else not isinstance(data_type, (T.MapType, T.VariantType))
+
+
+def _numbered_items(children: DataFrame, key: list[str], position: str) -> DataFrame:
+    """(key, _seq, _item): children without key and position as structs, numbered from 0 within their key
+    by position, equal positions by their other columns."""
+    rest = [f for f in children.schema.fields if f.name not in (*key, position)]
+    order = [position, *[f.name for f in rest if _orderable(f.dataType)]]
+    item = F.struct(*[F.col(f"`{f.name}`") for f in rest])
+    numbered = number_rows(children, key, order, "_seq")
+    return numbered.select(*key, (F.col("_seq") - 1).alias("_seq"), item.alias("_item"))
+
+
+def _gathered(items: DataFrame, by: list[str], name: str) -> DataFrame:
+    """One row per `by` with its items as an array in order of _seq."""
+    ordered = F.array_sort(F.collect_list(F.struct("_seq", "_item")), lambda a, b: F.when(a["_seq"] < b["_seq"], -1).otherwise(1))
+    return items.groupBy(*by).agg(F.transform(ordered, lambda r: r["_item"]).alias(name))
+
+
+def nested_parts(children: DataFrame, key: list[str], position: str, name: str, size: int = 1000) -> DataFrame:
+    """(key, part, name): the children of a key as arrays of `size` rows (the last one of a key may
+    hold fewer), parts from 0, in order of position.  A key of any size is spread over many rows.
+
+    Null keys are a key of their own; a table without rows gives none.
+    """
+    if size < 1:
+        raise ValueError("size must be at least 1")
+    items = _numbered_items(children, key, position).withColumn("part", F.floor(F.col("_seq") / size).cast("long"))
+    return _gathered(items, [*key, "part"], name)
+
+
+def nest_children(parents: DataFrame, children: DataFrame, key: list[str], position: str, name: str, at_most: int) -> DataFrame:
+    """Parents with their children as one array column, in order of position.
+
+    One array is one row, so the caller states how many children a parent may have: a parent with
+    more raises before anything is gathered, `nested_parts` takes such tables.  A parent without
+    children has an empty array; children without a parent are dropped; parents that repeat a key
+    all get its children.
+    """
+    stage = StageTables(parents.sparkSession, "nest")
+    items, seen = stage.put(_numbered_items(children, key, position), "items", most=F.max(F.col("_seq") + 1))
+    if seen["most"] > at_most:
+        raise ValueError(f"a row has {seen['most']} items in {name}, more than the {at_most} stated")
+    renamed = _gathered(items, key, name)
+    for i, k in enumerate(key):
+        renamed = renamed.withColumnRenamed(k, f"_k{i}")
+    match = F.lit(True)
+    for i, k in enumerate(key):
+        match = match & parents[k].eqNullSafe(renamed[f"_k{i}"])
+    none = F.array().cast(renamed.schema[name].dataType)
+    return parents.join(renamed, match, "left").select(*[parents[c] for c in parents.columns], F.coalesce(renamed[name], none).alias(name))
+
+
+def unflatten(df: DataFrame, schema: T.StructType, keep: list[str]) -> DataFrame:
+    """The inverse of `flatten_nested`: `keep`, then the fields of the schema, structs made of their
+    `{Nav}_{Field}` columns.  A struct all of whose fields are null comes back as null."""
+
+    def built(field: T.StructField, path: list[str]):
+        here = [*path, field.name]
+        if not isinstance(field.dataType, T.StructType):
+            return F.col(f"`{'_'.join(here)}`")
+        parts = [built(f, here) for f in field.dataType.fields]
+        whole = F.struct(*[p.alias(f.name) for p, f in zip(parts, field.dataType.fields, strict=True)])
+        return F.when(_any_set(parts), whole)
+
+    return df.select(*keep, *[built(f, []).alias(f.name) for f in schema.fields if f.name not in keep])
+
+
+def _any_set(parts):
+    found = F.lit(False)
+    for p in parts:
+        found = found | p.isNotNull()
+    return found
+
+
+def join_nested(tables: dict[str, DataFrame], name: str, key: list[str], schema: T.StructType, at_most: int) -> DataFrame:
+    """The inverse of `split_nested`: the nested table of this schema from its tables.
+
+    Innermost arrays are filled first.  Arrays that were null come back empty, as both split into
+    no rows; `at_most` bounds the items of one array (see `nest_children`).
+    """
+    out = tables[name]
+
+    def filled(out: DataFrame, struct: T.StructType, path: list[str]) -> DataFrame:
+        for field in struct.fields:
+            here = [*path, field.name]
+            inner, many = _owned_struct(field.dataType)
+            if many:
+                column = "_".join(here)
+                position = f"{column}_Ordinal"
+                items = join_nested(tables, f"{name}_{column}", [*key, position], inner, at_most)
+                out = nest_children(out, items, key, position, column, at_most)
+            elif inner is not None:
+                out = filled(out, inner, here)
+        return out
+
+    return unflatten(filled(out, schema, []), schema, key)

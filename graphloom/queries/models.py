@@ -20,7 +20,7 @@ from ..operators.model import owned as MO
 from ..operators.model import overrides as MV
 from ..operators.model import profile as MP
 from ..operators.model import relationships as MR
-from ..operators.model.nested import catalog_entities, flatten_nested, list_models, split_nested
+from ..operators.model.nested import catalog_entities, flatten_nested, join_nested, list_models, nested_parts, split_nested
 from ..operators.numbering import first_wins, number_rows
 from ..plans import lines as L
 from ..plans.entity_model import Configuration, entity_model
@@ -810,6 +810,36 @@ def split_nested_arrays(spark, sf):
     return split_nested(vectors, "Vector", ["vec_id"])["Vector_Cells"]
 
 
+@query(
+    "nested_parts",
+    r"""WITH lines AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, pos // 8 AS part, count(*) AS n_lines, sum(length(line))::BIGINT AS size, md5(string_agg(md5(line), ',' ORDER BY pos)) AS digest FROM lines GROUP BY ALL""",
+)
+def nested_parts_query(spark, sf):
+    """The lines of documents, split into a child table and gathered again in arrays of eight."""
+    documents = load(spark, sf, "documents").select("doc_id", "lang", F.split("text", "\n").alias("parts"))
+    item = F.transform("parts", lambda p: F.struct(F.md5(p).alias("Text"), F.length(p).alias("Size")))
+    lines = split_nested(documents.select("doc_id", "lang", item.alias("Lines")), "Document", ["doc_id"])["Document_Lines"]
+    parts = nested_parts(lines, ["doc_id"], "Lines_Ordinal", "lines", 8)
+    size = F.aggregate("lines", F.lit(0).cast("long"), lambda total, r: total + r["Size"])
+    digest = F.md5(F.array_join(F.transform("lines", lambda r: r["Text"]), ","))
+    return parts.select("doc_id", "part", F.size("lines").cast("long").alias("n_lines"), size.alias("size"), digest.alias("digest"))
+
+
+_SCALED = "md5(coalesce(array_to_string([CASE WHEN isfinite(x) THEN floor(x * 256)::BIGINT END FOR x IN embedding], ','), ''))"
+
+
+@query("nest_children", f"SELECT vec_id, label, coalesce(len(embedding), 0)::BIGINT AS n_cells, {_SCALED} AS digest FROM embeddings")
+def nest_children_query(spark, sf):
+    """Vectors split into a table of cells and restored; a vector has at most 65,536 entries."""
+    cells = F.transform("embedding", lambda x: F.struct(x.alias("Value")))
+    vectors = load(spark, sf, "embeddings").select("vec_id", "label", cells.alias("Cells"))
+    whole = join_nested(split_nested(vectors, "Vector", ["vec_id"]), "Vector", ["vec_id"], vectors.schema, 65_536)
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    scaled = F.transform("Cells", lambda r: F.when(finite(r["Value"]), F.floor(r["Value"] * 256)).cast("string"))
+    return whole.select("vec_id", "label", F.size("Cells").cast("long").alias("n_cells"), F.md5(F.array_join(scaled, ",")).alias("digest"))
+
+
 # ---- profiles of the data -----------------------------------------------------------------
 
 _TEXTS = {"region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"], "documents": ["text", "lang", "source"], "embeddings": [], "pages": ["url", "html"], "benchmark": ["text"], "labels": [], "conversations": ["role", "text"]}

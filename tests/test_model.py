@@ -388,6 +388,30 @@ def test_flatten_and_split(nested):
     assert rows(tables["Order_Lines_Parts"]) == [(1, 0, 0, 1), (1, 0, 1, 2)]
 
 
+def test_split_and_join_nested(spark, nested):
+    empty = nested.filter("false")
+    for data in (nested, nested.unionByName(nested.withColumn("Id", F.col("Id") + 7)), empty):
+        tables = MN.split_nested(data, "Order", ["Id"])
+        back = MN.join_nested(tables, "Order", ["Id"], data.schema, 10)
+        assert back.columns == data.columns
+        assert sorted(back.collect(), key=str) == sorted(data.collect(), key=str)
+    with pytest.raises(ValueError, match="more than the 1 stated"):
+        MN.join_nested(MN.split_nested(nested, "Order", ["Id"]), "Order", ["Id"], nested.schema, 1)
+
+
+def test_nested_parts_and_odd_children(spark):
+    schema = "k int, at int, x string, m map<string,int>"
+    data = [(1, i, f"x{i:02d}", {"a": i}) for i in range(25)] + [(2, 0, None, None), (None, 3, "n", None), (None, 3, "n", None)]
+    children = spark.createDataFrame(data[::-1], schema)
+    parts = {(r.k, r.part): r.items for r in MN.nested_parts(children, ["k"], "at", "items", 10).collect()}
+    assert {k: len(v) for k, v in parts.items()} == {(1, 0): 10, (1, 1): 10, (1, 2): 5, (2, 0): 1, (None, 0): 2}
+    assert [r.x for p in range(3) for r in parts[1, p]] == [f"x{i:02d}" for i in range(25)]
+    parents = spark.createDataFrame([(1, "one"), (3, "bare"), (None, "null")], "k int, name string")
+    found = {r["name"]: [i.x for i in r["items"]] for r in MN.nest_children(parents, children, ["k"], "at", "items", 25).collect()}
+    assert found == {"one": [f"x{i:02d}" for i in range(25)], "bare": [], "null": ["n", "n"]}
+    assert MN.nested_parts(children.filter("false"), ["k"], "at", "items").count() == 0
+
+
 def test_members_split_into_columns_and_navigations(spark):
     from graphloom.operators.model import members as MM
 

@@ -31,6 +31,8 @@ CHECKED = [
     "decompose_m2m_properties",
     "owned_table_resolution",
     "split_nested",
+    "nested_parts",
+    "nest_children",
     "profile_columns",
     "url_resolve",
     "nearest_declaration",
