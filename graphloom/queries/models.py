@@ -381,12 +381,12 @@ whole AS (SELECT *, row_number() OVER (PARTITION BY model_id, src, dst ORDER BY
 named_tables AS (SELECT model_id, entity, arg_max('T_' || target, (ordinal, 'T_' || target)) AS table_name FROM navs WHERE line = 5 GROUP BY ALL)"""
 
 
-def _whole_model(spark, sf):
+def _whole_model(spark, sf, order="context"):
     entities, properties, navs = trade_model(spark, sf)
     tables = navs.filter("line = 5").select(
         "model_id", F.col("entity").alias("entity_key"), F.col("ordinal").alias("seq"), F.concat(F.lit("T_"), "target").alias("table_name")
     )
-    return entity_model(entities, properties, navs, Configuration(tables=tables, declarations=_declarations(navs)))
+    return entity_model(entities, properties, navs, Configuration(tables=tables, declarations=_declarations(navs)), order)
 
 
 @query("entity_model", f"WITH {NAVS}, {_WHOLE} SELECT model_id, src, dst, rel_type, is_required FROM whole WHERE pick = 1")
@@ -404,6 +404,39 @@ def entity_model_entities(spark, sf):
     return _whole_model(spark, sf)[0].select("model_id", "name", "table_name", "is_join")
 
 
+_PARITY = f"""{_WHOLE},
+placed_declared AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY ordinal, src, dst, rel_type, is_required) AS seq FROM declared),
+uniq_declared AS (SELECT *, row_number() OVER (PARTITION BY model_id, {_KEY} ORDER BY seq) AS rank FROM placed_declared),
+whole_declared AS (SELECT *, row_number() OVER (PARTITION BY model_id, src, dst ORDER BY rel_type <> 'OneToMany', seq, rel_type) AS pick FROM uniq_declared WHERE rank = 1),
+context_facts AS (
+  SELECT model_id, src, dst, rel_type FROM whole WHERE pick = 1
+  UNION ALL SELECT e.model_id, e.name, t.table_name, 'entity' FROM ents e LEFT JOIN named_tables t ON t.model_id = e.model_id AND t.entity = e.name
+  UNION ALL SELECT DISTINCT model_id, least(src, dst) || greatest(src, dst), NULL, 'entity' FROM placed WHERE rel_type = 'ManyToMany'
+),
+snapshot_facts AS (
+  SELECT model_id, src, dst, rel_type FROM whole_declared WHERE pick = 1
+  UNION ALL SELECT e.model_id, e.name, t.table_name, 'entity' FROM ents e LEFT JOIN named_tables t ON t.model_id = e.model_id AND t.entity = e.name
+)"""
+
+
+@query(
+    "model_parity",
+    f"""WITH {NAVS}, {ENTS}, {_PARITY}
+SELECT model_id, src, dst, rel_type, 'left' AS side, count(*) AS rows FROM (SELECT * FROM context_facts EXCEPT ALL SELECT * FROM snapshot_facts) GROUP BY ALL
+UNION ALL SELECT model_id, src, dst, rel_type, 'right', count(*) FROM (SELECT * FROM snapshot_facts EXCEPT ALL SELECT * FROM context_facts) GROUP BY ALL""",
+)
+def model_parity(spark, sf):
+    """What the two derivations of one configured model do not share: entities (name, table) and
+    relationships; `left` is the context, `right` the snapshot."""
+
+    def facts(order):
+        entities, _, relationships = _whole_model(spark, sf, order)
+        named = entities.select("model_id", F.col("name").alias("src"), F.col("table_name").alias("dst"), F.lit("entity").alias("rel_type"))
+        return relationships.select("model_id", "src", "dst", "rel_type").unionByName(named)
+
+    return MR.model_diff(facts("context"), facts("snapshot"))
+
+
 @query("listed_models", f"WITH {NAVS}, {ENTS} SELECT DISTINCT model_id FROM ents")
 def listed_models(spark, sf):
     """The models that can be chosen."""

@@ -32,6 +32,7 @@ CHECKED = [
     "owned_table_resolution",
     "split_nested",
     "nested_parts",
+    "model_parity",
     "nest_children",
     "profile_columns",
     "url_resolve",
