@@ -465,7 +465,11 @@ def test_entity_model_orders(model, spark):
             "model_id string, ordinal int, entity string, has string, target string, with string, explicit_required boolean",
         ),
     )
-    found, columns, links = entity_model(entities, properties, navigations, config)
+    title = properties.filter("name = 'Title'")
+    for shift in (1, -9):
+        again = title.withColumn("ordinal", F.col("ordinal") + shift).withColumn("type", F.lit("Guid"))
+        found, columns, links = entity_model(entities, properties.unionByName(again), navigations, config)
+        assert rows(columns.filter("name = 'Title'"), "type") == [("string" if shift > 0 else "Guid",)]
     assert rows(found, "name", "table_name") == sorted(
         [("Blog", None), ("BlogTag", None), ("Meta", "meta"), ("Note", "posts"), ("Post", "posts"), ("Tag", None)], key=repr
     )
