@@ -500,3 +500,20 @@ def test_inclusion_dependencies(spark):
     assert not any("s" in (r[1], r[3]) or "none" in (r[1], r[3]) for r in found)
     assert ("many", "b", "one", "a") not in found
     assert len(found) == 70 * 71 + 2 + 1  # constants among each other and in b and c - 70; a in b, c; c in b
+
+
+def test_owner_tables_come_with_resolved_tables(spark):
+    """Tables of owners are found once: folding and key stripping then need no second look-up."""
+    data = [
+        ("m", "A", "A", "T_A", False, None, None, False),
+        ("m", "A.L", "L", None, True, "A", "L", True),
+        ("m", "A.L.S", "S", None, True, "A.L", "S", False),
+        ("m", "A.G", "G", "own", True, "A", "G", False),
+        ("m", "A.G.S", "S", None, True, "A.G", "S", False),
+    ]
+    columns = "model_id string, entity_key string, name string, table_name string, is_owned boolean, owner_key string, nav string, is_collection boolean"
+    raw = spark.createDataFrame(data, columns)
+    both = MO.resolve_owned_tables(raw, owner_tables=True)
+    found = {r["entity_key"]: (r["table_name"], r["owner_table"]) for r in both.collect()}
+    assert found == {"A": ("T_A", None), "A.L": ("T_A_L", "T_A"), "A.L.S": ("T_A_L", "T_A_L"), "A.G": ("own", "T_A"), "A.G.S": ("own", "own")}
+    assert {r["entity_key"]: r["table_name"] for r in MO.resolve_owned_tables(raw).collect()} == {k: v[0] for k, v in found.items()}

@@ -110,3 +110,22 @@ def test_stage_tables_can_be_dropped(spark):
     path = spark._jvm.org.apache.hadoop.fs.Path(first.root)
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
     assert StageTables(spark, "again").put(spark.range(2), "rows")[0].count() == 2
+
+
+def test_small_groups_need_one_shuffle(spark, capsys):
+    """Groups of ordinary size are numbered without a second shuffle of their rows."""
+    _, df = sample(spark)
+    number_rows(df, ["g"], ["o"]).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_large_groups_are_spread(spark):
+    data, df = sample(spark)
+    expected = []
+    for g in "ab":
+        expected += [(g, o, i + 1) for i, o in enumerate(sorted(o for k, o, _ in data if k == g))]
+    for most in (1, 100):
+        assert rows(number_rows(df, ["g"], ["o"], most=most), "g", "o", "seq") == sorted(expected, key=repr)
+    plain = rows(running_last(df, ["g"], ["o"], {"last": F.col("v")}), "g", "o", "last")
+    assert rows(running_last(df, ["g"], ["o"], {"last": F.col("v")}, most=100), "g", "o", "last") == plain
