@@ -13,6 +13,7 @@ from ...schemas import ONE_TO_MANY, ONE_TO_ONE
 
 _SKETCH_BITS = 12
 _WORD_BITS = 62
+_SLICES = (256, 8)
 
 
 def profile_columns(df: DataFrame, table: str) -> DataFrame:
@@ -69,13 +70,25 @@ def candidate_keys(df: DataFrame, table: str, candidates: list[list[str]]) -> Da
     return names.join(found, "i", "left").select(F.lit(table).alias("table"), "columns", unique.alias("is_key"))
 
 
+def _repeated_sets(df: DataFrame, sets: list[list[str]], slices: int) -> set[int]:
+    """Numbers of the sets that hold a value twice among the values whose hash falls into one of
+    `slices` slices.  Values are compared whole, so what is found is certain; sets not found are open."""
+    fields = {f.name: f for f in df.schema.fields}
+    here = lambda cs: F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cs]), F.lit(slices)) == 0
+    row = lambda i, cs: F.struct(F.lit(i).alias("i"), F.array(*[_value_key(fields[c]) for c in cs]).alias("key"))
+    asked = F.array_compact(F.array(*[F.when(here(cs), row(i, cs)) for i, cs in enumerate(sets)]))
+    groups = df.select(F.inline(asked)).groupBy("i", "key").agg(F.count(F.lit(1)).alias("n"))
+    return {r["i"] for r in groups.where("n > 1").select("i").distinct().collect()}
+
+
 def minimal_keys(df: DataFrame, table: str, most: int = 3) -> DataFrame:
     """(table, columns): all smallest sets of up to `most` columns that are never null and unique.
 
     Sets grow by a column per level, and a set that holds a key is not looked at.  A level is one scan
     for mergeable sketches of all its sets, which rules out those with far fewer distinct values than
-    rows (by 6 standard errors of a sketch), and one exact pass over the others.  Columns of arrays, maps
-    and structs take no part; of an empty table every column is a key.  Only sets of column names reach
+    rows (by 6 standard errors of a sketch), and one exact pass over the others.  Sets with a repeated
+    value in a slice of their hashes are ruled out before that pass, which then meets few sets that are
+    no keys.  Columns of arrays, maps and structs take no part; of an empty table every column is a key.  Only sets of column names reach
     the driver.
     """
     flat = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
@@ -93,6 +106,10 @@ def minimal_keys(df: DataFrame, table: str, most: int = 3) -> DataFrame:
         guess = df.agg(*sketches).first()
         least = whole["rows"] * (1 - 6 * 1.04 / 2 ** (_SKETCH_BITS / 2))
         near = [list(s) for i, s in enumerate(sets) if (guess[f"e{i}"] or 0) >= least]
+        for slices in _SLICES:
+            if near and whole["rows"] > slices:
+                repeated = _repeated_sets(df, near, slices)
+                near = [s for i, s in enumerate(near) if i not in repeated]
         if near:
             found = {r["columns"] for r in candidate_keys(df, table, near).where("is_key").collect()}
             keys += [tuple(s) for s in near if ",".join(s) in found]

@@ -517,3 +517,10 @@ def test_owner_tables_come_with_resolved_tables(spark):
     found = {r["entity_key"]: (r["table_name"], r["owner_table"]) for r in both.collect()}
     assert found == {"A": ("T_A", None), "A.L": ("T_A_L", "T_A"), "A.L.S": ("T_A_L", "T_A_L"), "A.G": ("own", "T_A"), "A.G.S": ("own", "own")}
     assert {r["entity_key"]: r["table_name"] for r in MO.resolve_owned_tables(raw).collect()} == {k: v[0] for k, v in found.items()}
+
+
+def test_repeated_sets_are_ruled_out_by_a_slice(spark):
+    """A slice of the values shows repeats for certain; unique sets are never ruled out."""
+    df = spark.range(4_000).select("id", (F.col("id") % 500).alias("a"), (F.col("id") % 7).alias("b"))
+    assert MP._repeated_sets(df, [["a"], ["id"], ["a", "b"], ["b", "id"]], 4) == {0, 2}
+    assert {r["columns"] for r in MP.minimal_keys(df, "t").collect()} == {"id"}
