@@ -18,3 +18,38 @@ def test_tables_that_unfold_are_not_broadcast(spark, capsys):
     stored.join(stored.withColumnRenamed("ordinal", "other"), "model_id").explain()
     plan = capsys.readouterr().out
     assert "Join" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_bucketed_tables_are_joined_and_numbered_where_they_are(spark, capsys):
+    """Tables of many small models are shuffled once, when they are stored."""
+    from graphloom.operators.model.relationships import infer_relationships
+    from graphloom.operators.numbering import number_rows
+    from graphloom.session import keep_buckets
+
+    apply_runtime_settings(spark)
+    i = F.col("id")
+    model = F.concat(F.lit("p"), (i % 50).cast("string")).alias("model_id")
+    navs = spark.range(2_000).select(
+        model, i.alias("ordinal"), F.concat(F.lit("e"), (i % 7).cast("string")).alias("entity"), F.concat(F.lit("e"), (i % 5).cast("string")).alias("target"),
+        F.concat(F.lit("n"), i.cast("string")).alias("nav"), (i % 3 == 0).alias("is_collection"), (i % 4 == 0).alias("is_nullable"),
+    )
+    names = navs.select("model_id", F.explode(F.array("entity", "target")).alias("name")).distinct()
+    entities = names.withColumn("is_owned", F.lit(False))
+
+    def derived(by):
+        stage = StageTables(spark, "small")
+        tables = [stage.put(t, n, by)[0] for t, n in ((entities, "entities"), (navs, "navs"))]
+        found = infer_relationships(*tables)
+        return number_rows(found, ["model_id"], ["ordinal", "src", "dst", "rel_type"], by=by)
+
+    expected = sorted(map(tuple, derived(None).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keep_buckets(spark)
+        rows = derived("model_id")
+        rows.explain()
+        plan = capsys.readouterr().out
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") >= 3
+        assert sorted(map(tuple, rows.collect())) == expected and expected
+    finally:
+        apply_runtime_settings(spark)
