@@ -194,3 +194,29 @@ def test_a_large_group_in_many_classes_is_compared_with_representatives(spark, m
     roots = near_copy_classes(texts)
     assert kept == [i for i in range(400) if roots[i] == i]
     assert max(n for name, n in sizes.items() if name.startswith(("good", "placed"))) <= 20 * 400 * 2
+
+
+def test_rows_that_share_a_passage_only_are_not_all_compared(spark, monkeypatch):
+    """Bands of one long passage between other words: few rounds, and the similar pairs among them stay."""
+    rng = random.Random(13)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for at in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(30)]
+        texts.append(" ".join(words[:15] + passage + words[15:]))
+        if at % 30 == 0:
+            texts.append(" ".join(words[:15] + passage + words[15:29] + [f"c{at}"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sizes = {}
+    put = simhash.StageTables.put
+
+    def counted(self, df, name, **metrics):
+        out = put(self, df, name, **metrics)
+        sizes[name] = out[0].count()
+        return out
+
+    monkeypatch.setattr(simhash.StageTables, "put", counted)
+    kept = [r.doc_id for r in simhash.keep_first(docs, similarity=0.8).collect()]
+    roots = near_copy_classes(texts)
+    assert kept == [i for i in range(len(texts)) if roots[i] == i] and len(kept) < len(texts) - 9
+    assert sizes["flat"] > 300 and len([name for name in sizes if name.startswith("chosen")]) <= 5
