@@ -52,15 +52,17 @@ def fk_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     nodes = nodes.unionByName(rows("part", "P", "p_partkey", F.col("p_name"), F.lit("Library")))
     nodes = nodes.unionByName(rows("orders", "O", "o_orderkey", _key("Order#", "o_orderkey"), order_kind))
 
-    def refs(table: str, src: tuple[str, str], dst: tuple[str, str]) -> DataFrame:
-        return load(spark, sf, table).select(_key(*src).alias("src"), _key(*dst).alias("dst"))
+    def refs(table: str, src: tuple[str, str], dst: tuple[str, str], once: bool = False) -> DataFrame:
+        # Repeats go while the keys are numbers, which are shorter to move than node ids.
+        rows = load(spark, sf, table).select(src[1], dst[1])
+        return (rows.distinct() if once else rows).select(_key(*src).alias("src"), _key(*dst).alias("dst"))
 
     edges = refs("orders", ("O", "o_orderkey"), ("C", "o_custkey"))
     edges = edges.unionByName(refs("customer", ("C", "c_custkey"), ("N", "c_nationkey")))
     edges = edges.unionByName(refs("supplier", ("S", "s_suppkey"), ("N", "s_nationkey")))
     edges = edges.unionByName(refs("nation", ("N", "n_nationkey"), ("R", "n_regionkey")))
-    edges = edges.unionByName(refs("lineitem", ("O", "l_orderkey"), ("P", "l_partkey")).distinct())
-    edges = edges.unionByName(refs("lineitem", ("O", "l_orderkey"), ("S", "l_suppkey")).distinct())
+    edges = edges.unionByName(refs("lineitem", ("O", "l_orderkey"), ("P", "l_partkey"), once=True))
+    edges = edges.unionByName(refs("lineitem", ("O", "l_orderkey"), ("S", "l_suppkey"), once=True))
     return nodes.withColumn("graph_id", F.lit("fk")), edges.withColumn("graph_id", F.lit("fk")).withColumn("edge_type", F.lit(PROJECT_REFERENCE))
 
 
@@ -271,9 +273,11 @@ def edges_known(spark, sf):
     nodes, edges = fk_tables(spark, sf)
     src = nodes.filter("kind <> 'Test'").select("graph_id", F.col("node_id").alias("src"))
     kept = nodes.filter("kind <> 'Other'")
-    _, induced = GE.induced_subgraph(nodes, edges, kept.unionByName(nodes.filter("kind <> 'Test'")).distinct())
+    # Edges move by source, then by target: both joins on an end share one exchange.
+    sourced = edges.join(src, ["graph_id", "src"], "left_semi")
+    _, induced = GE.induced_subgraph(nodes, sourced, kept.unionByName(nodes.filter("kind <> 'Test'")).distinct())
     targets = kept.select("graph_id", F.col("node_id").alias("dst"))
-    return induced.join(src, ["graph_id", "src"], "left_semi").join(targets, ["graph_id", "dst"], "left_semi").select("graph_id", "src", "dst")
+    return induced.join(targets, ["graph_id", "dst"], "left_semi").select("graph_id", "src", "dst")
 
 
 @query("external_nodes", f"WITH {LINKS} SELECT DISTINCT graph_id, dst AS node_id FROM lk_edges e WHERE NOT EXISTS (SELECT 1 FROM lk_nodes n WHERE n.graph_id = e.graph_id AND n.node_id = e.dst)")

@@ -75,3 +75,11 @@ def test_query_matches_sql(spark, duck, name):
     columns = [d[0] for d in result.description]
     assert sorted(frame.columns) == sorted(columns)
     assert ours == canonical(columns, result.fetchall())
+
+
+@pytest.mark.parametrize("name", ["edges_known", "build_fk_graph"])
+def test_repeats_of_references_go_before_node_ids_are_made(spark, duck, name):
+    frame = entry.queries()[name](spark, SF_DIR)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and "hashpartitioning(src#" not in plan
+    test_query_matches_sql(spark, duck, name)
