@@ -33,11 +33,8 @@ VARIANTS_AT_ONCE = 1 << 23
 WIDE_WIDTH = 5
 BANDS = 20
 BAND_ROWS = 5
-# Rounds after which bands of more rows than FEW are cut by length, in steps
-# of this ratio, and by the shingles that are rare in them.
+# Rounds in which the rows of a band are compared with its representatives alone.
 WHOLE_ROUNDS = 2
-FEW = 8
-LENGTH_STEP = 1.05
 
 
 def fingerprint(text: bytes | None, width: int = 4) -> int:
@@ -237,49 +234,48 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64)
 
 
-def rare_parts(flat: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Bands of more than FEW rows, each cut into one part per two steps of length and shingle that is rare there.
+def rare_pairs(rows: DataFrame, sets: DataFrame, similarity: float, stage: StageTables) -> DataFrame:
+    """Pairs (row, rep) of different roots that may reach the similarity: all that do, and few others.
 
-    Sets of n and m shingles with a similarity t or more share t / (1 + t) (n + m) of them, so whatever
-    order the shingles have, both hold a common one among the first that may be left out of these, and one more.
-    Here those come first that few rows of the band hold; a row meets the rows of each step of
-    length near its own in the parts of its first ones.  m is the least length of that step in the band.
-    No similar pair of a band is lost, and rows that share only what is frequent in it part.
+    rows: row, root and n, the size of its set in sets.  Sets of n and m shingles with a similarity t or more
+    share t / (1 + t) (n + m) of them or more, so in any one order of all shingles their first common one is
+    among the first n - t n + 1 of either.  Here shingles come first that few rows hold: what many rows
+    share, a passage say, is seldom among these.  Rows meet by these first shingles, each at its place in
+    either set: behind the first common one enough must be left.  Rows outside the largest root of a shingle
+    meet all its rows, so large groups that are one class by now meet no more.
     """
-    large = flat.groupBy("band").count().where(F.col("count") > FEW).select("band")
-    step = F.floor(F.log("n") / math.log(LENGTH_STEP)).cast("int")
-    rows = flat.join(large, "band").withColumn("step", step)
-    steps = rows.groupBy("band", "step").agg(F.min("n").alias("least"))
-    held = rows.join(sets, "row").select("band", "row", "class_fp", "n", "step", F.explode("set").alias("shingle"))
-    holders = held.groupBy("band", "shingle").agg(F.count(F.lit(1)).alias("holders"))
-    first = Window.partitionBy("band", "row").orderBy("holders", "shingle")
-    ranked = held.join(holders, ["band", "shingle"]).withColumn("place", F.row_number().over(first))
-
-    def spare(other):
-        return F.col("n") - F.ceil((F.col("n") + other) * (similarity / (1 + similarity)) - 1e-6) + 1
-
-    ranked = ranked.where((F.col("holders") > 1) & (F.col("place") <= spare(F.ceil(F.col("n") * similarity - 1e-6))))
-    met = ranked.join(steps.withColumnRenamed("step", "other"), "band")
-    long = F.greatest("n", "least") * similarity <= F.least(F.col("n"), F.col("least") * LENGTH_STEP) + 1e-6
-    met = met.where(long & (F.col("place") <= spare(F.greatest("least", F.ceil(F.col("n") * similarity - 1e-6)))))
-    part = F.xxhash64("band", F.least("step", "other"), F.greatest("step", "other"), "shingle")
-    parts = met.select(part.alias("band"), "class_fp", "row", "n").distinct()
-    return flat.join(large, "band", "left_anti").select(parts.columns).unionByName(parts)
+    held = rows.join(sets, "row").select("row", "root", "n", F.explode("set").alias("shingle"))
+    held, _ = stage.put(held, "held")
+    holders = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    # Shingles of one row alone come before all these.
+    own = Window.partitionBy("row")
+    alone = F.col("n") - F.count(F.lit(1)).over(own)
+    place = alone + F.row_number().over(own.orderBy("holders", "shingle"))
+    ranked = held.join(holders, "shingle").withColumn("place", place.cast("int"))
+    first = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1).drop("holders")
+    first, _ = stage.put(first, "first")
+    company = first.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("company"))
+    spans = company.groupBy("shingle").agg(F.max(F.struct("company", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
+    parts, _ = stage.put(first.join(spans.where("roots > 1").select("shingle", F.col("top.root").alias("top")), "shingle"), "parts")
+    others = parts.select("shingle", "top", *(F.col(c).alias(f"rep_{c}") for c in ("row", "root", "n", "place")))
+    met = parts.where("root != top").drop("top").join(others, "shingle").where("root != rep_root")
+    met = met.where((F.col("rep_root") == F.col("top")) | (F.col("root") < F.col("rep_root")))
+    left = F.least(F.col("n") - F.col("place"), F.col("rep_n") - F.col("rep_place")) + 1
+    met = met.where(F.least("n", "rep_n") >= F.greatest("n", "rep_n") * similarity - 1e-6)
+    met = met.where(left >= (F.col("n") + F.col("rep_n")) * (similarity / (1 + similarity)) - 1e-6)
+    return met.select("row", F.col("rep_row").alias("rep")).distinct()
 
 
 def similar_classes(marked: DataFrame, named: DataFrame, text: str, similarity: float, stage: StageTables) -> DataFrame:
     """Edges (a, b) between classes that hold texts of a Jaccard similarity of `similarity` or more.
 
     marked: ROW and class_fp of every row of named.  Texts whose least shingles agree in a whole band
-    meet (at 0.8 all but 4 in 10,000 pairs do).  A band that spans classes elects representatives by a
-    hash of band and row, so bands elect different ones, and its rows are compared with these alone,
-    shingle by shingle.  Rows that are similar to one, or share its class, have their place and leave the band;
-    the rest elect twice as many in the next stored round, until no band spans classes.  A group of
-    similar rows leaves in the first rounds.  Bands that stay large after these hold rows that share a passage
-    but resemble few others; they are cut into parts by rare shingles (see rare_parts), which start with one
-    representative again, and go once their classes are joined.  Rows of the smaller joined classes are then
-    elected first: when they have met all others, only one class is left.  Nothing is capped.  Two similar rows can part in a band, one with the representative
-    and one without; they meet again in their other bands or parts, where others are elected.
+    are candidates (at 0.8 all but 4 in 10,000 pairs are).  First a band that spans classes elects one representative by a
+    hash of band and row, so bands elect different ones, and its rows are compared with it alone,
+    shingle by shingle.  Rows that are similar to it, or share its class, leave the band; the rest elect two
+    in the second stored round.  So groups of similar rows become one class with few comparisons.  Then all rows of
+    bands that still span joined classes, those that have left too, meet by their rare shingles (see rare_pairs):
+    each similar pair of different classes is compared there.  Nothing is capped.
     """
     ship(named.sparkSession)
 
@@ -337,27 +333,22 @@ def similar_classes(marked: DataFrame, named: DataFrame, text: str, similarity:
                     good.append(i)
             yield batch.select(["row", "rep"]).take(pa.array(good, pa.int64()))
 
-    def spanning(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        """The bands that span classes joined so far; company: how many rows of its joined class a row meets in its band."""
-        joined = rows.select("band", "class_fp", "row", "n").join(roots, "class_fp", "left").withColumn("root", F.coalesce("root", "class_fp"))
-        company = joined.groupBy("band", "root").agg(F.count(F.lit(1)).alias("company"))
-        spans = company.groupBy("band").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("band")
-        return joined.join(company.join(spans, "band"), ["band", "root"])
+    kind = "struct<_gl_d: long, _gl_h: long>"
 
-    flat = flat.withColumn("company", F.lit(1)).withColumn("root", F.col("class_fp"))
-    found, round_no, most = None, 0, 1
-    while True:
-        turn = Window.partitionBy("band").orderBy("company", F.xxhash64("band", "row", F.lit(round_no)), "row", "class_fp")
-        chosen = flat.withColumn("place", F.row_number().over(turn)).where(F.col("place") <= most)
-        chosen = chosen.select("band", F.col("row").alias("rep"), F.col("class_fp").alias("rep_class"), F.col("root").alias("rep_root"), F.col("n").alias("rep_n"))
+    def alike(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = pairs.join(sets, "row").join(sets.select(F.col("row").alias("rep"), F.col("set").alias("rep_set")), "rep")
+        return stage.put(pairs.mapInArrow(compare, f"row {kind}, rep {kind}"), name)[0]
+
+    whole, found, round_no = flat, None, 0
+    while round_no < WHOLE_ROUNDS:
+        turn = Window.partitionBy("band").orderBy(F.xxhash64("band", "row", F.lit(round_no)), "row", "class_fp")
+        chosen = flat.withColumn("place", F.row_number().over(turn)).where(F.col("place") <= 1 << round_no)
+        chosen = chosen.select("band", F.col("row").alias("rep"), F.col("class_fp").alias("rep_class"), F.col("n").alias("rep_n"))
         chosen, _ = stage.put(chosen, f"chosen-{round_no}")
         met = flat.join(chosen, "band")
         near = F.least("n", "rep_n") >= F.greatest("n", "rep_n") * similarity
-        apart = met.where((F.col("root") != F.col("rep_root")) & near).select("band", "row", "class_fp", "rep", "rep_class")
-        pairs = apart.select("row", "rep").distinct()
-        pairs = pairs.join(sets, "row").join(sets.select(F.col("row").alias("rep"), F.col("set").alias("rep_set")), "rep")
-        kind = "struct<_gl_d: long, _gl_h: long>"
-        good, _ = stage.put(pairs.mapInArrow(compare, f"row {kind}, rep {kind}"), f"good-{round_no}")
+        apart = met.where((F.col("class_fp") != F.col("rep_class")) & near).select("band", "row", "class_fp", "rep", "rep_class")
+        good = alike(apart.select("row", "rep").distinct(), f"good-{round_no}")
         own = met.where("class_fp = rep_class").select("band", "row", "class_fp", "rep_class")
         placed = apart.join(good, ["row", "rep"]).select(own.columns).unionByName(own)
         placed, _ = stage.put(placed, f"placed-{round_no}")
@@ -365,19 +356,23 @@ def similar_classes(marked: DataFrame, named: DataFrame, text: str, similarity:
         found = linked if found is None else found.unionByName(linked)
         rest = flat.join(placed.select("band", "row", "class_fp").distinct(), ["band", "row", "class_fp"], "left_anti")
         rest, _ = stage.put(rest, f"rest-{round_no}")
-        ends = rest.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+        ends = rest.groupBy("band").agg(F.min("class_fp").alias("least"), F.max("class_fp").alias("most"))
         ends = ends.where("least != most").select("band")
         flat, seen = stage.put(rest.join(ends, "band"), f"flat-{round_no}", n=F.count(F.lit(1)))
-        round_no, most = round_no + 1, most * 2
-        if round_no % WHOLE_ROUNDS == 0 and seen["n"]:
-            # Bands within classes that are joined by now need no more pairs.
-            roots = components(found.distinct(), stage, f"joined-{round_no}").withColumnRenamed("node", "class_fp")
-            if round_no == WHOLE_ROUNDS:
-                flat, _ = stage.put(rare_parts(spanning(flat, roots), sets, similarity), "parts")
-                most = 1
-            flat, seen = stage.put(spanning(flat, roots), f"cut-{round_no}", n=F.count(F.lit(1)))
-        if not seen["n"]:
-            return found.distinct()
+        round_no += 1
+    # Rows of bands that still span what is joined by now, with those that have left.
+    roots = components(found.distinct(), stage, "joined").withColumnRenamed("node", "class_fp")
+    joined = nodes.select("class_fp", "row", "n").join(roots, "class_fp", "left").withColumn("root", F.coalesce("root", "class_fp"))
+    joined, _ = stage.put(joined, "rooted")
+    bands = whole.select("band", "row").join(joined, "row")
+    ends = bands.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("band")
+    rows, seen = stage.put(bands.join(ends, "band").select("row", "class_fp", "root", "n").distinct(), "open", n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return found.distinct()
+    good = alike(rare_pairs(rows, sets, similarity, stage), "good")
+    ends = rows.select("row", "class_fp")
+    linked = good.join(ends.withColumnRenamed("class_fp", "a"), "row").join(ends.select(F.col("row").alias("rep"), F.col("class_fp").alias("b")), "rep")
+    return found.unionByName(linked.select("a", "b")).distinct()
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:

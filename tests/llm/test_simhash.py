@@ -220,3 +220,32 @@ def test_rows_that_share_a_passage_only_are_not_all_compared(spark, monkeypatch)
     roots = near_copy_classes(texts)
     assert kept == [i for i in range(len(texts)) if roots[i] == i] and len(kept) < len(texts) - 9
     assert sizes["flat"] > 300 and len([name for name in sizes if name.startswith("chosen")]) <= 5
+
+
+def test_similar_rows_of_crowded_bands_meet_without_rows_for_every_band_and_length(spark, monkeypatch):
+    """Rows of one passage and many lengths: every similar pair is found, and tables stay near the rows' shingles."""
+    rng = random.Random(14)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for at in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(14 + at % 40)]
+        texts.append(" ".join(words[:7] + passage + words[7:]))
+        for _ in range(at % 5):  # each like the one before, the last seldom like the first
+            words = words[:-2] + [f"c{rng.randrange(10**6)}"]
+            words[0] = f"d{rng.randrange(10**6)}"
+            texts.append(" ".join(words[:7] + passage + words[7:]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sizes = {}
+    put = simhash.StageTables.put
+
+    def counted(self, df, name, **metrics):
+        out = put(self, df, name, **metrics)
+        sizes[name] = out[0].count()
+        return out
+
+    monkeypatch.setattr(simhash.StageTables, "put", counted)
+    kept = sorted(r.doc_id for r in simhash.keep_first(docs, similarity=0.8).collect())
+    roots = near_copy_classes(texts)
+    assert kept == [i for i in range(len(texts)) if roots[i] == i]
+    words = sum(len(t.split()) for t in texts)
+    assert max(sizes.values()) <= words and sizes["parts"] <= words / 4
