@@ -13,7 +13,10 @@ from ...schemas import ONE_TO_MANY, ONE_TO_ONE
 
 _SKETCH_BITS = 12
 _WORD_BITS = 62
-_SLICES = (256, 8)
+_SLICES = (1024, 64, 8)
+_LEAST_ROWS = 1_000
+_LEAST_VALUES = 16
+_HASHES_PER_TASK = 1_000_000
 
 
 def profile_columns(df: DataFrame, table: str) -> DataFrame:
@@ -70,49 +73,89 @@ def candidate_keys(df: DataFrame, table: str, candidates: list[list[str]]) -> Da
     return names.join(found, "i", "left").select(F.lit(table).alias("table"), "columns", unique.alias("is_key"))
 
 
-def _repeated_sets(df: DataFrame, sets: list[list[str]], slices: int) -> set[int]:
-    """Numbers of the sets that hold a value twice among the values whose hash falls into one of
-    `slices` slices.  Values are compared whole, so what is found is certain; sets not found are open."""
+def _hash_of(fields: dict[str, T.StructField], columns: list[str]) -> Column:
+    """A number that is equal for equal values of the columns; zeros have no sign."""
+    plain = lambda c: F.col(f"`{c}`") + F.lit(0.0) if isinstance(fields[c].dataType, (T.FloatType, T.DoubleType)) else F.col(f"`{c}`")
+    return F.xxhash64(*[plain(c) for c in columns])
+
+
+def _repeated_sets(df: DataFrame, sets: list[list[str]], slices: int = 1, pivots: list[str] | None = None, parts: int | None = None) -> set[int]:
+    """Numbers of the sets that hold a value twice among the rows of their slice: those whose hash, of
+    the set's pivot column or else of the whole set, falls into one of `slices`.  What is found is
+    certain; sets not found are open, or free of repeats if there is but one slice.
+
+    Hashes of 64 bits move in place of values.  Rows that share one are compared whole: at first those
+    of two hashes per set and, where these are no repeats, all rows of the set.  `parts`: tasks for the count."""
     fields = {f.name: f for f in df.schema.fields}
-    here = lambda cs: F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cs]), F.lit(slices)) == 0
-    row = lambda i, cs: F.struct(F.lit(i).alias("i"), F.array(*[_value_key(fields[c]) for c in cs]).alias("key"))
-    asked = F.array_compact(F.array(*[F.when(here(cs), row(i, cs)) for i, cs in enumerate(sets)]))
-    groups = df.select(F.inline(asked)).groupBy("i", "key").agg(F.count(F.lit(1)).alias("n"))
-    return {r["i"] for r in groups.where("n > 1").select("i").distinct().collect()}
+    used = sorted({c for cs in sets for c in cs} | set(pivots or []))
+    hashes = {c: _hash_of(fields, [c]) for c in used}
+    rows = df
+    if slices > 1 and pivots is not None:
+        rows = df.where(reduce(lambda x, y: x | y, [F.pmod(hashes[c], F.lit(slices)) == 0 for c in sorted(set(pivots))]))
+    width = max(map(len, sets))
+    numbers = ["i", "pivot", *[f"c{k}" for k in range(width)]]
+    at = lambda c: F.when(F.col(c) >= 0, F.get("hashes", F.col(c)))
+    named = [F.col(f"`{c}`") for c in used]
+
+    def asked(numbered: list[int]) -> DataFrame:
+        """Rows of the slice, once per set.  Sets are numbers of columns, so code does not grow with them."""
+        listed = [(i, used.index(pivots[i]) if pivots else -1, *[used.index(c) for c in sets[i]], *[-1] * (width - len(sets[i]))) for i in numbered]
+        listed = F.array(*[F.struct(*[F.lit(n).alias(name) for n, name in zip(row, numbers)]) for row in listed])
+        each = rows.select(*named, F.array(*hashes.values()).alias("hashes")).select(*named, "hashes", F.inline(listed))
+        each = each.withColumn("h", F.xxhash64(*[at(f"c{k}") for k in range(width)]))
+        return each.where(F.pmod(F.coalesce(at("pivot"), "h"), F.lit(slices)) == 0) if slices > 1 else each
+
+    # Nearly all hashes differ: they are counted behind their move, where each task has its share of them.
+    moved = asked(list(range(len(sets)))).select("i", "h")
+    moved = moved.repartition(parts, "i", "h") if parts else moved.repartition("i", "h")
+    groups = moved.groupBy("i", "h").agg(F.count(F.lit(1)).alias("n"))
+    shared = groups.where("n > 1").groupBy("i").agg(F.min("h").alias("least"), F.max("h").alias("most")).collect()
+    if not shared:
+        return set()
+    witnesses = [(r["i"], h, [used.index(c) for c in sets[r["i"]]]) for r in shared for h in {r["least"], r["most"]}]
+    found = df.sparkSession.createDataFrame(witnesses, "i int, h long, columns array<int>")
+    whole = F.array(*[_value_key(fields[c]) for c in used])
+    met = asked([r["i"] for r in shared]).join(F.broadcast(found), ["i", "h"]).select("i", "columns", whole.alias("whole"))
+    met = met.select("i", F.transform("columns", lambda c: F.col("whole")[c]).alias("key"))
+    repeated = {r["i"] for r in met.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i").distinct().collect()}
+    unsure = [r["i"] for r in shared if r["i"] not in repeated]
+    if unsure and slices == 1:
+        found = {r["columns"] for r in candidate_keys(df, "", [sets[i] for i in unsure]).where("not is_key").collect()}
+        repeated |= {i for i in unsure if ",".join(sets[i]) in found}
+    return repeated
 
 
 def minimal_keys(df: DataFrame, table: str, most: int = 3) -> DataFrame:
     """(table, columns): all smallest sets of up to `most` columns that are never null and unique.
 
-    Sets grow by a column per level, and a set that holds a key is not looked at.  A level is one scan
-    for mergeable sketches of all its sets, which rules out those with far fewer distinct values than
-    rows (by 6 standard errors of a sketch), and one exact pass over the others.  Sets with a repeated
-    value in a slice of their hashes are ruled out before that pass, which then meets few sets that are
-    no keys.  Columns of arrays, maps and structs take no part; of an empty table every column is a key.  Only sets of column names reach
-    the driver.
+    Sets grow by a column per level, and a set that holds a key is not looked at.  A set is ruled out by a
+    repeated value, which is looked for in growing slices of the rows: rows that are equal in the set are
+    equal in its column of most values, so a slice by that column's hash holds all of them.  Only sets
+    that show none meet all rows.  Sketches choose that column; no result rests on them.  Columns of arrays,
+    maps and structs take no part; of an empty table every column is a key.  Only numbers per set and sets of
+    column names reach the driver.
     """
     flat = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    whole = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(flat)]).first()
+    fields = {f.name: f for f in df.schema.fields}
+    hashed = df.select(*[F.when(F.col(f"`{c}`").isNotNull(), _hash_of(fields, [c])).alias(f"h{i}") for i, c in enumerate(flat)])
+    size_of = [F.hll_sketch_estimate(F.hll_sketch_agg(f"h{i}", F.lit(_SKETCH_BITS))).alias(f"e{i}") for i in range(len(flat))]
+    whole = hashed.agg(F.count(F.lit(1)).alias("rows"), *[F.count(f"h{i}").alias(f"n{i}") for i in range(len(flat))], *size_of).first()
     filled = [c for i, c in enumerate(flat) if whole[f"n{i}"] == whole["rows"]]
+    values = {c: whole[f"e{i}"] or 0 for i, c in enumerate(flat)}
     keys: list[tuple[str, ...]] = []
     for size in range(1, most + 1):
-        sets = [s for s in combinations(filled, size) if not any(set(k) <= set(s) for k in keys)]
-        if not sets:
-            break
-        sketches = [
-            F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[F.col(f"`{c}`") for c in s]), F.lit(_SKETCH_BITS))).alias(f"e{i}")
-            for i, s in enumerate(sets)
-        ]
-        guess = df.agg(*sketches).first()
-        least = whole["rows"] * (1 - 6 * 1.04 / 2 ** (_SKETCH_BITS / 2))
-        near = [list(s) for i, s in enumerate(sets) if (guess[f"e{i}"] or 0) >= least]
+        near = [list(s) for s in combinations(filled, size) if not any(set(k) <= set(s) for k in keys)]
         for slices in _SLICES:
-            if near and whole["rows"] > slices:
-                repeated = _repeated_sets(df, near, slices)
+            if near and whole["rows"] >= slices * _LEAST_ROWS:
+                # A column of few values may have none in the slice; then the rows are cut by the best one of all.
+                best = [max(s, key=lambda c: values[c]) for s in near]
+                best = [c if values[c] >= slices * _LEAST_VALUES else max(filled, key=lambda c: values[c]) for c in best]
+                repeated = _repeated_sets(df, near, slices, best)
                 near = [s for i, s in enumerate(near) if i not in repeated]
         if near:
-            found = {r["columns"] for r in candidate_keys(df, table, near).where("is_key").collect()}
-            keys += [tuple(s) for s in near if ",".join(s) in found]
+            # As many tasks as keep the hashes of one in memory.
+            repeated = _repeated_sets(df, near, parts=-(-whole["rows"] * len(near) // _HASHES_PER_TASK) or 1)
+            keys += [tuple(s) for i, s in enumerate(near) if i not in repeated]
     return df.sparkSession.createDataFrame([(table, ",".join(k)) for k in keys], "table string, columns string")
 
 

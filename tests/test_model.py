@@ -524,3 +524,14 @@ def test_repeated_sets_are_ruled_out_by_a_slice(spark):
     df = spark.range(4_000).select("id", (F.col("id") % 500).alias("a"), (F.col("id") % 7).alias("b"))
     assert MP._repeated_sets(df, [["a"], ["id"], ["a", "b"], ["b", "id"]], 4) == {0, 2}
     assert {r["columns"] for r in MP.minimal_keys(df, "t").collect()} == {"id"}
+
+
+def test_shared_hashes_are_no_repeats(spark, monkeypatch):
+    """Smallest keys move hashes; sets whose rows only share hashes are compared by their values."""
+    df = spark.range(4_000).select("id", (F.col("id") % 500).alias("a"), F.floor(F.col("id") / 500).alias("b"), (F.col("id") % 7 * 0.0).alias("zero"))
+    hashed = MP._hash_of
+    assert {r["columns"] for r in MP.minimal_keys(df, "t").collect()} == {"id", "a,b"}
+    monkeypatch.setattr(MP, "_hash_of", lambda fields, columns: hashed(fields, columns).bitwiseAND(F.lit(255)))
+    assert MP._repeated_sets(df, [["id"], ["a"], ["a", "b"]]) == {1}
+    assert {r["columns"] for r in MP.minimal_keys(df, "t").collect()} == {"id", "a,b"}
+    assert MP._repeated_sets(df, [["a", "b"], ["b", "zero"]], 2, ["a", "b"]) == {1}
