@@ -53,3 +53,31 @@ def test_bucketed_tables_are_joined_and_numbered_where_they_are(spark, capsys):
         assert sorted(map(tuple, rows.collect())) == expected and expected
     finally:
         apply_runtime_settings(spark)
+
+
+def test_the_orders_model_stays_in_its_buckets(spark, capsys, monkeypatch):
+    """Tables of customers with few orders are shuffled once; larger ones go the general way, to the same rows."""
+    from graphloom.operators.model import owned as MO
+    from graphloom.queries import models as Q
+
+    sf = "/root/testdata/sf0.001"
+    try:
+        apply_runtime_settings(spark)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        by = Q.orders_by(spark, sf)
+        assert by == "model_id"
+        entities, properties = Q.stored_order_model(spark, sf, by)
+        MO.drawn_boxes(entities, properties, "mirror", by)[1].explain()
+        plan = capsys.readouterr().out
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+
+        def drawn(mode):
+            found = sorted(map(tuple, Q._erd(apply_runtime_settings(spark), sf, mode).collect()))
+            return found, Q.orders_by(spark, sf)
+
+        small = {mode: drawn(mode) for mode in MO.MODES}
+        monkeypatch.setattr(Q, "MOST_ENTITIES", 10)
+        for mode in MO.MODES:
+            assert drawn(mode) == (small[mode][0], None) and small[mode][0] and small[mode][1] == by
+    finally:
+        apply_runtime_settings(spark)
