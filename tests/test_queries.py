@@ -83,3 +83,11 @@ def test_repeats_of_references_go_before_node_ids_are_made(spark, duck, name):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(l_orderkey" in plan and "hashpartitioning(src#" not in plan
     test_query_matches_sql(spark, duck, name)
+
+
+def test_both_derivations_of_a_model_start_from_facts_that_are_made_once(spark, monkeypatch):
+    from graphloom.queries import models
+
+    made, make = [], models.navigations
+    monkeypatch.setattr(models, "navigations", lambda *given: made.append(1) or make(*given))
+    assert entry.queries()["model_parity"](spark, SF_DIR).count() > 0 and len(made) == 1
