@@ -81,3 +81,22 @@ def test_the_orders_model_stays_in_its_buckets(spark, capsys, monkeypatch):
             assert drawn(mode) == (small[mode][0], None) and small[mode][0] and small[mode][1] == by
     finally:
         apply_runtime_settings(spark)
+
+
+def test_type_boxes_stay_in_their_buckets(spark, capsys):
+    """Types, members and edges of a part are moved once; their ids and boxes are found where they are."""
+    from graphloom.plans import lines as L
+    from graphloom.queries import types as Q
+
+    try:
+        apply_runtime_settings(spark)
+        types, members, _ = Q.corpus(spark, "/root/testdata/sf0.001", "graph_id")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        ids = L.type_node_ids(types, "graph_id")
+        members.join(ids, ["graph_id", "full_name"]).explain()
+        plan = capsys.readouterr().out
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2
+        general = L.type_node_ids(types)
+        assert sorted(map(tuple, ids.collect()), key=repr) == sorted(map(tuple, general.select(*ids.columns).collect()), key=repr)
+    finally:
+        apply_runtime_settings(spark)
