@@ -129,3 +129,18 @@ def test_large_groups_are_spread(spark):
         assert rows(number_rows(df, ["g"], ["o"], most=most), "g", "o", "seq") == sorted(expected, key=repr)
     plain = rows(running_last(df, ["g"], ["o"], {"last": F.col("v")}), "g", "o", "last")
     assert rows(running_last(df, ["g"], ["o"], {"last": F.col("v")}, most=100), "g", "o", "last") == plain
+
+
+def test_one_large_group_is_stored_once(spark):
+    """The sorted rows replace the unsorted ones and hold no column that only gave their order."""
+    import os
+
+    from graphloom import storage
+
+    df = spark.range(3_000).select(F.lit("g").alias("g"), F.xxhash64("id").alias("o"), F.col("id").alias("v"))
+    before = set(os.listdir(storage.work_dir(spark)))
+    found = number_rows(df, ["g"], ["o"], most=100, keep=["g", "v"])
+    made = {d: os.listdir(f"{storage.work_dir(spark)}/{d}") for d in set(os.listdir(storage.work_dir(spark))) - before}
+    assert sorted(len(tables) for tables in made.values()) == [0, 1] and found.columns == ["g", "v", "seq"]
+    expected = [r["v"] for r in df.orderBy("o").collect()]
+    assert [r["v"] for r in found.orderBy("seq").collect()] == expected and found.count() == 3_000
